@@ -52,8 +52,9 @@ def compare(spark, con, fn, sql, folder):
         return f"columns {sorted(df.columns)} != {sorted(names)}", False
     a, b = canonical(rows, df.columns), canonical(want, names)
     if a != b:
-        left = [x for x in a if x not in set(b)][:3]
-        right = [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        left = [x for x in a if x not in in_b][:3]
+        right = [x for x in b if x not in in_a][:3]
         return f"DIFF spark={len(a)} sql={len(b)}\n   spark {str(left)[:900]}\n   sql   {str(right)[:900]}", False
     return f"ok {len(a)}", True
 
