@@ -2,6 +2,6 @@
 
 from provisio.plans.registry import ORACLES, QUERIES
 
-from . import effect, hierarchy  # noqa: F401
+from . import corpus, effect, hierarchy  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
