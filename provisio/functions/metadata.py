@@ -12,6 +12,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from provisio.functions.let import bind
 from provisio.functions.rank import first_match
 
 # Patterns of document numbers, dates and effect phrases.
@@ -163,20 +164,23 @@ def effective_date(text: Column, issued: Column) -> Column:
     The enforcement article is looked at first, then the enforcement section,
     then the whole text (signing rules only).
     """
-    sources = [enforcement_article(text), enforcement_section(text)]
-    ladder = []
-    for s in sources:
-        ladder += [_date_in_segments(s), _signing_rule(s, issued)]
-    return F.coalesce(*ladder, _signing_rule(text, issued))
+    def ladder(source: Column) -> Column:
+        return bind(source, lambda s: F.coalesce(_date_in_segments(s), _signing_rule(s, issued)))
+
+    return F.coalesce(ladder(enforcement_article(text)), ladder(enforcement_section(text)), _signing_rule(text, issued))
 
 
 def expiry_date(text: Column, enforcement: Column | None = None) -> Column:
     """Day of expiry stated for this document in its enforcement text."""
     source = enforcement_article(text) if enforcement is None else F.coalesce(_got(enforcement), enforcement_article(text))
+    return bind(source, _expiry_in)
+
+
+def _expiry_in(source: Column) -> Column:
     low = F.regexp_replace(F.lower(source), r"\[([^\]]+)\]\([^)]+\)", "$1")
-    lines = F.filter(F.transform(F.split(low, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(low, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     paragraphs = F.split(F.array_join(lines, "\n"), r"(?iuU)(?:^|\n)(?=(?:\d+|điều\s+\d+)[.)]\s)")
-    context = F.lower(source).rlike("hiệu lực|thi hành")
+    context = low.rlike("hiệu lực|thi hành")
 
     def found(lead: str) -> Column:
         def one(p: Column) -> Column:
@@ -209,13 +213,13 @@ def issued_year(text: Column, as_of: Column) -> Column:
 
 
 def doc_metadata(title: Column, text: Column, issued: Column, as_of: Column, enforcement: Column | None = None) -> Column:
-    begin, end = effective_date(text, issued), expiry_date(text, enforcement)
-    return F.struct(
-        begin.alias("effective_date"),
-        F.when(begin.isNull() | (end >= begin), end).alias("expiry_date"),
+    days = F.struct(effective_date(text, issued).alias("begin"), expiry_date(text, enforcement).alias("end"))
+    return bind(days, lambda d: F.struct(
+        d["begin"].alias("effective_date"),
+        F.when(d["begin"].isNull() | (d["end"] >= d["begin"]), d["end"]).alias("expiry_date"),
         doc_type_from_title(title).alias("doc_type"),
         F.coalesce(issued, issued_year(text, as_of)).alias("issued_date"),
-    )
+    ))
 
 
 def _fold_table() -> tuple[str, str]:

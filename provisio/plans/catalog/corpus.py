@@ -326,7 +326,7 @@ def enactment(t):
         .otherwise(F.lit("Không quy định."))
     )
     over = F.when(k == 0, F.concat(F.lit("\n2. Văn bản hết hiệu lực kể từ ngày "), F.date_format(F.date_add(d, 400), "d/M/yyyy"), F.lit("."))).otherwise("")
-    text = F.concat(F.lit("Điều 1. Phạm vi\nNội dung "), "o_orderpriority", F.lit("\n\nĐiều 2. Hiệu lực thi hành\n1. "), tail, over)
+    text = F.concat(F.lit("Điều 1. Phạm vi\nNội dung "), F.repeat("o_orderpriority", 70), F.lit("\n\nĐiều 2. Hiệu lực thi hành\n1. "), tail, over)
     return t.raw("orders").select("o_orderkey", d.alias("issued"), text.alias("text"))
 
 
@@ -379,8 +379,8 @@ def citing_text(t):
         ).alias("text"))
 
 
-@query("internal_refs", """SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_partkey || ':' || l_linenumber || ':a|:2:|3::|4::|5::|7::|8::|' || l_suppkey || '::|' ||
-  CASE WHEN l_returnflag = 'R' THEN '' ELSE '9::|' END || 'C4' AS refs FROM lineitem""")
+@query("internal_refs", """SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_partkey || ':' || l_linenumber || ':a|:2:|3::|4::|5::|7::|8::|' || l_suppkey || '::|C4' ||
+  CASE WHEN l_returnflag = 'R' THEN '' ELSE '|9::' END AS refs FROM lineitem""")
 def _(t):
     line = F.array_join(F.transform(R.internal_refs(F.col("text")), lambda r: F.coalesce(
         F.concat(F.lit("C"), r["chapter"].cast("string")),
