@@ -57,6 +57,9 @@ CTES = {
   FROM lines l JOIN art a ON a.doc_id = l.doc_id JOIN docs d ON d.doc_id = l.doc_id
   JOIN embeddings e ON e.vec_id = (CAST(l.doc_id AS BIGINT) + line_no) % (SELECT count(*) FROM embeddings))""",
 }
+CTES["q"] = """q AS (SELECT item_id || '.' || pos AS query_id, b.text, e.embedding FROM (
+   SELECT item_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM benchmark) b
+  JOIN embeddings e ON e.vec_id = (item_id + pos) % (SELECT count(*) FROM embeddings) WHERE trim(b.text) <> '')"""
 NEEDS = {
     "art": ["cust"],
     "nodes": ["docs", "cust", "art", "items"],

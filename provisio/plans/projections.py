@@ -184,3 +184,11 @@ class Tables:
                 "status_flag", (F.col("status_flag").isin(1, 5)).alias("is_effective"),
             )
         )
+
+    def queries(self) -> DataFrame:
+        """Lines of the reference passages as text queries with a vector each."""
+        n_vec = self.vectors().count()
+        rows = self.raw("benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter("trim(text) <> ''")
+        return rows.withColumn("vec_id", (F.col("item_id") + F.col("pos")) % n_vec).join(
+            self.vectors().select("vec_id", "embedding"), "vec_id"
+        ).select(F.concat_ws(".", "item_id", "pos").alias("query_id"), "text", "embedding")
