@@ -2,6 +2,6 @@
 
 from provisio.plans.registry import ORACLES, QUERIES
 
-from . import corpus, effect, hierarchy, ranking, retrieval, segments  # noqa: F401
+from . import corpus, effect, hierarchy, ranking, retrieval, reviews, segments, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -359,10 +359,10 @@ def _(t):
     return enactment(t).select("o_orderkey", m.alias("m")).select("o_orderkey", "m.*")
 
 
-@query("cross_ref_number", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '/2019/nđ-cp' END AS number FROM orders WHERE o_custkey < 10000""")
+@query("cross_ref_number", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_custkey < 10000 THEN o_custkey || '/2019/nđ-cp' END AS number FROM orders""")
 def _(t):
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("từ ngày Nghị định số "), "o_custkey", F.lit("/2019/NĐ-CP về thuế có hiệu lực"))).otherwise("từ ngày ký")
-    return t.raw("orders").filter("o_custkey < 10000").select("o_orderkey", M.cross_ref_number(text).alias("number"))
+    return t.raw("orders").select("o_orderkey", M.cross_ref_number(text).alias("number"))
 
 
 # -- F ----------------------------------------------------------------------
