@@ -143,7 +143,7 @@ def _(t):
 
 @query("html_to_blocks")
 def _(t):
-    return html_to_blocks(t.raw("pages")).select("page_id", "pos", "kind", "text")
+    return html_to_blocks(t.spread("pages")).select("page_id", "pos", "kind", "text")
 
 
 def api_json(t):
@@ -327,7 +327,7 @@ def enactment(t):
     )
     over = F.when(k == 0, F.concat(F.lit("\n2. Văn bản hết hiệu lực kể từ ngày "), F.date_format(F.date_add(d, 400), "d/M/yyyy"), F.lit("."))).otherwise("")
     text = F.concat(F.lit("Điều 1. Phạm vi\nNội dung "), F.repeat("o_orderpriority", 70), F.lit("\n\nĐiều 2. Hiệu lực thi hành\n1. "), tail, over)
-    return t.raw("orders").select("o_orderkey", d.alias("issued"), text.alias("text"))
+    return t.spread("orders").select("o_orderkey", d.alias("issued"), text.alias("text"))
 
 
 @query("effective_date", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN d + 45 WHEN 1 THEN d WHEN 2 THEN d + 15 END AS effective_date
@@ -370,7 +370,7 @@ def _(t):
 
 def citing_text(t):
     """Line items as clauses citing others in every form."""
-    return t.raw("lineitem").select(
+    return t.spread("lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_returnflag",
         F.concat(
             F.lit("Theo điểm a khoản "), "l_linenumber", F.lit(" Điều "), "l_partkey", F.lit("; khoản 2 Điều này; các điều từ 3 đến 5; các điều 7, 8 và "),

@@ -27,12 +27,12 @@ HITS = """hits AS (SELECT CAST(doc_id AS VARCHAR) AS contract_id, text, regexp_m
 
 
 def texts(t):
-    return t.raw("documents").select(F.col("doc_id").cast("string").alias("contract_id"), "text", "lang")
+    return t.spread("documents").select(F.col("doc_id").cast("string").alias("contract_id"), "text", "lang")
 
 
 def contract_fields(t):
     """Customers and orders as short Vietnamese contracts."""
-    o = t.raw("orders")
+    o = t.spread("orders")
     day = F.date_format("o_orderdate", "d/M/yyyy")
     key = F.col("o_orderkey").cast("string")
     text = F.concat(
@@ -235,7 +235,7 @@ def _(t):
 
 def ground_texts(t):
     """Orders as contract heads citing a document, right, misdated or unknown."""
-    o = t.raw("orders")
+    o = t.spread("orders")
     key = F.col("o_orderkey")
     day = F.date_format(F.date_add(F.to_date("o_orderdate"), F.when(key % 2 == 0, 0).otherwise(1)), "'ngày 'd/M/yyyy")
     num = F.concat_ws("/", F.when(key % 7 == 0, key + 5000000).otherwise(key).cast("string"), F.year("o_orderdate").cast("string"), F.lit("NĐ-CP"))
@@ -269,7 +269,7 @@ def answers(t):
     raw = (
         F.when(k % 5 == 0, F.concat(js, F.lit("}"))).when(k % 5 == 1, F.concat(F.lit("Đây:\n```json\n"), js, F.lit("}\n```")))
         .when(k % 5 == 2, F.concat(js, F.lit(",}"))).when(k % 5 == 3, F.concat(F.lit("Trả lời: "), js, F.lit("} xong"))).otherwise(F.lit("không có")))
-    return t.raw("orders").select(k.cast("string").alias("contract_id"), F.lit("Điều 1").alias("clause_ref"), raw.alias("raw"))
+    return t.spread("orders").select(k.cast("string").alias("contract_id"), F.lit("Điều 1").alias("clause_ref"), raw.alias("raw"))
 
 
 @query("parse_model_json", "SELECT CAST(o_orderkey AS VARCHAR) AS contract_id, CASE WHEN o_orderkey % 5 < 4 THEN CASE WHEN o_orderstatus = 'O' THEN 'ok' ELSE 'critical' END END AS severity FROM orders")
@@ -285,7 +285,7 @@ def _(t):
 
 
 def basis_text(t):
-    li = t.raw("lineitem")
+    li = t.spread("lineitem")
     return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.concat(
         F.lit("Thông tư 20/2023/TT-BCT: nội dung "), "l_partkey", F.lit("; Điều "), "l_linenumber", F.lit(" Bộ luật Lao động. phần "), "l_suppkey", F.lit(" [Luật | 12345:D1].")).alias("basis"))
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provisio.functions import text as T
-from provisio.operators import embed, segment
+from provisio.operators import embed, ingest, segment, tree
 from provisio.plans.registry import query
 
 LINE_HEADING = r"^(\S+)"
 
 
 def texts(t):
-    return t.raw("documents").select(F.col("doc_id").cast("string").alias("contract_id"), "text")
+    return t.spread("documents").select(F.col("doc_id").cast("string").alias("contract_id"), "text")
 
 
 @query("chunk_by_heading", """SELECT doc_id AS contract_id, line_no AS chunk_index, regexp_extract(chunk_text, '^\\S+') AS clause_number,
@@ -173,3 +173,40 @@ def _(t):
     text = F.concat(F.lit("Theo [ "), F.to_date("l_shipdate").cast("string"), F.lit(" | 12345:D1.K2] khoản "), "l_linenumber",
                     F.lit(" ; xem   thêm 1000"), "l_partkey", F.lit(":D5.K1 ."))
     return t.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", T.strip_internal_refs(text).alias("text"))
+
+
+@query("body_chunks")
+def _(t):
+    n = F.col("line_no")
+    art = t.lines().filter("line_no % 6 = 1").select(
+        "doc_id", F.lit("Article").alias("level"), F.concat(F.lit("D"), n).alias("path"), F.lit(None).cast("string").alias("parent_path"),
+        F.concat(F.lit("Điều "), n).alias("title"), F.concat(F.lit("a"), n).alias("node_id"), n.alias("node_no"))
+    owner = F.concat(F.lit("D"), n - 3)
+    clause = t.lines().filter("line_no % 6 = 4").select(
+        "doc_id", F.lit("Clause").alias("level"), F.concat(owner, F.lit(".K"), n).alias("path"), owner.alias("parent_path"),
+        F.concat(F.lit("Khoản "), n).alias("title"), F.concat(F.lit("c"), n).alias("node_id"), n.alias("node_no"))
+    out = segment.body_chunks(marked(t), art.unionByName(clause))
+    return out.select("doc_id", "path", "source_element_id", "chunk_type", F.md5("chunk_text").alias("text_md5"))
+
+
+@query("contract_ingest", """SELECT CAST(d.doc_id AS VARCHAR) AS contract_id, 'parsed' AS status, n AS chunk_count FROM documents d JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1) l ON l.doc_id = CAST(d.doc_id AS VARCHAR)""")
+def _(t):
+    files = t.spread("documents").select(F.col("doc_id").cast("string").alias("contract_id"), F.col("source").alias("user_id"), "text")
+    contracts, _chunks = ingest.contract_ingest(files, LINE_HEADING, size=1_000_000)
+    return contracts.select("contract_id", "status", "chunk_count")
+
+
+@query("graph_ancestors_4hop", """SELECT path, array_to_string(list_slice(string_split(path, '.'), 1, n), '.') AS ancestor FROM nodes, (SELECT unnest(range(1, 5)) AS n)
+  WHERE level = 'Clause' AND status_flag = 0""")
+def _(t):
+    leaf = t.nodes().filter("level = 'Clause' and status_flag = 0").select("path")
+    return tree.ancestors_of(leaf, max_hops=4)
+
+
+@query("clause_siblings", """SELECT query_id, path FROM (SELECT s.parent_path AS query_id, c.path, row_number() OVER (PARTITION BY s.parent_path ORDER BY c.path) AS rn
+  FROM (SELECT parent_path, min(path) AS path FROM nodes WHERE level = 'Clause' GROUP BY 1) s JOIN nodes c ON c.parent_path = s.parent_path AND c.path <> s.path) WHERE rn <= 24""")
+def _(t):
+    clauses = t.nodes().filter("level = 'Clause'")
+    seeds = clauses.groupBy(F.col("parent_path").alias("query_id")).agg(F.min("path").alias("path"))
+    return tree.siblings_of(seeds, clauses.select("path")).select("query_id", "path")
+

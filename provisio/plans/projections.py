@@ -42,6 +42,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy text work: with fewer input splits than cores it is spread over them.
+
+        A table of many splits (any large one) is read as it is, without a shuffle.
+        """
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def documents(self) -> DataFrame:
         o = self.raw("orders")
         key = F.col("o_orderkey")
@@ -157,7 +166,7 @@ class Tables:
 
     def lines(self) -> DataFrame:
         """Filled lines of every text, numbered within the text."""
-        d = self.raw("documents")
+        d = self.spread("documents")
         return d.select(
             F.col("doc_id").cast("string").alias("doc_id"), "lang", "source",
             F.posexplode(F.split("text", "\n")).alias("pos", "line"),
