@@ -12,3 +12,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``let v = value in body(v)``: the projections below are merged by the
     optimizer, which would otherwise repeat ``value`` at every use."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def strip(c: Column | str) -> Column:
+    """White space of every kind removed at both ends (``trim`` knows blanks only)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provisio.functions import paths as P
 from provisio.functions import scope as SC
 from provisio.functions import status as S
+from provisio.functions.let import strip
 from provisio.functions.text import article_title, clean_quote, deep_link, strip_internal_refs
 from provisio.operators.skew import top_k
 
@@ -42,9 +43,9 @@ def _object(text: Column) -> Column:
 
 def parse_model_json(raw: Column) -> Column:
     """JSON object text of a model answer: fenced block, repaired, or the first ``{…}``; else null."""
-    t = F.trim(raw)
+    t = strip(raw)
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(t.rlike(r"(?s)```(?:json)?\s*.*?```"), F.trim(fenced)).otherwise(t)
+    body = F.when(t.rlike(r"(?s)```(?:json)?\s*.*?```"), strip(fenced)).otherwise(t)
     block = F.nullif(F.regexp_extract(body, r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0), F.lit(""))
     return F.coalesce(_object(body), _object(block))
 
@@ -53,7 +54,7 @@ def _strings(json_value: Column) -> Column:
     """A JSON string or list (of strings or of ``text/point/label`` objects) as a clean list."""
     plain = F.from_json(json_value, "array<string>")
     items = F.when(json_value.startswith("["), plain).otherwise(F.array(json_value))
-    bare = F.transform(items, lambda x: F.trim(F.when(x.startswith("{"), F.coalesce(
+    bare = F.transform(items, lambda x: strip(F.when(x.startswith("{"), F.coalesce(
         F.get_json_object(x, "$.text"), F.get_json_object(x, "$.point"), F.get_json_object(x, "$.label"))).otherwise(x)))
     return F.filter(F.coalesce(bare, F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
 
@@ -66,9 +67,9 @@ def confidence(value: Column) -> Column:
 def findings_from_model(answers: DataFrame) -> DataFrame:
     """``contract_id, clause_ref, raw`` -> finding rows; ``ok`` answers without an issue are dropped."""
     j = answers.withColumn("js", parse_model_json(F.col("raw"))).filter("js is not null").withColumn("m", F.from_json("js", MODEL_FINDING))
-    trimmed = lambda c: F.nullif(F.trim(f"m.{c}"), F.lit(""))
+    trimmed = lambda c: F.nullif(strip(f"m.{c}"), F.lit(""))
     severity = F.coalesce("m.severity", F.lit("ok"))
-    quoted = F.trim(F.regexp_extract("m.recommendation", "«([^»]+)»", 1))
+    quoted = strip(F.regexp_extract("m.recommendation", "«([^»]+)»", 1))
     revised = F.coalesce(trimmed("revised_clause"), F.when(F.length(quoted) > 40, quoted))
     reasons, actions = _strings(F.col("m.reasons")), _strings(F.col("m.actions"))
     issue = F.coalesce(trimmed("issue"), F.when(F.size(reasons) > 0, F.concat(
@@ -93,18 +94,18 @@ def citations_from_text(basis: Column) -> Column:
     heads = F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
     bodies = F.slice(F.split(text, CITATION), F.lit(2), F.size(heads))
     tidy = lambda b: F.regexp_replace(F.regexp_replace(b, r"^[\s:.—–\-]+", ""), r"[\s.;]+$", "")
-    cited = F.zip_with(heads, bodies, lambda h, b: F.struct(F.rtrim(F.trim(h), F.lit(" :—–-")).alias("title"), tidy(b).alias("summary")))
+    cited = F.zip_with(heads, bodies, lambda h, b: F.struct(F.rtrim(strip(h), F.lit(" :—–-")).alias("title"), tidy(b).alias("summary")))
     generic = F.array(F.struct(F.lit(GENERIC_TITLE).alias("title"), text.alias("summary")))
     return F.when(text == "", F.slice(generic, 1, 0)).when(F.size(heads) == 0, generic).otherwise(cited)
 
 
 def citations_from_model(items: Column) -> Column:
     """Model citation array -> ``title, summary, doc_number``; untitled items are dropped."""
-    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    filled = lambda c: F.nullif(strip(c), F.lit(""))
 
     def one(c: Column) -> Column:
         title = F.coalesce(*[filled(c[n]) for n in ("title", "label", "name", "doc_number")], F.lit(""))
-        points = F.array_join(F.filter(F.transform(c["points"], lambda p: F.trim(p)), lambda p: p != ""), " ")
+        points = F.array_join(F.filter(F.transform(c["points"], lambda p: strip(p)), lambda p: p != ""), " ")
         return F.struct(
             strip_internal_refs(title).alias("title"), strip_internal_refs(F.coalesce(c["summary"], points)).alias("summary"),
             filled(c["doc_number"]).alias("doc_number"))
@@ -138,7 +139,7 @@ def ground_citations(findings: DataFrame, hits: DataFrame, as_of, max_citations:
     """
     law = SC.scope_text(F.col("title"), F.col("doc_num"), F.col("doc_type"), F.col("chunk_text"))
     pool = hits.join(findings.select("finding_id", "context"), "finding_id").filter(~SC.sector_mismatch(law, F.col("context"), sectors, general))
-    asked = findings.select("finding_id", F.posexplode("evidence_paths").alias("ord", "path")).withColumn("path", F.trim("path"))
+    asked = findings.select("finding_id", F.posexplode("evidence_paths").alias("ord", "path")).withColumn("path", strip("path"))
     none = F.lit(None).cast("string")
     by_path = asked.join(pool, ["finding_id", "path"]).withColumn("model_summary", none)
     cited = findings.select("finding_id", F.posexplode("citations").alias("ord", "c")).select(
@@ -190,10 +191,10 @@ def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFr
     finding gained evidence.
     """
     basis = F.coalesce("legal_basis", F.lit(""))
-    old_paths = F.transform("citations", lambda c: F.trim(c["evidence_path"]))
+    old_paths = F.transform("citations", lambda c: strip(c["evidence_path"]))
     raw = F.concat(F.regexp_extract_all(basis, F.lit(BRACKET_REF), F.lit(1)), F.regexp_extract_all(basis, F.lit(BARE_REF), F.lit(1)),
                    F.coalesce(old_paths, F.array().cast("array<string>")))
-    as_path = F.transform(raw, lambda r: F.coalesce(P.ref_to_path(F.trim(r)), F.when(~F.contains(r, F.lit(":")), F.trim(r))))
+    as_path = F.transform(raw, lambda r: F.coalesce(P.ref_to_path(strip(r)), F.when(~F.contains(r, F.lit(":")), strip(r))))
     f = findings.withColumn("refs", F.array_distinct(F.filter(as_path, lambda r: F.coalesce(r != "", F.lit(False)))))
     number = lambda c: F.nullif(F.regexp_extract(F.concat_ws(" ", c["doc_number"], c["title"], c["summary"]), f"(?iu){NUMBER}", 0), F.lit(""))
 
@@ -202,12 +203,12 @@ def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFr
     quote, loc = clean_quote(F.col("chunk_text")), P.path_location(F.col("path"))
     new_rows = evidence.select(
         "finding_id", F.lit(0).alias("part"), "ord", F.coalesce("title", "doc_num", F.lit(GENERIC_TITLE)).alias("title"),
-        F.coalesce(F.trim(gist), F.lit("")).alias("summary"), F.col("doc_num").alias("doc_number"), "source_url",
+        F.coalesce(strip(gist), F.lit("")).alias("summary"), F.col("doc_num").alias("doc_number"), "source_url",
         deep_link(F.col("source_url"), F.col("source_element_id"), F.coalesce(article_title(F.col("chunk_text")), loc["article"], quote)).alias("deep_link"),
         F.col("path").alias("evidence_path"))
     seen = new_rows.groupBy("finding_id").agg(F.collect_set(F.lower("doc_number")).alias("seen"))
     old = f.join(seen, "finding_id", "left").select("finding_id", "refs", "seen", F.posexplode("citations").alias("ord", "c")).withColumn("num", number(F.col("c")))
-    old = old.filter(~F.coalesce(F.array_contains("refs", F.trim("c.evidence_path")), F.lit(False))
+    old = old.filter(~F.coalesce(F.array_contains("refs", strip("c.evidence_path")), F.lit(False))
                      & ~F.coalesce(F.array_contains("seen", F.lower("num")), F.lit(False)))
     text = F.lower(F.concat_ws(" ", "c.title", "c.summary"))
     alias = F.coalesce(*[F.when(F.contains(text, F.lit(k)) & F.contains(text, F.lit(y)), F.lit(n)) for k, y, n in LAW_ALIASES])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import status as S
+from provisio.functions.let import strip
 from provisio.functions.metadata import parse_local_date
 from provisio.operators.retrieve import lookup_doc_number
 
@@ -27,9 +28,9 @@ def preamble_citations(texts: DataFrame) -> DataFrame:
     """``contract_id, text`` -> ``contract_id, pos, raw, doc_num, name_hint, cited_date``; first of equal ones."""
     lines = F.regexp_extract_all(extract_preamble(F.col("text")), F.lit(GROUND_LINE), F.lit(1))
     rows = texts.select("contract_id", F.posexplode(lines).alias("pos", "line"))
-    raw = F.rtrim(F.trim("line"), F.lit(".;,"))
+    raw = F.rtrim(strip("line"), F.lit(".;,"))
     num = F.nullif(F.regexp_extract(raw, f"(?iu){NUMBER}", 1), F.lit(""))
-    after = F.trim(F.regexp_replace(raw, f"(?iuU)^{INSTRUMENT}", ""))
+    after = strip(F.regexp_replace(raw, f"(?iuU)^{INSTRUMENT}", ""))
     named = F.when(num.isNotNull() & F.contains(F.lower(after), F.lit("số")), F.get(F.split(after, r"(?iuU)\bsố\b", 2), F.lit(0))).otherwise(
         F.substring(after, 1, 80))
     day = parse_local_date(F.regexp_replace(F.lower(F.regexp_extract(raw, f"(?iuU){CITED_DATE}", 0)), r"\s*/\s*", "/"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provisio.functions.let import bind
+from provisio.functions.let import bind, strip
 from provisio.functions.paths import lookup
 from provisio.functions.text import strip_internal_refs
 from provisio.operators.skew import top_k
@@ -30,7 +30,7 @@ TOPIC_WORDS = (
 
 def clean_text(c: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\*\*(.+?)\*\*", "$1"), r"__(.+?)__", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"^[-•*]+\s+", ""), r"^\d+[.)]\s+", ""))
+    return strip(F.regexp_replace(F.regexp_replace(s, r"^[-•*]+\s+", ""), r"^\d+[.)]\s+", ""))
 
 
 def severity_rank(c: Column) -> Column:
@@ -61,10 +61,10 @@ def filter_findings(findings: DataFrame, severity: str = "all") -> DataFrame:
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """First finding per key in sort order: clause for critical ones, clause and topic else."""
-    clause = F.lower(F.trim(F.regexp_replace(F.coalesce("clause_ref", F.lit("")), r"(?U)\s+", " ")))
+    clause = F.lower(strip(F.regexp_replace(F.coalesce("clause_ref", F.lit("")), r"(?U)\s+", " ")))
     topic = F.coalesce(F.nullif(F.get("summary_topics", F.lit(0)), F.lit("")), F.nullif("title", F.lit("")), F.substring(F.coalesce("issue", F.lit("")), 1, 48))
     key = F.when((F.col("severity") == "critical") & (clause != ""), F.concat(F.lit("clause-critical::"), clause)).otherwise(
-        F.concat(clause, F.lit("::"), F.lower(F.trim(topic))))
+        F.concat(clause, F.lit("::"), F.lower(strip(topic))))
     rows = sort_keys(findings)
     rest = [c for c in rows.columns if c != "contract_id"]
     best = rows.groupBy("contract_id", key.alias("dedupe_key")).agg(
@@ -111,17 +111,17 @@ def clause_index(clauses: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: strip(x)), lambda x: x != "")
 
 
 def parse_issue(issue: Column) -> Column:
     """Labelled lines -> ``conclusion, reasons``; a small state machine over the lines."""
-    lines = F.transform(_lines(F.trim(F.coalesce(issue, F.lit("")))), lambda x: F.trim(F.regexp_replace(x, r"^[-•*]+\s+", "")))
+    lines = F.transform(_lines(strip(F.coalesce(issue, F.lit("")))), lambda x: strip(F.regexp_replace(x, r"^[-•*]+\s+", "")))
     start = F.struct(F.lit("").alias("conclusion"), F.array().cast("array<string>").alias("reasons"), F.lit("start").alias("mode"))
 
     def step(acc, line):
         label = F.regexp_replace(F.lower(F.regexp_extract(line, LABEL, 1)), r"(?U)\s+", " ")
-        rest = F.trim(F.regexp_extract(line, LABEL, 2))
+        rest = strip(F.regexp_extract(line, LABEL, 2))
         labeled = line.rlike(LABEL)
         verdict = labeled & label.rlike("kết luận|vi phạm")
         why = (labeled & label.rlike("lý do|rủi ro")) | line.rlike(r"(?iuU)^Lý\s*do\s*:?\s*$")
@@ -145,10 +145,10 @@ def parse_issue(issue: Column) -> Column:
 
 def parse_recommendation(text: Column) -> Column:
     """``sections (title, items)`` and the ``draft`` in « »."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    draft = F.nullif(F.trim(F.regexp_extract(t, "«([^»]+)»", 1)), F.lit(""))
-    bare = F.when(draft.isNotNull(), F.trim(F.regexp_replace(F.regexp_replace(t, "«[^»]+»", ""), r"\n{2,}", "\n"))).otherwise(t)
-    lines = F.filter(F.transform(_lines(bare), lambda x: clean_text(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[-•*]+\s+", ""), r"^\d+[.)]\s+", "")))),
+    t = strip(F.coalesce(text, F.lit("")))
+    draft = F.nullif(strip(F.regexp_extract(t, "«([^»]+)»", 1)), F.lit(""))
+    bare = F.when(draft.isNotNull(), strip(F.regexp_replace(F.regexp_replace(t, "«[^»]+»", ""), r"\n{2,}", "\n"))).otherwise(t)
+    lines = F.filter(F.transform(_lines(bare), lambda x: clean_text(strip(F.regexp_replace(F.regexp_replace(x, r"^[-•*]+\s+", ""), r"^\d+[.)]\s+", "")))),
                      lambda x: (x != "") & ~x.rlike(DRAFT_LABEL))
     empty = F.array().cast("array<struct<title:string,items:array<string>>>")
     start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("items"))
@@ -177,7 +177,7 @@ def short_title(text: Column, width: int = 72) -> Column:
         head = F.substring(t, 1, width)
         at = F.length(F.regexp_extract(head, r"(?s)^(.*)[ ,]", 1))
         return F.when(t == "", NO_TITLE).when(F.length(t) <= width, t).otherwise(
-            F.concat(F.trim(F.when(at > 40, F.substr(head, F.lit(1), at)).otherwise(head)), F.lit("…")))
+            F.concat(strip(F.when(at > 40, F.substr(head, F.lit(1), at)).otherwise(head)), F.lit("…")))
 
     return bind(clean_text(text), cut)
 
@@ -204,13 +204,13 @@ def normalize_finding_view(findings: DataFrame, catalog=TOPIC_WORDS) -> DataFram
     c = F.col("confidence")
     return f.select(
         "contract_id", "ord", "clause_ref", "severity",
-        F.coalesce(F.nullif(F.trim("title"), F.lit("")), short_title(F.col("__i.conclusion"), 64)).alias("title"),
+        F.coalesce(F.nullif(strip("title"), F.lit("")), short_title(F.col("__i.conclusion"), 64)).alias("title"),
         F.col("__i.conclusion").alias("description"), F.col("__reasons").alias("reasons"),
         either("summary_topics", derive_topics(F.col("__reasons"), F.col("__i.conclusion"), catalog)).alias("summary_topics"),
         listed("impact").alias("impact"), either("actions", from_text).alias("actions"),
         F.nullif(strip_internal_refs(F.col("legal_basis")), F.lit("")).alias("basis"),
-        F.coalesce(F.nullif(F.trim("revised_clause"), F.lit("")), "__r.draft").alias("revised_clause"),
-        F.nullif(F.trim("original_clause"), F.lit("")).alias("original_clause"),
+        F.coalesce(F.nullif(strip("revised_clause"), F.lit("")), "__r.draft").alias("revised_clause"),
+        F.nullif(strip("original_clause"), F.lit("")).alias("original_clause"),
         F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(c > 1, c / 100).otherwise(c)))).alias("confidence"))
 
 
@@ -249,8 +249,8 @@ def citation_status_label(raw: Column) -> Column:
 
 def citation_body(quote: Column, summary: Column, has_evidence: Column) -> Column:
     """``text, kind, gist``: the quote; the summary beside it only when neither holds the other."""
-    q, s = F.nullif(F.trim(quote), F.lit("")), F.nullif(F.trim(summary), F.lit(""))
-    norm = lambda t: F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
+    q, s = F.nullif(strip(quote), F.lit("")), F.nullif(strip(summary), F.lit(""))
+    norm = lambda t: F.lower(strip(F.regexp_replace(t, r"(?U)\s+", " ")))
     same = F.contains(norm(q), norm(s)) | F.contains(norm(s), norm(q))
     kind = F.when(has_evidence, "verbatim").otherwise("gist")
     none = F.lit(None).cast("string")

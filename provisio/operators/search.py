@@ -73,9 +73,11 @@ class _Best:
 
     def frame(self, ids: list[str]) -> pd.DataFrame:
         sizes = [len(s) for s in self.scores]
+        # object columns: an empty Arrow-backed string column cannot be shipped back
         return pd.DataFrame({
-            "query_id": np.repeat(np.asarray(ids, dtype=object), sizes),
-            "path": np.concatenate(self.paths) if sizes else [], "score": np.concatenate(self.scores) if sizes else [],
+            "query_id": pd.Series(np.repeat(np.asarray(ids, dtype=object), sizes), dtype=object),
+            "path": pd.Series(np.concatenate(self.paths) if sizes else [], dtype=object),
+            "score": pd.Series(np.concatenate(self.scores) if sizes else [], dtype="float64"),
         })
 
 
@@ -113,7 +115,9 @@ def knn(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK)
             scores, paths = _scores(q, b["embedding"]), b["path"].to_numpy()
             for i in range(len(ids)):
                 best.add(i, scores[i], paths)
-        yield best.frame(ids)
+        found = best.frame(ids)
+        if len(found):
+            yield found
 
     return _merge(rows.mapInPandas(scan, HIT_SCHEMA), n)
 
@@ -184,7 +188,9 @@ def knn_ann(queries: DataFrame, corpus: DataFrame, n: int, centers: np.ndarray,
                 scores = np.round(matrix[who[c]] @ v[rows].T, DIGITS)
                 for k, i in enumerate(who[c]):
                     best.add(int(i), scores[k], paths[rows])
-        yield best.frame(ids)
+        found = best.frame(ids)
+        if len(found):
+            yield found
 
     return _merge(corpus.select("path", "embedding").mapInPandas(scan, HIT_SCHEMA), n)
 
