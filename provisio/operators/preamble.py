@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import status as S
-from provisio.functions.let import strip
+from provisio.functions.let import bind, strip
 from provisio.functions.metadata import parse_local_date
 from provisio.operators.retrieve import lookup_doc_number
 
@@ -27,16 +27,23 @@ def extract_preamble(text: Column) -> Column:
 def preamble_citations(texts: DataFrame) -> DataFrame:
     """``contract_id, text`` -> ``contract_id, pos, raw, doc_num, name_hint, cited_date``; first of equal ones."""
     lines = F.regexp_extract_all(extract_preamble(F.col("text")), F.lit(GROUND_LINE), F.lit(1))
-    rows = texts.select("contract_id", F.posexplode(lines).alias("pos", "line"))
-    raw = F.rtrim(strip("line"), F.lit(".;,"))
-    num = F.nullif(F.regexp_extract(raw, f"(?iu){NUMBER}", 1), F.lit(""))
-    after = strip(F.regexp_replace(raw, f"(?iuU)^{INSTRUMENT}", ""))
-    named = F.when(num.isNotNull() & F.contains(F.lower(after), F.lit("số")), F.get(F.split(after, r"(?iuU)\bsố\b", 2), F.lit(0))).otherwise(
-        F.substring(after, 1, 80))
-    day = parse_local_date(F.regexp_replace(F.lower(F.regexp_extract(raw, f"(?iuU){CITED_DATE}", 0)), r"\s*/\s*", "/"))
-    out = rows.select(
-        "contract_id", "pos", raw.alias("raw"), num.alias("doc_num"), F.nullif(F.trim(named, F.lit(" ,.-")), F.lit("")).alias("name_hint"),
-        day.alias("cited_date"), F.lower(F.coalesce(num, raw)).alias("key"))
+
+    def parse(raw: Column) -> Column:
+        num = F.nullif(F.regexp_extract(raw, f"(?iu){NUMBER}", 1), F.lit(""))
+        after = strip(F.regexp_replace(raw, f"(?iuU)^{INSTRUMENT}", ""))
+        day = parse_local_date(F.regexp_replace(F.lower(F.regexp_extract(raw, f"(?iuU){CITED_DATE}", 0)), r"\s*/\s*", "/"))
+
+        def row(x: Column) -> Column:
+            named = F.when(x["num"].isNotNull() & F.contains(F.lower(x["after"]), F.lit("số")), F.get(
+                F.split(x["after"], r"(?iuU)\bsố\b", 2), F.lit(0))).otherwise(F.substring(x["after"], 1, 80))
+            return F.struct(
+                raw.alias("raw"), x["num"].alias("doc_num"), F.nullif(F.trim(named, F.lit(" ,.-")), F.lit("")).alias("name_hint"),
+                x["day"].alias("cited_date"), F.lower(F.coalesce(x["num"], raw)).alias("key"))
+
+        return bind(F.struct(num.alias("num"), after.alias("after"), day.alias("day")), row)
+
+    parsed = F.transform(lines, lambda line: bind(F.rtrim(strip(line), F.lit(".;,")), parse))
+    out = texts.select("contract_id", F.posexplode(parsed).alias("pos", "c")).select("contract_id", "pos", "c.*")
     first = out.groupBy("contract_id", "key").agg(F.min_by(F.struct("pos", "raw", "doc_num", "name_hint", "cited_date"), "pos").alias("c"))
     return first.select("contract_id", "c.*")
 
