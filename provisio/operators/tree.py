@@ -235,17 +235,18 @@ def ancestors_of(paths: DataFrame, max_hops: int | None = None) -> DataFrame:
     return paths.select("path", F.explode(prefixes).alias("ancestor"))
 
 
-def siblings_of(seeds: DataFrame, chunks: DataFrame, limit: int = 24, max_seeds: int = 16) -> DataFrame:
+def siblings_of(seeds: DataFrame, chunks: DataFrame, limit: int = 24) -> DataFrame:
     """Up to ``limit`` chunks per query under the parents of its seeds, seeds excluded.
 
-    ``seeds``: ``query_id, path`` with at most ``max_seeds`` rows per query (a
-    top-k result).  A parent can serve at most ``limit + max_seeds`` rows to one
-    query, so its children are cut to that many, in path order, before the join;
-    a parent holding most of the corpus costs no more than a small one.
+    A parent can give one query at most ``limit`` rows besides the query's own
+    seeds, so its children are cut to ``limit`` plus the largest number of seeds
+    one query has under one parent (read first; one aggregated row) before the
+    join.  A parent holding most of the corpus costs no more than a small one.
     """
     parent = P.path_parent(F.col("path"))
-    wanted = seeds.select("query_id", parent.alias("parent_path")).distinct()
+    wanted = seeds.select("query_id", parent.alias("parent_path")).groupBy("query_id", "parent_path").agg(F.count(F.lit(1)).alias("n"))
+    most = wanted.agg(F.max("n")).first()[0] or 0
     children = chunks.select("path", parent.alias("parent_path"))
-    few = top_k(children, ["parent_path"], ["path"], limit + max_seeds).select("parent_path", "path")
+    few = top_k(children, ["parent_path"], ["path"], limit + most).select("parent_path", "path")
     found = wanted.join(few, "parent_path").join(seeds.select("query_id", "path"), ["query_id", "path"], "left_anti")
     return top_k(found.select("query_id", "path").distinct(), ["query_id"], ["path"], limit)
