@@ -25,6 +25,8 @@ DIGITS = 6
 # At most this many query rows are shipped to every task (x 1024 doubles = 32 MB).
 QUERY_BLOCK = 4096
 CELL_ROWS = 200_000
+# Largest word list that is shipped to every task.
+SHIPPED_BYTES = 32 * 1024 * 1024
 HIT_SCHEMA = "query_id string, path string, score double"
 
 
@@ -241,6 +243,15 @@ def query_words(queries: DataFrame) -> DataFrame:
     ).filter("size(words) > 0")
 
 
+def _shipping_hint(asked: DataFrame):
+    """Broadcast for a word list whose measured size is small, else a plain (shuffled) join.
+
+    With it the exploded corpus is filtered where it is read and never shuffled.
+    """
+    size = asked.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    return F.broadcast if size <= SHIPPED_BYTES else (lambda df: df)
+
+
 def fts_matches(queries: DataFrame, corpus: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Chunks holding all tokens of a query: ``query_id, path, score``.
 
@@ -252,14 +263,15 @@ def fts_matches(queries: DataFrame, corpus: DataFrame, scope: DataFrame | None =
     if scope is None:
         entries = words.select("path", F.explode(F.array_distinct("body")).alias("word"))
         asked = q.select("query_id", F.explode("words").alias("word"))
+        small = _shipping_hint(asked)
         frequency = (
-            entries.join(asked.select("word").distinct(), "word", "left_semi")
+            entries.join(small(asked.select("word").distinct()), "word", "left_semi")
             .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
         rarest = (
             asked.join(frequency, "word", "left").groupBy("query_id")
             .agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min_by("word", F.struct("df", "word")).alias("word"))
             .filter("least > 0").select("query_id", "word"))
-        pairs = entries.join(rarest, "word").select("query_id", "path")
+        pairs = entries.join(small(rarest), "word").select("query_id", "path")
         full = pairs.join(words, "path")
     else:
         full = scope.select(F.col("query_id").cast("string").alias("query_id"), "doc_id").distinct().join(words, "doc_id")
