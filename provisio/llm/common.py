@@ -12,8 +12,6 @@ from provisio.session import shared_folder
 
 #: Spark drops the shuffle files of a finished execution under this setting; a settled table does not need them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Lower case of A-Z only, for texts as bytes.
-WHITE = b" \t\n\x0b\x0c\r"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -67,3 +65,10 @@ def lower_ascii(text: bytes) -> bytes:
 def words_of(text: bytes) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` (``bytes.split`` parts at just these)."""
     return text.split()
+
+
+def vocabulary(name: str) -> str:
+    """Place of an installed public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash
-from .common import read
+from . import decontaminate, exact_dedup, html_main, packing, pseudonyms, sharding, simhash, substring_dedup, toxicity, url_rules
+from .common import read, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Shards of the placement query, and the demonstration key of the pseudonyms (a user brings a secret one).
+SHARDS = [f"shard-{i:03d}" for i in range(256)]
+KEY = b"public demonstration key"
 
 
 def query(name: str, sql: str | None = None):
@@ -44,3 +48,40 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return html_main.extract(read(spark, folder, "pages"))
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, folder, "documents"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(read(spark, folder, "documents"), SHARDS).select("doc_id", "slot", "shard")
+
+
+@query("op5_url_filters")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(read(spark, folder, "pages"), read(spark, folder, "labels"))
+
+
+@query("op6_pii_pseudonyms")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = pseudonyms.pseudonyms(read(spark, folder, "documents").select("doc_id", "text"), KEY)
+    kinds = F.map_values("found")
+    return found.select("doc_id", F.aggregate(kinds, F.lit(0).cast("bigint"), lambda s, n: s + n).alias("n_values"), "found", "text")
