@@ -15,7 +15,6 @@ but is not listed.  An empty benchmark hits nothing.  Extra columns are not read
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,8 +113,12 @@ def _hits(words: list[bytes], firsts: dict, index: dict, wins: list[list[bytes]]
     return spans, found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, width: int = 3, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """All columns of ``docs`` and ``hit``: struct(n_words, spans array<int> (start, end, ...), items array<string>).
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, size: int = 10, width: int = 3, piece_bytes: int = PIECE_BYTES, out: str = "hit"
+) -> DataFrame:
+    """All columns of ``docs`` and ``out``: struct(n_words, spans array<int> (start, end, ...), items array<string>).
+
+    A column that is already called ``out`` gives way.
 
     The benchmark's windows go to the tasks in pieces of at most about ``piece_bytes``;
     a benchmark of any size takes as many passes as it has pieces.
@@ -123,8 +126,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, width:
     wins = settle(windows(benchmark, size))
     held = wins.agg(F.sum(F.length("win") + F.size("items") * 16)).first()[0] or 0
     pieces = max(1, -(-int(held) // piece_bytes))
-    names = docs.columns
-    rows = docs.withColumn("__hit", F.lit(None).cast("struct<n_words:bigint,spans:array<int>,items:array<string>>"))
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    rows = docs.select(*names).withColumn("__hit", F.lit(None).cast("struct<n_words:bigint,spans:array<int>,items:array<string>>"))
     for piece in range(pieces):
         part = wins.filter(F.pmod(F.xxhash64("win"), F.lit(pieces)) == piece).orderBy("win").toArrow()
         words = [w.split() for w in part.column("win").to_pylist()]
@@ -132,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, width:
         rows = _marked(rows, words, items, prefixes(words, token_counts(docs, words, width), width))
         if piece % 4 == 3:
             rows = settle(rows)
-    return rows.select(*names, F.col("__hit").alias("hit"))
+    return rows.select(*names, F.col("__hit").alias(out))
 
 
 def _marked(rows: DataFrame, wins: list, items: list, index: dict) -> DataFrame:
@@ -183,8 +186,4 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
-    return decontaminate(docs, benchmark, size).filter(F.size("hit.spans") == 0).select(*docs.columns)
-
-
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return decontaminate(docs, benchmark, size, out="__found").filter(F.size("__found.spans") == 0).select(*docs.columns)
