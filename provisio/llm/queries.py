@@ -45,7 +45,25 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(read(spark, folder, "documents"))
 
 
-@query("op10_benchmark_decontamination")
+@query("op10_benchmark_decontamination", sql="""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), items AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), spans AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)
+), hits AS (SELECT r, i, n, item_id FROM spans JOIN items USING (win, n)),
+words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -65,7 +83,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", sql="""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, row_number() OVER () AS r FROM documents
+), win AS (
+  SELECT r, i, md5(list_aggregate(w[i:i + 34], 'string_agg', ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS i
+  FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1
+), lost AS (SELECT r, count(*) AS n, list(i) AS l FROM gone GROUP BY r)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(CASE WHEN lost.n IS NULL THEN array_to_string(w, ' ') ELSE (
+         SELECT string_agg(x, ' ' ORDER BY j) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j)
+         WHERE NOT list_contains(lost.l, j)) END, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r)
+""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, folder, "documents"))
 
