@@ -18,8 +18,10 @@ columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,36 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Chunks of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+#: Chunks and words that a worker remembers in each of two generations, and the longest chunk of them.
+REMEMBERED, LONGEST = 300_000, 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
 
-_memory: dict[str, tuple] = {}
+#: Chunks for which the tokenizer's own steps are plain: composed Latin letters, printable ASCII.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]{1,64}")
+# Fixed value: how the vocabulary's file parts such chunks into words, in lower case.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+SPECIAL = "<|"
+
+_encoders: dict[str, Encoder] = {}
+
+
+class Recent(dict):
+    """A memory of at most two generations: what is asked for stays, the rest is forgotten."""
+
+    def __init__(self, make: Callable, most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        if len(key) <= LONGEST:
+            self[key] = value
+        return value
 
 
 class Encoder:
@@ -41,40 +68,39 @@ class Encoder:
 
     White space of ASCII never lies inside a token of this vocabulary, nor does a
     step of the tokenizer look across it, so the chunks between are encoded each for itself
-    and remembered.
+    and remembered.  Plain chunks fall into words, which the tokenizer's model splits; all others
+    take the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: letters.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        self.words = Recent(self._word)
+        self.chunks = Recent(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "surrogatepass")
+        if PLAIN.fullmatch(text) and SPECIAL not in text:
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
         """One for each worker process."""
-        if path not in _memory:
-            _memory[path] = cls(path)
-        return _memory[path]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        new = set().union(*parts).difference(known)
-        if len(known) + len(new) > REMEMBERED and known:
-            known.clear()
-            new = set().union(*parts)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in some], add_special_tokens=False)
-            for chunk, e in zip(some, found):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 def tokenised(docs: DataFrame, tokenizer: str, tokens: int, end: int = 0) -> DataFrame:
@@ -88,10 +114,9 @@ def tokenised(docs: DataFrame, tokenizer: str, tokens: int, end: int = 0) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                texts = [x or "" for x in some.column(1).to_pylist()]
                 out: list[list] = [[] for _ in range(7)]
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(texts)):
-                    ids += tail
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    ids = encoder.encode(text or "") + tail
                     for piece, start in enumerate(range(0, len(ids), 4 * tokens)):
                         own = ids[start:start + 4 * tokens]
                         n = len(own) // 4
