@@ -8,6 +8,7 @@ search starts from each query's rarest token.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -92,40 +93,54 @@ def _merge(partial: DataFrame, n: int) -> DataFrame:
         "rank0", F.col("rank1") - 1).drop("rank1")
 
 
+def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Ids and unit vectors of the queries in blocks of at most ``block`` rows, one on the driver at a time."""
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").filter("embedding is not null")
+    lots = max(1, -(-rows.count() // max(1, block // 2)))
+    lot = F.pmod(F.xxhash64("query_id"), F.lit(lots))
+    for i in range(lots):
+        own = rows.filter(lot == i).collect() if lots > 1 else rows.collect()
+        for at in range(0, len(own), block):
+            some = own[at:at + block]
+            yield [r[0] for r in some], _unit(np.asarray([r[1] for r in some], dtype=np.float64))
+
+
+def _union(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], HIT_SCHEMA)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-n: ``query_id, path, score, rank0``.
 
-    ``queries``: ``query_id, embedding``; ``corpus``: ``path, embedding``.  A
-    query set of at most ``block`` rows goes to every task and the corpus is
-    scanned once without a shuffle.  A larger set takes :func:`knn_blocks`.
+    ``queries``: ``query_id, embedding``; ``corpus``: ``path, embedding``.  Queries
+    go to every task in blocks of bounded size; each block scans the corpus
+    once, without a shuffle, whatever the number of queries.
     """
-    head = queries.select(F.col("query_id").cast("string"), "embedding").filter("embedding is not null").limit(block + 1).collect()
     rows = corpus.select("path", "embedding").filter("embedding is not null")
-    if len(head) > block:
-        return knn_blocks(queries, corpus, n, block)
-    if not head:
-        return rows.sparkSession.createDataFrame([], HIT_SCHEMA + ", rank0 int")
-    ids = [r[0] for r in head]
-    matrix = rows.sparkSession.sparkContext.broadcast(_unit(np.asarray([r[1] for r in head], dtype=np.float64)))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = matrix.value
-        best = _Best(len(ids), n)
-        for b in batches:
-            if not len(b):
-                continue
-            scores, paths = _scores(q, b["embedding"]), b["path"].to_numpy()
-            for i in range(len(ids)):
-                best.add(i, scores[i], paths)
-        found = best.frame(ids)
-        if len(found):
-            yield found
 
-    return _merge(rows.mapInPandas(scan, HIT_SCHEMA), n)
+    def scanned(ids: list[str], vectors: np.ndarray) -> DataFrame:
+        matrix = rows.sparkSession.sparkContext.broadcast(vectors)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q = matrix.value
+            best = _Best(len(ids), n)
+            for b in batches:
+                if not len(b):
+                    continue
+                scores, paths = _scores(q, b["embedding"]), b["path"].to_numpy()
+                for i in range(len(ids)):
+                    best.add(i, scores[i], paths)
+            found = best.frame(ids)
+            if len(found):
+                yield found
+
+        return rows.mapInPandas(scan, HIT_SCHEMA)
+
+    return _merge(_union([scanned(*q) for q in query_blocks(queries, block)], rows), n)
 
 
 def knn_blocks(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Exact top-n for query sets too large to ship.
+    """Exact top-n where queries and chunks are both dealt to groups by the shuffle.
 
     Queries fall into blocks and chunks into cells of bounded size by key hash;
     each (block, cell) pair is one group of bounded size that yields the best
@@ -154,47 +169,45 @@ def knn_blocks(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY
 # -- G3: approximate vector search ---------------------------------------------
 
 
-def train_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42, train_rows: int = 500_000) -> np.ndarray:
-    """Centroids of a coarse quantiser, from at most about ``train_rows`` vectors."""
+def train_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42) -> np.ndarray:
+    """Centroids of a coarse quantiser, fitted on all vectors; give more cells to a larger corpus."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = corpus.select(array_to_vector("embedding").alias("features"))
-    total = rows.count()
-    if total > train_rows:
-        rows = rows.sample(False, train_rows / total, seed)
     return np.asarray(KMeans(k=n_cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
 
 
 def knn_ann(queries: DataFrame, corpus: DataFrame, n: int, centers: np.ndarray, probes: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
-    """Approximate top-n: a chunk meets only the queries that probe its cell."""
-    head = queries.select(F.col("query_id").cast("string"), "embedding").limit(block + 1).collect()
-    if len(head) > block:
-        raise ValueError(f"more than {block} queries: call knn_ann per block, or knn for an exact result")
-    ids = [r[0] for r in head]
-    q = _unit(np.asarray([r[1] for r in head], dtype=np.float64))
-    near = np.argsort(-(q @ _unit(centers).T), axis=1)[:, :probes]
-    asked = [np.flatnonzero((near == c).any(axis=1)) for c in range(len(centers))]
-    shipped = corpus.sparkSession.sparkContext.broadcast((q, _unit(centers), asked))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, cells, who = shipped.value
-        best = _Best(len(ids), n)
-        for b in batches:
-            if not len(b):
-                continue
-            v = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
-            home, paths = np.argmax(v @ cells.T, axis=1), b["path"].to_numpy()
-            for c in np.unique(home):
-                rows = np.flatnonzero(home == c)
-                scores = np.round(matrix[who[c]] @ v[rows].T, DIGITS)
-                for k, i in enumerate(who[c]):
-                    best.add(int(i), scores[k], paths[rows])
-        found = best.frame(ids)
-        if len(found):
-            yield found
-
-    return _merge(corpus.select("path", "embedding").mapInPandas(scan, HIT_SCHEMA), n)
+    """Approximate top-n: a chunk meets only the queries that probe its cell; any number of queries, in blocks."""
+    rows = corpus.select("path", "embedding").filter("embedding is not null")
+    cells = _unit(centers)
+
+    def scanned(ids: list[str], q: np.ndarray) -> DataFrame:
+        near = np.argsort(-(q @ cells.T), axis=1)[:, :probes]
+        asked = [np.flatnonzero((near == c).any(axis=1)) for c in range(len(cells))]
+        shipped = rows.sparkSession.sparkContext.broadcast((q, cells, asked))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matrix, cells, who = shipped.value
+            best = _Best(len(ids), n)
+            for b in batches:
+                if not len(b):
+                    continue
+                v = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
+                home, paths = np.argmax(v @ cells.T, axis=1), b["path"].to_numpy()
+                for c in np.unique(home):
+                    at = np.flatnonzero(home == c)
+                    scores = np.round(matrix[who[c]] @ v[at].T, DIGITS)
+                    for k, i in enumerate(who[c]):
+                        best.add(int(i), scores[k], paths[at])
+            found = best.frame(ids)
+            if len(found):
+                yield found
+
+        return rows.mapInPandas(scan, HIT_SCHEMA)
+
+    return _merge(_union([scanned(*q) for q in query_blocks(queries, block)], rows), n)
 
 
 # -- G1, G7: search inside one contract or a set of documents --------------------
@@ -243,36 +256,37 @@ def query_words(queries: DataFrame) -> DataFrame:
     ).filter("size(words) > 0")
 
 
-def _shipping_hint(asked: DataFrame):
-    """Broadcast for a word list whose measured size is small, else a plain (shuffled) join.
-
-    With it the exploded corpus is filtered where it is read and never shuffled.
-    """
-    size = asked.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-    return F.broadcast if size <= SHIPPED_BYTES else (lambda df: df)
+def _is_small(words: DataFrame) -> bool:
+    """Whether a word list is small enough for every task, by its measured size."""
+    return (words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= SHIPPED_BYTES
 
 
 def fts_matches(queries: DataFrame, corpus: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Chunks holding all tokens of a query: ``query_id, path, score``.
 
-    The rarest token of each query picks the candidates (one narrow join on the
-    token); only those are read in full to test the other tokens and to rank.
+    The rarest token of each query picks the candidates.  Where the queries' words fit every
+    task, a chunk that holds such a token carries its body along, and the corpus is
+    neither shuffled nor joined with itself; more words join narrow rows first and the bodies of the
+    candidates afterwards.
     """
     q = query_words(queries)
     words = corpus.select("path", *([] if scope is None else ["doc_id"]), tokens(F.col("chunk_text")).alias("body"))
     if scope is None:
-        entries = words.select("path", F.explode(F.array_distinct("body")).alias("word"))
         asked = q.select("query_id", F.explode("words").alias("word"))
-        small = _shipping_hint(asked)
+        small = _is_small(asked)
+        ship = F.broadcast if small else (lambda df: df)
+        held = words.withColumn("word", F.explode(F.array_distinct("body")))
         frequency = (
-            entries.join(small(asked.select("word").distinct()), "word", "left_semi")
+            held.select("word").join(ship(asked.select("word").distinct()), "word", "left_semi")
             .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
         rarest = (
             asked.join(frequency, "word", "left").groupBy("query_id")
             .agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min_by("word", F.struct("df", "word")).alias("word"))
             .filter("least > 0").select("query_id", "word"))
-        pairs = entries.join(small(rarest), "word").select("query_id", "path")
-        full = pairs.join(words, "path")
+        if small:
+            full = held.join(ship(rarest), "word")
+        else:
+            full = held.select("path", "word").join(rarest, "word").select("query_id", "path").join(words, "path")
     else:
         full = scope.select(F.col("query_id").cast("string").alias("query_id"), "doc_id").distinct().join(words, "doc_id")
     hit = full.join(q, "query_id").filter(F.size(F.array_except("words", "body")) == 0)
@@ -360,7 +374,7 @@ def fuzzy_doc_search(queries: DataFrame, docs: DataFrame, n: int = 5, least: flo
     frequency = entries.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = asked.join(frequency, "g", "left").groupBy("query_id", "m").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("gs"))
-    prefix = by_rarity.select("query_id", F.explode(F.slice("gs", F.lit(1), (F.col("m") - F.ceil(F.col("m") * least) + 1).cast("int"))).alias("x")).select(
+    prefix = by_rarity.select("query_id", F.explode(F.slice("gs", F.lit(1), (F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1).cast("int"))).alias("x")).select(
         "query_id", F.col("x.g").alias("g"))
     pairs = prefix.join(entries, "g").select("query_id", "doc_id").distinct()
     full = pairs.join(q, "query_id").join(d, "doc_id")

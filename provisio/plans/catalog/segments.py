@@ -129,11 +129,6 @@ def _(t):
     return joined.select("doc_id", T.lines_around(F.col("text"), "tion", 1).alias("ctx")).filter("ctx is not null")
 
 
-@query("nfc")
-def _(t):
-    return texts(t).select("contract_id", F.md5(T.nfc("text")).alias("text_md5"))
-
-
 @query("embed_text")
 def _(t):
     out = embed.hashed_vectors(t.lines().select(F.concat_ws(".", "doc_id", "line_no").alias("id"), F.col("chunk_text").alias("text")))

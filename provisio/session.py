@@ -31,10 +31,10 @@ def local_session(cpus: int | str = 8, app: str = "provisio", memory: str = "16g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) a temporary one
-    is made and set.
+    A local master may go without (tests, bench): its executors share the
+    driver's disk, so a temporary folder is made and set.  A cluster must name one.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
@@ -44,6 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return made

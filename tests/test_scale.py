@@ -51,6 +51,12 @@ def test_knn_equals_brute_force_with_ties(spark):
     for got in (search.knn(q, corpus, 7), search.knn_blocks(q, corpus, 7, block=2, cell_rows=50)):
         assert {(r["query_id"], r["path"], r["rank0"]) for r in got.collect()} == want
     assert search.knn(q.filter("1 = 0"), corpus, 3).count() == 0
+    many = spark.createDataFrame([(str(i), vecs[i % 300].tolist()) for i in range(5000)], "query_id string, embedding array<float>")
+    small = corpus.limit(40)
+    whole = {tuple(r) for r in search.knn(many, small, 2, block=10_000).collect()}
+    assert {tuple(r) for r in search.knn(many, small, 2, block=2000).collect()} == whole and len(whole) == 10_000
+    centers = search.train_cells(small, 3)
+    assert {tuple(r) for r in search.knn_ann(many, small, 2, centers, probes=3, block=2000).collect()} == whole
 
 
 def test_ann_recall(spark, tables):
