@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import paths as P
-from provisio.functions.references import internal_refs
+from provisio.functions.references import digits, internal_refs
 from provisio.operators.skew import top_k
 from provisio.operators.tree import suffix_match_path
 
@@ -90,8 +90,9 @@ def relation_stubs(raw: DataFrame) -> DataFrame:
 def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``source_path, ref`` -> structural target below the same root.
 
-    Numbers are looked up in the node table of the root; a number that is not
-    there is written out as a label.  Only equi-joins on (root, number).
+    Numbers are looked up in the node table of the root by their digits; a number that is
+    not there is written out as a label.  Equi-joins on (root, number) only; a
+    range of articles meets those that the root has.
     """
     root = P.path_prefix(F.col("path"), 1)
     leaf = P.path_leaf(F.col("path"))
@@ -99,7 +100,7 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def numbered(level: str, prefix: str, out: str) -> DataFrame:
         n = base.filter((F.col("level") == level) & F.col("leaf").rlike(rf"^{prefix}\d+$"))
-        return n.groupBy("root", F.substring("leaf", len(prefix) + 1, 9).cast("int").alias("no")).agg(
+        return n.groupBy("root", digits(F.expr(f"substring(leaf, {len(prefix) + 1})")).alias("no")).agg(
             F.max_by("path", F.struct("sort_order", "path")).alias(out))
 
     arts, chaps = numbered("Article", "D", "art_path"), numbered("Chapter", "C", "chap_path")
@@ -111,7 +112,10 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min_by("path", F.struct("sort_order", "path")).alias("point_path"))
 
     src = F.col("source_path")
-    own = lambda p: F.nullif(F.regexp_extract(src, rf"^(?:.*\.)?{p}(\d+)(?:\.|$)", 1), F.lit("")).cast("int")
+    own = lambda p: digits(F.regexp_extract(src, rf"^(?:.*\.)?{p}(\d+)(?:\.|$)", 1))
+    ranges = refs.filter("ref.article_to IS NOT NULL").select(
+        "source_path", P.path_prefix(src, 1).alias("root"), F.col("ref.article").alias("low"), F.col("ref.article_to").alias("high")).distinct()
+    refs = refs.filter("ref.article_to IS NULL")
     r = F.col("ref")
     needs_own = r["this_article"] | (
         r["article"].isNull() & (r["clause"].isNotNull() | r["point"].isNotNull() | r["this_clause"]))
@@ -135,7 +139,11 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         .when(F.col("pt").isNull(), clause)
         .otherwise(F.coalesce("point_path", F.concat_ws(".", clause, F.col("pt"))))
     )
-    return step.select("source_path", target.alias("target_path")).filter("target_path is not null")
+    # Digit strings compare as numbers by (length, digits).
+    size = lambda c: F.struct(F.length(c), F.col(c))
+    spanned = ranges.join(arts, "root").filter((size("no") >= size("low")) & (size("no") <= size("high")))
+    named = step.select("source_path", target.alias("target_path")).filter("target_path is not null")
+    return named.unionByName(spanned.select("source_path", F.col("art_path").alias("target_path")))
 
 
 def path_relations(chunks: DataFrame, nodes: DataFrame) -> DataFrame:

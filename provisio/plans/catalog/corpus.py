@@ -382,7 +382,7 @@ def citing_text(t):
 @query("internal_refs", """SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_partkey || ':' || l_linenumber || ':a|:2:|3::|4::|5::|7::|8::|' || l_suppkey || '::|C4' ||
   CASE WHEN l_returnflag = 'R' THEN '' ELSE '|9::' END AS refs FROM lineitem""")
 def _(t):
-    line = F.array_join(F.transform(R.internal_refs(F.col("text")), lambda r: F.coalesce(
+    line = F.array_join(F.transform(R.spelled_out(R.internal_refs(F.col("text"))), lambda r: F.coalesce(
         F.concat(F.lit("C"), r["chapter"].cast("string")),
         F.concat(F.coalesce(r["article"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(r["clause"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(r["point"], F.lit(""))))), "|")
     return citing_text(t).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", line.alias("refs"))

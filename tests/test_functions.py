@@ -89,7 +89,9 @@ def test_effect_date_rules(value):
 
 
 def refs(value, s):
-    return [(r["article"], r["clause"], r["point"], r["chapter"], r["this_article"]) for r in value(references.internal_refs(F.lit(s)))]
+    number = lambda v: v if v is None else int(v)
+    found = value(references.spelled_out(references.internal_refs(F.lit(s))))
+    return [(number(r["article"]), number(r["clause"]), r["point"], number(r["chapter"]), r["this_article"]) for r in found]
 
 
 def test_internal_refs(value):
@@ -103,6 +105,24 @@ def test_internal_refs(value):
     assert [r[0] for r in refs(value, "của Luật thi hành án hình sự số 41/2019/QH14 và Điều 56 của Bộ luật này.")] == [56]
 
 
+def test_long_numbers_and_ranges(spark):
+    """Article numbers of 10, 19 and 30 digits, leading zeros, and a range of two billion."""
+    long = "123456789012345678901234567890"
+    nodes = [("Article", f"r.C1.D{n}", i) for i, n in enumerate(("1234567890", "123456789", "1234567890123456789", long, "7", "12", "3000000000"))]
+    nodes = spark.createDataFrame([(lv, p, i) for lv, p, i in nodes] + [("Clause", "r.C1.D12.K3", 9)], "level string, path string, sort_order int")
+    texts = [
+        ("r.C1.D1.K1", "Xem Điều 123456789", {"r.C1.D123456789"}), ("r.C1.D1.K2", "Xem Điều 1234567890123456789", {"r.C1.D1234567890123456789"}),
+        ("r.C1.D1.K3", f"Xem Điều {long}", {f"r.C1.D{long}"}), ("r.C1.D1.K4", "khoản 3 Điều 0012", {"r.C1.D12.K3"}), ("r.C1.D1.K5", "Xem Điều 99", {"r.D99"}),
+        ("r.C1.D1.K6", "các điều từ 10 đến 2000000000", {"r.C1.D12", "r.C1.D123456789", "r.C1.D1234567890"}),
+        ("r.C1.D3000000000.K1", "khoản 5 Điều này", {"r.C1.D3000000000.K5"}),
+    ]
+    chunks = spark.createDataFrame([(p, "body", x) for p, x, _ in texts], "path string, chunk_type string, chunk_text string")
+    found = {}
+    for r in relations.path_relations(chunks, nodes).collect():
+        found.setdefault(r["source_path"], set()).add(r["target_path"])
+    assert found == {p: want for p, _, want in texts}
+
+
 def test_amendment_types(value):
     kind = lambda v: value(relations.amendment_type(F.lit(v).cast("string")))
     assert [kind("1"), kind("10"), kind("99"), kind(None)] == ["bai_bo", "sua_doi", "loai_99", "sua_doi"]
