@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fitting: a bounded sample of labelled rows gives the terms whose presence goes with
-the label (chi-square), their inverse document frequencies and the examples.  The
+Fitting: a bounded sample of labelled rows, of which near copies count once, gives the
+terms whose presence goes with the label (chi-square), their inverse document frequencies and
+the examples; rows with equal vectors are one example with counts.  The
 examples lie in an inverted index in blocks; each block keeps the largest weight
 of every term.  A text visits the blocks by falling bound and stops when no block
 can beat its k-th neighbour, so its neighbours are exact.  Similarities weigh the
@@ -23,16 +24,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
 #: Labelled rows that a fit reads, terms it keeps, and the chi-square a term needs.
-SAMPLE, TERMS, CHI = 20_000, 4_096, 30.0
+SAMPLE, TERMS, CHI, LEAST = 20_000, 2_048, 30.0, 4
 NEIGHBOURS = 24
 BLOCK = 64
 EVIDENCE = 3
+#: Minima of hashed word shingles; rows that share one are near copies (most do from half of their shingles on).
+MINIMA, SHINGLE = 8, 3
 #: Everything in ASCII but letters and digits parts words.
 PARTS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCORES = "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -48,7 +52,8 @@ class Index:
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list = field(default_factory=list)
     posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
@@ -65,11 +70,12 @@ class Index:
         weight = (1 + np.log([by[t] for t in at.tolist()])) * self.idf[at]
         return at, weight / math.sqrt(float(weight @ weight))
 
-    def load(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list) -> None:
+    def load(self, vectors: list[tuple[np.ndarray, np.ndarray]], rows: list[int], toxic: list[int], ids: list) -> None:
         """Number the examples so that like ones share blocks, and fill postings and block maxima."""
         lead = [tuple(t[np.argsort(-w, kind="stable")].tolist()) for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))
-        self.labels = np.array([labels[i] for i in order], np.int64)
+        self.rows = np.array([rows[i] for i in order], np.float64)
+        self.toxic = np.array([toxic[i] for i in order], np.float64)
         self.ids = [ids[i] for i in order]
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
@@ -84,7 +90,7 @@ class Index:
             where = np.searchsorted(example[own], np.arange(blocks + 1) * BLOCK)
             self.posts.append((example[own], weight[own], where))
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and similarities of the k nearest examples that share a term."""
         bounds = weight @ self.tops[at]
         found_i, found_s = np.zeros(0, np.int64), np.zeros(0)
@@ -98,24 +104,29 @@ class Index:
                 if lo < hi:
                     scores[example[lo:hi] - b * BLOCK] += w * own[lo:hi]
             some = np.flatnonzero(scores)
-            number = some + b * BLOCK
-            use = number != without
-            found_i = np.concatenate([found_i, number[use]])
-            found_s = np.concatenate([found_s, scores[some[use]]])
+            found_i = np.concatenate([found_i, some + b * BLOCK])
+            found_s = np.concatenate([found_s, scores[some]])
             best = np.lexsort((found_i, -np.round(found_s, 12)))[:k]
             found_i, found_s = found_i[best], found_s[best]
         return found_i, found_s
 
-    def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float:
-        """Distance-weighted share of toxic neighbours, drawn a little to the share of texts without a term."""
-        weight = near[1] ** 2
-        return float((weight @ self.labels[near[0]] + 0.05 * self.none) / (weight.sum() + 0.05))
+    def vote(self, near: tuple[np.ndarray, np.ndarray], without: tuple[int, int] | None = None) -> float:
+        """Distance-weighted share of toxic rows among the neighbours, drawn a little to the share of texts without a term.
 
-    def calibrate(self, votes: list[float], labels: list[int]) -> None:
-        """Isotonic regression of labels on leave-one-out votes."""
+        ``without``: an example and the label of one row of it that shall not vote.
+        """
+        weight = near[1] ** 2
+        bad, every = float(weight @ self.toxic[near[0]]), float(weight @ self.rows[near[0]])
+        if without is not None:
+            own = float(weight[near[0] == without[0]].sum())
+            bad, every = bad - own * without[1], every - own
+        return (bad + 0.05 * self.none) / (every + 0.05)
+
+    def calibrate(self, votes: list[tuple[float, int, int]]) -> None:
+        """Isotonic regression on leave-one-out votes: (vote, toxic rows, rows)."""
         pools: list[list[float]] = []
-        for vote, label in sorted(zip(votes, labels)):
-            pools.append([vote, label, 1])
+        for vote, bad, rows in sorted(votes):
+            pools.append([vote, bad, rows])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 _, y, n = pools.pop()
                 pools[-1][1] += y
@@ -148,6 +159,37 @@ def _words_of(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "word binary, n bigint, toxic bigint")
 
 
+def minima(text: str | None) -> list[int]:
+    """Least hashes of the text's word shingles under MINIMA multipliers."""
+    words = words_in(text)
+    if not words:
+        return []
+    n = min(SHINGLE, len(words))
+    line = [b" ".join(words[i:i + n]) for i in range(len(words) - n + 1)]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, line), np.uint64, len(line))
+    turns = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(MINIMA)], np.uint64)
+    return np.array([(h * t).min() for t in turns]).view(np.int64).tolist()
+
+
+def _distinct(rows: DataFrame) -> list[int]:
+    """Ids of sampled rows, each of which shares no minimum with one before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [minima(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "least"])
+
+    table = rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, least array<bigint>")
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for r in table.orderBy("doc_id").collect():  # at most the sample, a few numbers each
+        marks = list(enumerate(r["least"]))
+        if not marks or seen.isdisjoint(marks):
+            kept.append(r["doc_id"])
+            seen.update(marks)
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
     """Index of at most ``sample`` labelled rows of ``labels`` (doc_id, toxic)."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -155,6 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     # At most ``sample`` ids: small enough for every task.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     rows = settle(rows)
+    alone = rows.sparkSession.createDataFrame([(i,) for i in _distinct(rows)], "doc_id bigint")
+    rows = rows.join(F.broadcast(alone), "doc_id")
     n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
         return Index({}, np.zeros(0))
@@ -162,10 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     a, b = F.col("a"), F.col("n") - F.col("a")
     c, d = float(bad) - a, float(n - bad) - b
     chi = float(n) * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    kept = words.withColumn("chi", chi).filter((F.col("chi") >= CHI) & (F.col("n") >= 3)).orderBy(F.desc("chi"), "word").limit(terms).collect()
+    kept = words.withColumn("chi", chi).filter((F.col("chi") >= CHI) & (F.col("n") >= LEAST)).orderBy(F.desc("chi"), "word").limit(terms).collect()
     index = Index({bytes(r["word"]): i for i, r in enumerate(kept)}, np.array([math.log((n + 1) / (r["n"] + 1)) + 1 for r in kept]))
-    empty = Counter()
-    vectors, marks, ids = [], [], []
+    empty: Counter = Counter()
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,20 +219,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             )
 
     small = rows.select("doc_id", "text", "toxic").mapInArrow(shrink, "doc_id bigint, toxic int, terms array<bigint>, weights array<double>")
-    for r in small.orderBy("doc_id").collect():  # at most ``sample`` rows of a few terms
+    examples: dict[tuple, list] = {}
+    for r in small.orderBy("doc_id").collect():  # at most the sample, a few terms each
         if r["terms"]:
-            vectors.append((np.array(r["terms"], np.int64), np.array(r["weights"])))
-            marks.append(r["toxic"])
-            ids.append(r["doc_id"])
+            examples.setdefault((tuple(r["terms"]), tuple(r["weights"])), [r["doc_id"], 0, 0])
+            own = examples[tuple(r["terms"]), tuple(r["weights"])]
+            own[1] += 1
+            own[2] += r["toxic"]
         else:
             empty[r["toxic"]] += 1
     index.none = (empty[1] + 0.5) / (empty.total() + 1) if empty.total() else bad / n
-    index.load(vectors, marks, ids)
-    back = {e: i for i, e in enumerate(ids)}
+    vectors = [(np.array(t, np.int64), np.array(w)) for t, w in examples]
+    ids, held, toxic = ([e[i] for e in examples.values()] for i in range(3))
+    index.load(vectors, held, toxic, ids)
+    back = {doc_id: i for i, doc_id in enumerate(ids)}
     votes = []
-    for number, e in enumerate(index.ids):
-        votes.append(index.vote(index.nearest(*vectors[back[e]], k, without=number)))
-    index.calibrate(votes, index.labels.tolist())
+    for number, doc_id in enumerate(index.ids):
+        i = back[doc_id]
+        near = index.nearest(*vectors[i], k)
+        for label, rows_of in ((1, toxic[i]), (0, held[i] - toxic[i])):
+            if rows_of:
+                votes.append((index.vote(near, (number, label)), label * rows_of, rows_of))
+    index.calibrate(votes)
     return index
 
 
@@ -217,7 +268,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
                         seen.clear()
                     near = index.nearest(at, weight, k)
                     value = index.score(index.vote(near)) if len(near[0]) else index.none
-                    shown = [{"doc_id": index.ids[i], "similarity": float(s), "toxic": int(index.labels[i])} for i, s in zip(near[0][:EVIDENCE], near[1])]
+                    shown = [{"doc_id": index.ids[i], "similarity": float(s), "toxic": int(2 * index.toxic[i] >= index.rows[i])} for i, s in zip(near[0][:EVIDENCE], near[1])]
                     seen[key] = (value, int(value >= 0.5), shown)
                 out.append(seen[key])
             new = [pa.array([o[i] for o in out], schema.field(i).type) for i in range(3)]
