@@ -194,8 +194,9 @@ def repeated_paths(docs: DataFrame, span: int = 35) -> DataFrame:
     """(id, h, gone): the repeated windows of each row that has any; ``gone`` holds start and mask of each path."""
     table = settle(_path_table(docs, span))
     every = table.select("id", "h", F.explode(F.arrays_zip("mini", "path", "start", "n")).alias("p")).select("id", "h", "p.*")
-    # Minimizers met at least twice; they branch where their paths differ.
-    met = (
+    # Minimizers met at least twice; they branch where their paths differ.  Tables that hot keys are joined
+    # with are settled first: both sides of the join are then plain shuffles, whose hot partitions Spark splits.
+    met = settle(
         every.groupBy("mini").agg(F.count("*").alias("times"), F.min("path").alias("a"), F.max("path").alias("b"))
         .filter("times > 1").select("mini", (F.col("a") != F.col("b")).alias("branches"))
     )
@@ -208,12 +209,12 @@ def repeated_paths(docs: DataFrame, span: int = 35) -> DataFrame:
     one = settle(one.select("mini", "path", "times", "s.*"))
     todo = one.groupBy("id", "h").agg(F.collect_list(F.struct("mini", "path", "start", "n")).alias("todo"))
     edges = settle(_edges(docs.dropDuplicates(["id", "h"]).join(todo, ["id", "h"]), span))
-    twice = edges.groupBy("mini", "edge").agg(F.count("*").alias("times")).filter("times > 1").select("mini", "edge")
+    twice = settle(edges.groupBy("mini", "edge").agg(F.count("*").alias("times")).filter("times > 1").select("mini", "edge"))
     masks = edges.join(twice, ["mini", "edge"]).groupBy("mini", "path").agg(F.expr("bit_or(shiftleft(1L, at))").alias("part"))
-    masks = one.join(masks, ["mini", "path"], "left").select(
+    masks = settle(one.join(masks, ["mini", "path"], "left").select(
         "mini", "path", F.when(F.col("times") > 1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("part")).alias("mask"),
-    )
-    crossed = crossing.join(masks.filter("mask IS NOT NULL"), ["mini", "path"]).select("id", "h", "start", "mask")
+    ).filter("mask IS NOT NULL"))
+    crossed = crossing.join(masks, ["mini", "path"]).select("id", "h", "start", "mask")
     return straight.unionByName(crossed).groupBy("id", "h").agg(F.collect_set(F.struct("start", "mask")).alias("gone"))
 
 
