@@ -13,11 +13,6 @@ from provisio.operators.skew import next_in_blocks, running_in_blocks, top_k
 
 # Window sizes.
 MEMORY_PAIRS, HISTORY_TOKENS = 5, 2000
-BLOCK_TURNS = 1024
-
-
-def _block(turn: str = "turn") -> Column:
-    return F.floor(F.col(turn) / BLOCK_TURNS)
 
 
 def qa_pairs(messages: DataFrame) -> DataFrame:
@@ -27,7 +22,7 @@ def qa_pairs(messages: DataFrame) -> DataFrame:
     answers before the next question are left out.
     """
     talk = messages.filter("role <> 'system'").withColumn("m", F.struct("role", "text", "turn"))
-    linked = next_in_blocks(talk, ["conv_id"], _block(), ["turn"], "m", "after")
+    linked = next_in_blocks(talk, ["conv_id"], F.col("turn"), ["turn"], "m", "after")
     return linked.filter("role = 'user' and after.role = 'assistant'").select(
         "conv_id", "turn", F.col("text").alias("question"), F.col("after.turn").alias("answer_turn"), F.col("after.text").alias("answer"))
 
@@ -43,15 +38,15 @@ def rolling_memory(pairs: DataFrame, n: int = MEMORY_PAIRS) -> DataFrame:
 def trim_history(messages: DataFrame, limit: int = HISTORY_TOKENS, tokens: Column | None = None) -> DataFrame:
     """Most recent messages whose running token total fits (default: words)."""
     cost = F.size(F.split(F.trim("text"), r"(?U)\s+")) if tokens is None else tokens
-    summed = running_in_blocks(messages, ["conv_id"], _block(), ["turn"], cost.cast("bigint"), "sum", "total", descending=True)
+    summed = running_in_blocks(messages, ["conv_id"], F.col("turn"), ["turn"], cost.cast("bigint"), "sum", "total", descending=True)
     return summed.filter(F.col("total") <= limit).drop("total")
 
 
 def state_history(messages: DataFrame) -> DataFrame:
     """Every checkpoint with its message count and last answer; ``turn`` descending is newest first."""
     answer = F.when(F.col("role") == "assistant", F.col("text"))
-    counted = running_in_blocks(messages, ["conv_id"], _block(), ["turn"], F.lit(1), "sum", "n_messages")
-    return running_in_blocks(counted, ["conv_id"], _block(), ["turn"], answer, "last", "last_answer").drop("role", "text")
+    counted = running_in_blocks(messages, ["conv_id"], F.col("turn"), ["turn"], F.lit(1), "sum", "n_messages")
+    return running_in_blocks(counted, ["conv_id"], F.col("turn"), ["turn"], answer, "last", "last_answer").drop("role", "text")
 
 
 def rewind(messages: DataFrame, checkpoints: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from provisio.operators.skew import next_in_blocks, row_number_in_blocks, top_k
 # -- B8 ---------------------------------------------------------------------
 
 
-def allocate_tokens(siblings: DataFrame, block_width: int = 4096) -> DataFrame:
+def allocate_tokens(siblings: DataFrame) -> DataFrame:
     """Give every sibling a label unique in its scope.
 
     Input: ``scope, pos, level, title, node_id``.  The first holder of a label
@@ -24,8 +24,7 @@ def allocate_tokens(siblings: DataFrame, block_width: int = 4096) -> DataFrame:
     unknown levels).
     """
     known = P.lookup({**P.LEVEL_PREFIX, "Point": "p"}, F.col("level"))
-    block = F.floor(F.col("pos") / block_width)
-    numbered = row_number_in_blocks(siblings, ["scope", "level"], block, ["pos"], "__ord")
+    numbered = row_number_in_blocks(siblings, ["scope", "level"], F.col("pos"), ["pos"], "__ord")
     natural = P.segment_token(F.col("level"), F.col("title"))
     ordinal = F.when(
         F.col("level").isin("Appendix", "Group"), F.concat(known, F.col("__ord").cast("string"))
@@ -141,12 +140,11 @@ def hierarchy_nodes(nodes: DataFrame, docs: DataFrame, extra: DataFrame | None =
     )
 
 
-def next_sibling(nodes: DataFrame, block_width: int = 4096) -> DataFrame:
+def next_sibling(nodes: DataFrame) -> DataFrame:
     """NEXT edges between neighbours under one parent."""
     with_parent = nodes.filter("parent_path is not null")
-    block = F.floor(F.col("sort_order") / block_width)
     out = next_in_blocks(
-        with_parent, ["parent_path"], block, ["sort_order", "path"], "path", "next_path"
+        with_parent, ["parent_path"], F.col("sort_order"), ["sort_order", "path"], "path", "next_path"
     )
     return out.filter("next_path is not null").select("path", "next_path")
 

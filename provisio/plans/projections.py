@@ -8,12 +8,11 @@ hierarchy, an order is a document, document lines are chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provisio.functions import paths as P
 from provisio.functions import status as S
-from provisio.operators.skew import row_number_in_blocks
 
 AS_OF = "1999-01-01"
 PRIORITY_TYPE = {
@@ -101,12 +100,10 @@ class Tables:
         )
 
     def numbered_items(self) -> DataFrame:
-        """Line items numbered inside their order by all columns."""
+        """Line items numbered inside their order, a small group, by all columns."""
         order = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        return row_number_in_blocks(
-            self.raw("lineitem"), ["l_orderkey"], F.floor(F.col("l_partkey") / 4096), order, "item_no"
-        )
+        return self.raw("lineitem").withColumn("item_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
 
     def nodes(self) -> DataFrame:
         d = self.documents()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,18 +18,53 @@ def hot(spark, n=3000):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), ((F.col("id") * 7919) % n).alias("pos"), (F.col("id") % 11).alias("v"))
 
 
-def test_block_windows_equal_plain_windows(spark):
-    df = hot(spark)
-    w = Window.partitionBy("k").orderBy("pos")
-    plain = df.withColumn("rn", F.row_number().over(w)).withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "nx", F.lead("v").over(w)).withColumn("l", F.last(F.when(F.col("v") > 8, F.col("v")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    block = F.floor(F.col("pos") / 64)
-    b = skew.row_number_in_blocks(df, ["k"], block, ["pos"])
-    b = skew.running_in_blocks(b, ["k"], block, ["pos"], F.col("v"), "sum", "s")
-    b = skew.next_in_blocks(b, ["k"], block, ["pos"], "v", "nx")
-    b = skew.running_in_blocks(b, ["k"], block, ["pos"], F.when(F.col("v") > 8, F.col("v")), "last", "l")
-    cols = ["k", "pos", "v", "rn", "s", "nx", "l"]
-    assert plain.select(cols).exceptAll(b.select(cols)).isEmpty() and b.count() == df.count()
+def _numbered(df, most):
+    return skew.row_number_in_blocks(df, ["k"], F.col("pos"), ["pos"], "out", most)
+
+
+def _next(df, most):
+    return skew.next_in_blocks(df, ["k"], F.col("pos"), ["pos"], "v", "out", most)
+
+
+def _summed(df, most):
+    return skew.running_in_blocks(df, ["k"], F.col("pos"), ["pos"], F.col("v"), "sum", "out", most=most)
+
+
+def _summed_down(df, most):
+    return skew.running_in_blocks(df, ["k"], F.col("pos"), ["pos"], F.col("v"), "sum", "out", descending=True, most=most)
+
+
+def _last(df, most):
+    return skew.running_in_blocks(df, ["k"], F.col("pos"), ["pos"], F.when(F.col("v") > 8, F.col("v")), "last", "out", most=most)
+
+
+def _up():
+    return Window.partitionBy("k").orderBy("pos")
+
+
+PLAIN = {
+    _numbered: lambda: F.row_number().over(_up()), _next: lambda: F.lead("v").over(_up()),
+    _summed: lambda: F.sum("v").over(_up().rowsBetween(Window.unboundedPreceding, 0)),
+    _summed_down: lambda: F.sum("v").over(Window.partitionBy("k").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)),
+    _last: lambda: F.last(F.when(F.col("v") > 8, F.col("v")), ignorenulls=True).over(_up().rowsBetween(Window.unboundedPreceding, 0)),
+}
+
+
+@pytest.mark.parametrize("fn", [_numbered, _next, _summed, _summed_down, _last])
+def test_block_windows_equal_plain_windows(spark, fn):
+    """One hot key with sparse places, a null key, and the plain window as the measure."""
+    df = hot(spark).withColumn("k", F.nullif("k", F.lit(7))).withColumn("pos", F.col("pos") * 1_000_003)
+    want = sorted(map(repr, df.withColumn("out", PLAIN[fn]()).select("k", "pos", "v", "out").collect()))
+    for most in (500, 1 << 20):
+        assert sorted(map(repr, fn(df, most).select("k", "pos", "v", "out").collect())) == want
+
+
+def test_hot_groups_of_sparse_places_make_few_blocks(spark):
+    df = hot(spark).withColumn("pos", F.col("pos") * 1_000_003)
+    cut = skew._blocked(df, ["k"], F.col("pos"), 500)
+    sizes = cut.filter("k = 0").groupBy("__b").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 20 and sizes[1] <= skew.BLOCKS
+    assert cut.filter("k <> 0 and __b is not null").isEmpty() and skew._blocked(df, ["k"], F.col("pos"), 5000) is None
 
 
 def test_top_k_is_pruned_before_the_shuffle(spark):
