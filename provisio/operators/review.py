@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provisio.functions import status as S
 from provisio.functions.contract import is_labor_contract
 from provisio.functions.labor_rules import MANDATORY, RED_FLAGS
+from provisio.functions.paths import path_location
 from provisio.functions.text import clause_excerpt
 from provisio.operators.rules import any_match, missing_groups, values_of
 
@@ -18,6 +19,33 @@ FINDING_SCHEMA = (
     "reasons array<string>, impact array<string>, actions array<string>, legal_basis string, recommendation string, "
     "original_clause string, revised_clause string, confidence double"
 )
+CITATION_SCHEMA = (
+    "array<struct<title:string,summary:string,doc_number:string,location:string,article:string,quote:string,evidence_path:string,source_url:string,status:string>>"
+)
+# The instrument that the rules cite, and the status of one that is not in the tables.
+CODE_TITLE, CODE_NUMBER = "Bộ luật Lao động", "45/2019/QH14"
+UNCHECKED = "Chưa đối chiếu kho — chưa xác nhận hiệu lực"
+
+
+def _governed(rows: DataFrame, governing: DataFrame) -> DataFrame:
+    """``rows`` with the state ``law`` and verdict ``eff`` of the instrument in force on their own day (``as_of``).
+
+    ``governing``: at most one row per ``as_of`` (``effect.resolve_governing_doc`` of one kind).
+    """
+    law = governing.select("as_of", F.struct("doc_id", "doc_num", "title", "source_url", "status_flag", "eff_from", "eff_to").alias("law"))
+    j = rows.join(law, "as_of", "left")
+    state = S.evaluate_effect(F.col("law").isNotNull(), F.col("law.status_flag"), F.col("law.eff_from"), F.col("law.eff_to"), F.col("as_of"))
+    return j.withColumn("eff", state)
+
+
+def _citation(**parts: Column) -> Column:
+    names = ("title", "summary", "doc_number", "location", "article", "quote", "evidence_path", "source_url", "status")
+    return F.struct(*[parts.get(n, F.lit(None).cast("string")).alias(n) for n in names])
+
+
+def _citable() -> Column:
+    """No instrument found (cited as unchecked), or one that may be cited."""
+    return F.col("law").isNull() | F.col("eff.ok_to_cite")
 
 
 def _hint_number(rule) -> str:
@@ -35,6 +63,11 @@ WHOLE_TEXT = "Hợp đồng (toàn văn)"
 RESIDENCE_KEY, RESIDENCE_TOPIC = "employee_residence", "Thiếu địa chỉ / nơi cư trú NLĐ"
 TITLE_RESIDENCE = "Thiếu địa chỉ / nơi cư trú NLĐ và nội dung bắt buộc khác"
 TITLE_MISSING = "Thiếu nội dung chủ yếu bắt buộc của HĐLĐ"
+ARTICLE = 21
+MISSING_ISSUE = "Hợp đồng lao động chưa thể hiện đủ các nội dung chủ yếu theo Điều 21 Bộ luật Lao động ("
+MISSING_RESIDENCE = "Đặc biệt: chưa ghi nơi cư trú / địa chỉ hiện tại của NLĐ. "
+MISSING_REST = "Các mục sau không tìm thấy hoặc không đủ rõ trong văn bản."
+MISSING_SUMMARY = "Nội dung chủ yếu bắt buộc của hợp đồng lao động."
 MISSING_TOPICS = ("Thiếu nội dung bắt buộc", "Điều 21 BLLĐ")
 MISSING_IMPACT = (
     "Hợp đồng có nguy cơ bị coi là không đầy đủ nội dung chủ yếu theo pháp luật lao động.",
@@ -52,34 +85,48 @@ def missing_fields(texts: DataFrame, rules=MANDATORY) -> DataFrame:
     return texts.select("contract_id", missing_groups(F.col("text"), rules).alias("missing"))
 
 
-def completeness_findings(contracts: DataFrame, governing: DataFrame, as_of, rules=MANDATORY, labor_only: bool = True) -> DataFrame:
-    """One finding per contract with missing contents.
+def completeness_findings(
+    contracts: DataFrame, governing: DataFrame, snippets: DataFrame | None = None, rules=MANDATORY, labor_only: bool = True
+) -> DataFrame:
+    """One finding per contract with missing contents, cited from the law of its own day.
 
-    ``governing``: at most one row with the state of the instrument in force
-    (see ``effect.resolve_governing_doc``), read as scalar values.
+    ``contracts``: ``contract_id, text, contract_type, as_of``; ``governing``: one row per
+    ``as_of`` at most; ``snippets``: ``doc_id, article_no, quote`` (see ``retrieve.article_snippet``).
     """
     rows = contracts.filter(is_labor_contract(F.col("text"), F.col("contract_type"))) if labor_only else contracts
-    keys = rows.withColumn("missing", missing_groups(F.col("text"), rules)).filter("size(missing) > 0")
-    state = governing.limit(1).withColumn("one", F.lit(1)).select(
-        "one", S.evaluate_effect(F.lit(True), F.col("status_flag"), F.col("eff_from"), F.col("eff_to"), as_of).alias("eff"),
-        F.col("doc_num").alias("law_num"))
-    j = keys.withColumn("one", F.lit(1)).join(F.broadcast(state), "one", "left")
+    keys = rows.withColumn("missing", missing_groups(F.col("text"), rules)).filter("size(missing) > 0").select("contract_id", "as_of", "missing")
+    j = _governed(keys, governing)
+    if snippets is None:
+        j = j.withColumn("quote", F.lit(None).cast("string"))
+    else:
+        own = snippets.filter(F.col("article_no") == ARTICLE).select(F.col("doc_id").alias("law_id"), "quote")
+        j = j.join(own, F.col("law.doc_id") == F.col("law_id"), "left")
     labels = values_of(F.col("missing"), rules, lambda r: r.label)
     topics = values_of(F.col("missing"), rules, lambda r: r.label.split("(")[0].strip())
     residence = F.array_contains("missing", RESIDENCE_KEY)
     others = F.filter(topics, lambda t: ~F.lower(t).rlike("cư trú|địa chỉ"))
     listed = F.when(residence, F.concat(F.array(F.lit(RESIDENCE_TOPIC)), others)).otherwise(topics)
-    status = F.coalesce("eff.status_label", F.lit(S.NOT_FOUND_LABEL))
+    number = F.coalesce("law.doc_num", F.lit(CODE_NUMBER))
+    article = f"Điều {ARTICLE}"
+    cited = _citation(
+        title=F.concat(F.lit(f"{article} "), F.coalesce("law.title", F.lit(CODE_TITLE))), article=F.lit(article), doc_number=number,
+        summary=F.substring(F.coalesce(F.nullif("quote", F.lit("")), F.lit(MISSING_SUMMARY)), 1, 500),
+        quote=F.nullif(F.substring("quote", 1, 280), F.lit("")), source_url=F.col("law.source_url"),
+        status=F.when(F.col("law").isNull(), UNCHECKED).otherwise(F.col("eff.status_label")),
+    )
     fixed = lambda xs: F.array(*[F.lit(x) for x in xs])
     none = F.lit(None).cast("string")
+    issue = F.concat(
+        F.lit(MISSING_ISSUE), F.size("missing").cast("string"), F.lit(" mục thiếu). "), F.when(residence, MISSING_RESIDENCE).otherwise(""), F.lit(MISSING_REST))
     return j.select(
         "contract_id", F.lit(WHOLE_TEXT).alias("clause_ref"), F.when(residence, TITLE_RESIDENCE).otherwise(TITLE_MISSING).alias("title"),
-        F.concat(F.size("missing").cast("string"), F.lit(" mục thiếu theo Điều 21")).alias("issue"), F.lit("warning").alias("severity"),
+        issue.alias("issue"), F.lit("warning").alias("severity"),
         F.concat(fixed(MISSING_TOPICS), F.slice(listed, 1, 4)).alias("summary_topics"), labels.alias("reasons"),
         fixed(MISSING_IMPACT).alias("impact"), fixed(MISSING_ACTIONS).alias("actions"),
-        F.concat(F.lit("Điều 21 Bộ luật Lao động ("), F.coalesce("law_num", F.lit("45/2019/QH14")), F.lit(") — "), status).alias("legal_basis"),
+        F.concat(F.lit(f"{article} {CODE_TITLE} ("), number, F.lit(") — "), F.col("eff.status_label")).alias("legal_basis"),
+        F.when(_citable(), F.array(cited)).alias("legal_citations"),
         _bullets(labels).alias("recommendation"), none.alias("original_clause"), none.alias("revised_clause"),
-        F.when(F.col("eff.verified"), 0.75).otherwise(0.55).alias("confidence"))
+        F.when(F.col("law").isNotNull() & F.col("eff.verified"), 0.75).otherwise(0.55).alias("confidence"))
 
 
 # -- H11..H18 -------------------------------------------------------------------
@@ -119,28 +166,37 @@ def original_clauses(wanted: DataFrame, chunks: DataFrame, contracts: DataFrame,
     return j.withColumn("original_clause", F.coalesce(*choices)).drop("stored", "full", "summary")
 
 
-def hydrate_flag_citation(snippets: DataFrame, governing: DataFrame, as_of, flags=RED_FLAGS) -> DataFrame:
-    """``key, quote, summary, status, path`` per rule: article text when long enough, else the blurb.
+def hydrate_flag_citation(days: DataFrame, governing: DataFrame, snippets: DataFrame, flags=RED_FLAGS) -> DataFrame:
+    """``as_of, key, citation`` of every rule on every day asked for (``as_of``).
 
-    ``snippets``: ``article_no, quote, path`` of the governing document (see
-    ``retrieve.article_snippet``).  No rows when that document may not be cited.
+    Article text of that day's instrument (``snippets``: ``doc_id, article_no, quote, path``) when long
+    enough, else the rule's blurb.  A day whose instrument may not be cited has no rows.
     """
-    spark = snippets.sparkSession
-    table = [(f.key, i, n, f.law_blurb) for f in flags for i, n in enumerate(f.articles)]
-    rules = F.broadcast(spark.createDataFrame(table, "key string, ord int, article_no bigint, blurb string"))
-    eff = governing.limit(1).select(
-        S.evaluate_effect(F.lit(True), F.col("status_flag"), F.col("eff_from"), F.col("eff_to"), as_of).alias("eff"), F.lit(1).alias("one"))
-    j = rules.join(snippets.select("article_no", "quote", "path"), "article_no", "left").groupBy("key", "blurb").agg(
-        F.array_sort(F.collect_list(F.when(F.col("quote").isNotNull(), F.struct("ord", "quote", "path")))).alias("qs"))
+    rules = F.array(*[
+        F.struct(F.lit(f.key).alias("key"), F.lit(f.law_blurb).alias("blurb"), F.lit(f.article_hint.split(",")[0].strip()).alias("hint"),
+                 F.array(*[F.lit(n).cast("bigint") for n in f.articles]).alias("articles"))
+        for f in flags
+    ])
+    each = _governed(days.select("as_of").distinct(), governing).filter(_citable()).select("as_of", "law", "eff", F.explode(rules).alias("rule"))
+    asked = each.select("as_of", "rule.key", F.col("law.doc_id").alias("doc_id"), F.posexplode("rule.articles").alias("ord", "article_no"))
+    found = asked.join(snippets.select("doc_id", "article_no", "quote", "path"), ["doc_id", "article_no"]).filter("quote <> ''")
+    held = found.groupBy("as_of", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "quote", "path", "article_no"))).alias("qs"))
+    j = each.join(held, (each["as_of"] == held["as_of"]) & (each["rule.key"] == held["key"]), "left").select(each["*"], "qs")
     joined = F.array_join(F.transform("qs", lambda x: x["quote"]), "\n\n")
-    long = F.length(joined) >= 80
-    apart = ~F.contains(joined, F.col("blurb")) & ~F.contains(F.col("blurb"), F.substring(joined, 1, 60))
-    short = F.when(F.length("blurb") <= 180, F.col("blurb")).otherwise(F.concat(F.substring("blurb", 1, 177), F.lit("…")))
-    return (
-        j.withColumn("one", F.lit(1)).join(eff, "one").filter("eff.ok_to_cite")
-        .select("key", F.when(long, F.substring(joined, 1, 2800)).otherwise(F.col("blurb")).alias("quote"),
-                F.when(long & apart, short).otherwise("").alias("summary"), F.col("eff.status_label").alias("status"),
-                F.get("qs", F.lit(0))["path"].alias("path")))
+    blurb = F.col("rule.blurb")
+    long = F.coalesce(F.length(joined) >= 80, F.lit(False))
+    apart = ~F.contains(joined, blurb) & ~F.contains(blurb, F.substring(joined, 1, 60))
+    short = F.when(F.length(blurb) <= 180, blurb).otherwise(F.concat(F.substring(blurb, 1, 177), F.lit("…")))
+    path = F.get(F.filter("qs", lambda x: x["path"].isNotNull()), F.lit(0))
+    number = F.coalesce(path["article_no"], F.get("rule.articles", F.lit(0)))
+    article = F.concat(F.lit("Điều "), number.cast("string"))
+    return j.select(
+        "as_of", "rule.key", _citation(
+            title=F.concat(F.coalesce(article, F.col("rule.hint")), F.lit(" — "), F.coalesce("law.title", F.lit(CODE_TITLE))),
+            summary=F.when(long & apart, short).otherwise(""), doc_number=F.coalesce("law.doc_num", F.lit(CODE_NUMBER)),
+            location=path_location(path["path"])["location"], article=article,
+            quote=F.when(long, F.substring(joined, 1, 2800)).otherwise(blurb), evidence_path=path["path"], source_url=F.col("law.source_url"),
+            status=F.when(F.col("law").isNull(), UNCHECKED).otherwise(F.col("eff.status_label"))).alias("citation"))
 
 
 def clause_groups(hits: DataFrame, flags=RED_FLAGS) -> DataFrame:
@@ -151,8 +207,23 @@ def clause_groups(hits: DataFrame, flags=RED_FLAGS) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
 
 
+def cite_groups(groups: DataFrame, citations: DataFrame) -> DataFrame:
+    """``groups`` (with ``as_of``) and the citations of their keys in rule order; keys without one add nothing."""
+    keyed = groups.select("contract_id", "clause_number", "as_of", F.posexplode("keys").alias("pos", "key"))
+    cited = keyed.join(citations, ["as_of", "key"]).groupBy("contract_id", "clause_number").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "citation"))), lambda x: x["citation"]).alias("legal_citations"))
+    return groups.join(cited, ["contract_id", "clause_number"], "left")
+
+
 def merge_by_clause(groups: DataFrame, flags=RED_FLAGS) -> DataFrame:
-    """One finding per contract clause.  ``groups``: ``contract_id, clause_number, keys, original_clause``."""
+    """One finding per contract clause.
+
+    ``groups``: ``contract_id, clause_number, keys, original_clause``, and ``legal_citations`` where
+    :func:`cite_groups` gave them.
+    """
+    if "legal_citations" not in groups.columns:
+        groups = groups.withColumn("legal_citations", F.lit(None).cast(CITATION_SCHEMA))
+    groups = groups.withColumn("legal_citations", F.coalesce("legal_citations", F.array().cast(CITATION_SCHEMA)))
     of = lambda value: values_of(F.col("keys"), flags, value)
     shorts = of(lambda f: f.short)
     title = F.array_join(shorts, " · ")
@@ -166,7 +237,7 @@ def merge_by_clause(groups: DataFrame, flags=RED_FLAGS) -> DataFrame:
         F.when(F.array_contains(of(lambda f: f.severity), "critical"), "critical").otherwise("warning").alias("severity"),
         F.array_distinct(shorts).alias("summary_topics"), of(lambda f: f.reason).alias("reasons"),
         F.array_distinct(of(lambda f: f.impact)).alias("impact"), actions.alias("actions"),
-        F.array_join(F.array_distinct(of(lambda f: f.article_hint)), "; ").alias("legal_basis"),
+        F.array_join(F.array_distinct(of(lambda f: f.article_hint)), "; ").alias("legal_basis"), "legal_citations",
         F.concat_ws("\n", _bullets(actions), F.concat(F.lit("«"), "revised_clause", F.lit("»"))).alias("recommendation"),
         "original_clause", "revised_clause", F.lit(0.9).alias("confidence"))
 

@@ -72,11 +72,11 @@ def _(t):
     )
 
 
-@query("path_is_descendant", """SELECT s.path AS section, count(*) AS below FROM nodes s JOIN nodes n
-  ON n.path = s.path OR starts_with(n.path, s.path || '.') WHERE s.level = 'Section' AND s.status_flag = 2 GROUP BY 1""")
+@query("path_is_descendant", """SELECT s.path AS section, count(*) AS below FROM nodes s JOIN
+  (SELECT string_split(path, '.') AS p FROM nodes) n ON len(n.p) >= 3 AND s.path = n.p[1] || '.' || n.p[2] || '.' || n.p[3] WHERE s.level = 'Section' GROUP BY 1""")
 def _(t):
     n = t.nodes()
-    top = n.filter("level = 'Section' and status_flag = 2").select(F.col("path").alias("section"))
+    top = n.filter("level = 'Section'").select(F.col("path").alias("section"))
     below = n.select(F.explode(P.path_prefixes(F.col("path"))).alias("section"))
     return below.join(top, "section").groupBy("section").agg(F.count(F.lit(1)).alias("below"))
 

@@ -101,19 +101,43 @@ def _(t):
     return review.missing_fields(texts(t), FIELDS).select("contract_id", F.array_join("missing", ",").alias("missing"))
 
 
+def dated(t):
+    """Texts as contracts of different days."""
+    k = F.col("contract_id").cast("bigint")
+    return texts(t).withColumn("as_of", F.make_date((k % 6 + 1993).cast("int"), F.lit(7), F.lit(1)))
+
+
 def governing(t):
-    d = t.documents()
-    ask = d.filter("doc_type = 'Bộ luật'").select(F.col("doc_type").alias("kind"), F.lit(AS_OF).cast("date").alias("as_of")).distinct()
+    """The code in force on each of those days."""
     from provisio.operators.effect import resolve_governing_doc
 
-    return resolve_governing_doc(ask, d)
+    ask = dated(t).select(F.lit("Bộ luật").alias("kind"), "as_of").distinct()
+    return resolve_governing_doc(ask, t.documents())
+
+
+GOVERNING = """days AS (SELECT DISTINCT make_date(CAST(doc_id % 6 + 1993 AS INTEGER), 7, 1) AS as_of FROM documents),
+ gov AS (SELECT as_of, doc_num, CASE WHEN status_flag = 4 THEN 'Đã đối chiếu · Còn hiệu lực (có sửa đổi) · ' ELSE 'Đã đối chiếu · Còn hiệu lực · ' END || as_of AS label
+  FROM (SELECT q.as_of, d.doc_num, d.status_flag, row_number() OVER (PARTITION BY q.as_of ORDER BY CASE status_flag WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 4 END, issue_date DESC, doc_num DESC) AS rn
+   FROM docs d JOIN days q ON eff_from <= q.as_of AND (eff_to IS NULL OR eff_to > q.as_of) WHERE doc_type = 'Bộ luật' AND status_flag IN (0, 1, 4, 5)) WHERE rn = 1)"""
 
 
-@query("completeness_findings")
+@query("completeness_findings", """SELECT contract_id, CASE WHEN fr THEN 'Thiếu địa chỉ / nơi cư trú NLĐ và nội dung bắt buộc khác' ELSE 'Thiếu nội dung chủ yếu bắt buộc của HĐLĐ' END AS title, 'warning' AS severity,
+  'Hợp đồng lao động chưa thể hiện đủ các nội dung chủ yếu theo Điều 21 Bộ luật Lao động (' || (en::INT + de::INT + fr::INT) || ' mục thiếu). '
+   || CASE WHEN fr THEN 'Đặc biệt: chưa ghi nơi cư trú / địa chỉ hiện tại của NLĐ. ' ELSE '' END || 'Các mục sau không tìm thấy hoặc không đủ rõ trong văn bản.' AS issue,
+  concat_ws('|', 'Thiếu nội dung bắt buộc', 'Điều 21 BLLĐ', CASE WHEN fr THEN 'Thiếu địa chỉ / nơi cư trú NLĐ' END, CASE WHEN en THEN 'English words' END, CASE WHEN de THEN 'Deutsche Wörter' END, CASE WHEN fr THEN 'Mots français' END) AS topics,
+  concat_ws('|', CASE WHEN en THEN 'English words' END, CASE WHEN de THEN 'Deutsche Wörter (der)' END, CASE WHEN fr THEN 'Mots français' END) AS reasons,
+  'Điều 21 Bộ luật Lao động (' || coalesce(doc_num, '45/2019/QH14') || ') — ' || coalesce(label, 'Chưa đối chiếu kho') AS legal_basis,
+  CASE WHEN doc_num IS NULL THEN 0.55::DOUBLE ELSE 0.75::DOUBLE END AS confidence,
+  'Điều 21 ' || coalesce('Bộ luật số ' || doc_num, 'Bộ luật Lao động') AS cited, coalesce(label, 'Chưa đối chiếu kho — chưa xác nhận hiệu lực') AS cited_status
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS contract_id, make_date(CAST(doc_id % 6 + 1993 AS INTEGER), 7, 1) AS as_of, NOT (l LIKE '%the %' AND l LIKE '%tion%') AS en,
+    NOT (l LIKE '%der %' AND (l LIKE '%heit%' OR l LIKE '%keit%')) AS de, NOT (l LIKE '%eaux%' OR l LIKE '%tion%') AS fr FROM (SELECT doc_id, lower(text) AS l FROM documents))
+  LEFT JOIN gov USING (as_of) WHERE en OR de OR fr""", ctes=GOVERNING, views="docs")
 def _(t):
-    c = texts(t).withColumnRenamed("lang", "contract_type")
-    out = review.completeness_findings(c, governing(t), AS_OF, FIELDS, labor_only=False)
-    return out.select("contract_id", "title", "severity", F.array_join("summary_topics", "|").alias("topics"), F.array_join("reasons", "|").alias("reasons"), "legal_basis", "confidence")
+    c = dated(t).withColumnRenamed("lang", "contract_type")
+    out = review.completeness_findings(c, governing(t), rules=FIELDS, labor_only=False)
+    return out.select(
+        "contract_id", "title", "severity", "issue", F.array_join("summary_topics", "|").alias("topics"), F.array_join("reasons", "|").alias("reasons"), "legal_basis", "confidence",
+        F.col("legal_citations")[0]["title"].alias("cited"), F.col("legal_citations")[0]["status"].alias("cited_status"))
 
 
 KEYS = "concat_ws(',', CASE WHEN en THEN 'en_tion' END, CASE WHEN de THEN 'de_heit' END, CASE WHEN es THEN 'es_cion' END, CASE WHEN fr THEN 'fr_eaux' END)"
@@ -154,9 +178,13 @@ def _(t):
 
 @query("merge_by_clause", """SELECT contract_id, 'Điều ' || n AS clause_ref, CASE keys WHEN 'en_tion,de_heit' THEN 'tion · heit' WHEN 'en_tion' THEN 'tion' WHEN 'de_heit' THEN 'heit' WHEN 'es_cion' THEN 'cion' ELSE 'eaux' END AS title,
   CASE WHEN keys LIKE '%en_tion%' OR keys = 'es_cion' THEN 'critical' ELSE 'warning' END AS severity,
-  CASE keys WHEN 'en_tion,de_heit' THEN 'Điều 1; Điều 2' WHEN 'en_tion' THEN 'Điều 1' WHEN 'de_heit' THEN 'Điều 2' WHEN 'es_cion' THEN 'Điều 3' ELSE 'Điều 4' END AS legal_basis FROM grp""", ctes=GROUPS)
+  CASE keys WHEN 'en_tion,de_heit' THEN 'Điều 1; Điều 2' WHEN 'en_tion' THEN 'Điều 1' WHEN 'de_heit' THEN 'Điều 2' WHEN 'es_cion' THEN 'Điều 3' ELSE 'Điều 4' END AS legal_basis,
+  concat_ws('|', CASE WHEN keys LIKE 'en_tion%' THEN 'Điều 1 — ' || law END, CASE WHEN keys LIKE '%de_heit' THEN 'Điều 2 — ' || law END, CASE keys WHEN 'es_cion' THEN 'Điều 3 — ' || law WHEN 'fr_eaux' THEN 'Điều 4 — ' || law END) AS cited
+  FROM (SELECT grp.*, coalesce('Bộ luật số ' || doc_num, 'Bộ luật Lao động') AS law FROM grp LEFT JOIN gov ON gov.as_of = make_date(CAST(contract_id::BIGINT % 6 + 1993 AS INTEGER), 7, 1))""", ctes=f"{GROUPS}, {GOVERNING}", views="docs")
 def _(t):
-    return review.merge_by_clause(originals(t), FLAGS).select("contract_id", "clause_ref", "title", "severity", "legal_basis")
+    groups = originals(t).join(dated(t).select("contract_id", "as_of"), "contract_id")
+    out = review.merge_by_clause(review.cite_groups(groups, flag_citations(t)), FLAGS)
+    return out.select("contract_id", "clause_ref", "title", "severity", "legal_basis", F.array_join(F.transform("legal_citations", lambda c: c["title"]), "|").alias("cited"))
 
 
 @query("revise_clause", """SELECT doc_id, line_no, CASE WHEN b = trim(chunk_text) OR length(b) < 40 THEN trim(chunk_text) || chr(10) || chr(10) || '[Đề xuất chỉnh sửa bắt buộc]' || chr(10) || '- action de' || chr(10) || '- action es' ELSE b END AS revised
@@ -166,12 +194,17 @@ def _(t):
     return t.lines().select("doc_id", "line_no", review.revise_clause(F.col("chunk_text"), keys, FLAGS).alias("revised"))
 
 
-@query("hydrate_flag_citation")
-def _(t):
+def flag_citations(t):
     g = governing(t)
-    asked = g.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))).alias("article_no"))
-    snippets = retrieve.article_snippet(asked, t.chunks()).select("article_no", "quote", "path")
-    return review.hydrate_flag_citation(snippets, g, AS_OF, FLAGS)
+    asked = g.select("doc_id", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3, 4)])).alias("article_no"))
+    return review.hydrate_flag_citation(dated(t).select("as_of"), g, retrieve.article_snippet(asked, t.chunks()), FLAGS)
+
+
+@query("hydrate_flag_citation", """SELECT as_of, key, 'Điều ' || a || ' — ' || coalesce('Bộ luật số ' || doc_num, 'Bộ luật Lao động') AS title, coalesce(doc_num, '45/2019/QH14') AS doc_number, blurb AS quote,
+  coalesce(label, 'Chưa đối chiếu kho — chưa xác nhận hiệu lực') AS status
+  FROM days LEFT JOIN gov USING (as_of), (VALUES ('en_tion', 1, 'blurb en'), ('de_heit', 2, 'blurb de'), ('es_cion', 3, 'blurb es'), ('fr_eaux', 4, 'blurb fr')) f(key, a, blurb)""", ctes=GOVERNING, views="docs")
+def _(t):
+    return flag_citations(t).select("as_of", "key", "citation.title", "citation.doc_number", "citation.quote", "citation.status")
 
 
 FIND = """fnd AS (SELECT CAST(d.doc_id AS VARCHAR) AS contract_id, l.line_no AS ord, 'Điều ' || (l.line_no % 7) AS clause_ref,

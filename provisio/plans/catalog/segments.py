@@ -71,10 +71,10 @@ def _(t):
     return segment.backfill_element_ids(marked(t), ch).select("doc_id", "line_no", F.col("source_element_id").alias("element_id"))
 
 
-@query("split_points", """SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN 'dd' ELSE substr('abc', CAST(line_no % 4 AS INTEGER), 1) END AS letter FROM lines WHERE line_no % 5 <> 0""")
+@query("split_points", """SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN 'dd' ELSE substr('abc', CAST(line_no % 4 AS INTEGER), 1) END AS letter FROM lines""")
 def _(t):
     mark = F.substr(F.lit("đabc"), (F.col("line_no") % 4 + 1).cast("int"), F.lit(1))
-    rows = t.lines().filter("line_no % 5 <> 0").select("doc_id", "line_no", F.concat(mark, F.lit(") "), "chunk_text").alias("clause_text"))
+    rows = t.lines().select("doc_id", "line_no", F.concat(mark, F.lit(") "), "chunk_text").alias("clause_text"))
     return segment.split_points(rows).select("doc_id", "line_no", "letter")
 
 
@@ -87,10 +87,9 @@ def _(t):
     return segment.preamble_chunks(docs).select("doc_id", F.md5(F.rtrim(F.regexp_replace("chunk_text", r"\n$", ""))).alias("text_md5"))
 
 
-@query("signature_chunk", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, '<!-- article_id: sign -->Nơi nhận: ' || lang || ', ' || source || ', hồ sơ' AS chunk_text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+@query("signature_chunk", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, '<!-- article_id: sign -->Nơi nhận: ' || lang || ', ' || source || ', hồ sơ' AS chunk_text FROM documents""")
 def _(t):
-    d = t.raw("documents").join(t.raw("labels").select("doc_id"), "doc_id", "left_semi")
-    docs = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(
+    docs = t.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(
         F.lit("<!-- article_id: a1 -->\n"), F.regexp_replace("text", "\n", " "), F.lit("\n\n<!-- article_id: sign -->Nơi nhận: "), "lang", F.lit(", "), "source", F.lit(", hồ sơ\n")).alias("body"))
     return segment.signature_chunks(docs, docs.select("doc_id", F.lit("a1").alias("element_id"))).select("doc_id", "chunk_text")
 
@@ -192,9 +191,9 @@ def _(t):
 
 
 @query("graph_ancestors_4hop", """SELECT path, array_to_string(list_slice(string_split(path, '.'), 1, n), '.') AS ancestor FROM nodes, (SELECT unnest(range(1, 5)) AS n)
-  WHERE level = 'Clause' AND status_flag = 0""")
+  WHERE level = 'Clause'""")
 def _(t):
-    leaf = t.nodes().filter("level = 'Clause' and status_flag = 0").select("path")
+    leaf = t.nodes().filter("level = 'Clause'").select("path")
     return tree.ancestors_of(leaf, max_hops=4)
 
 
