@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -144,3 +146,18 @@ def test_qa_pairs_rules(spark):
     got = memory.qa_pairs(m).collect()
     assert [(r["question"], r["answer"]) for r in got] == [("q2", "a2")]
     assert [r["turn"] for r in memory.trim_history(m, limit=3).orderBy("turn").collect()] == [4, 5, 6]
+
+
+def test_fuzzy_search_equals_brute_force(spark, tables):
+    def grams(text):
+        padded = "  " + "  ".join(re.findall(r"[^\W_]+", text.lower())) + " "
+        return {padded[i:i + 3] for i in range(len(padded) - 2)}
+
+    docs = {r["doc_id"]: grams(r["doc_num"]) for r in tables.documents().collect()}
+    want = set()
+    for (key,) in tables.raw("customer").select("c_custkey").collect():
+        q = grams(f"{key}/1997/NĐ-CP")
+        found = [(-round(len(q & d) / len(q | d), 6), i) for i, d in docs.items() if len(q & d) / len(q | d) >= 0.75 - 1e-7]
+        want |= {(key, i, -s) for s, i in sorted(found)[:5]}
+    got = catalog.QUERIES["fuzzy_doc_search"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["query_id"], r["doc_id"], r["similarity"]) for r in got} == want
