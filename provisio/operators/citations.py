@@ -135,7 +135,8 @@ def ground_citations(findings: DataFrame, hits: DataFrame, as_of, max_citations:
     doc_number), context``; ``hits``: ``finding_id, path`` with document columns
     (a top-k result per finding).  Asked-for paths first, else the first hit per
     citation whose number or title fits; dead or sector-bound law is dropped;
-    one per document and article.
+    one per document and article.  A finding of which nothing could be grounded keeps its
+    own citations, with ``grounded`` false.
     """
     law = SC.scope_text(F.col("title"), F.col("doc_num"), F.col("doc_type"), F.col("chunk_text"))
     pool = hits.join(findings.select("finding_id", "context"), "finding_id").filter(~SC.sector_mismatch(law, F.col("context"), sectors, general))
@@ -159,11 +160,16 @@ def ground_citations(findings: DataFrame, hits: DataFrame, as_of, max_citations:
     element = F.col("source_element_id") if "source_element_id" in best.columns else none
     url = F.col("source_url") if "source_url" in best.columns else none
     target = F.coalesce(article_title(F.col("chunk_text")), F.col("loc.article"), F.col("quote"))
-    return best.select(
+    kept = best.select(
         "finding_id", "position", "title", F.coalesce("model_summary", F.lit("")).alias("summary"), F.col("doc_num").alias("doc_number"),
-        F.col("loc.location").alias("location"), F.col("loc.article").alias("article"), F.col("loc.clause").alias("clause"), "quote",
-        deep_link(url, element, target).alias("deep_link"), F.col("path").alias("evidence_path"), F.col("effect.status_label").alias("status"),
-        F.lit(True).alias("grounded"))
+        F.col("loc.location").alias("location"), F.col("loc.article").alias("article"), F.col("loc.clause").alias("clause"), F.col("loc.point").alias("point"),
+        "quote", deep_link(url, element, target).alias("deep_link"), F.col("path").alias("evidence_path"), element.alias("source_element_id"),
+        F.col("effect.status_label").alias("status"), F.lit(True).alias("grounded"))
+    bare = findings.join(kept.select("finding_id").distinct(), "finding_id", "left_anti").select("finding_id", F.posexplode("citations").alias("position", "c"))
+    parsed = bare.select(
+        "finding_id", (F.col("position") + 1).alias("position"), F.col("c.title").alias("title"), F.coalesce("c.summary", F.lit("")).alias("summary"),
+        F.col("c.doc_number").alias("doc_number"), F.lit(False).alias("grounded"))
+    return kept.unionByName(parsed, allowMissingColumns=True)
 
 
 def verify_cited_clauses(cited: Column, valid: Column) -> Column:
@@ -187,8 +193,8 @@ def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFr
 
     ``findings``: ``finding_id, legal_basis, citations (title, summary,
     doc_number, evidence_path)``.  References found in the text come first, then
-    old citations that no reference represents.  ``changed`` tells whether a
-    finding gained evidence.
+    old citations that no reference represents.  ``changed`` tells whether the
+    finding gained evidence that its old citations did not name.
     """
     basis = F.coalesce("legal_basis", F.lit(""))
     old_paths = F.transform("citations", lambda c: strip(c["evidence_path"]))
@@ -199,6 +205,8 @@ def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFr
     number = lambda c: F.nullif(F.regexp_extract(F.concat_ws(" ", c["doc_number"], c["title"], c["summary"]), f"(?iu){NUMBER}", 0), F.lit(""))
 
     evidence = f.select("finding_id", "citations", F.posexplode("refs").alias("ord", "path")).join(chunks, "path")
+    named = F.transform("citations", lambda c: strip(c["evidence_path"]))
+    gained = evidence.filter(~F.coalesce(F.array_contains(named, F.col("path")), F.lit(False))).select("finding_id").distinct().withColumn("changed", F.lit(True))
     gist = F.get(F.filter("citations", lambda c: F.contains(F.lower(c["title"]), F.lower(F.col("doc_num")))), F.lit(0))["summary"]
     quote, loc = clean_quote(F.col("chunk_text")), P.path_location(F.col("path"))
     new_rows = evidence.select(
@@ -220,4 +228,4 @@ def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFr
         "finding_id", F.lit(1).alias("part"), "ord", F.col("c.title").alias("title"), F.col("c.summary").alias("summary"),
         F.coalesce(d["doc_num"], F.col("c.doc_number")).alias("doc_number"), d["source_url"].alias("source_url"),
         deep_link(d["source_url"], F.lit(None).cast("string"), heading).alias("deep_link"), F.col("c.evidence_path").alias("evidence_path"))
-    return new_rows.unionByName(old_rows)
+    return new_rows.unionByName(old_rows).join(gained, "finding_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))

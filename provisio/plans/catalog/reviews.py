@@ -351,13 +351,15 @@ def grounded_inputs(t):
     return f, hits
 
 
-@query("ground_citations", f"""SELECT doc_id AS finding_id, path AS evidence_path, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN '' ELSE 'tóm tắt' END AS summary, doc_num AS doc_number FROM (
+@query("ground_citations", f"""SELECT finding_id, evidence_path, summary, doc_number, true AS grounded FROM g
+  UNION ALL SELECT doc_id, NULL, 'tóm tắt', doc_num, false FROM chunks WHERE chunk_type = 'preamble' AND doc_id NOT IN (SELECT finding_id FROM g)""", views="chunks", ctes=f"""g AS (
+  SELECT doc_id AS finding_id, path AS evidence_path, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN '' ELSE 'tóm tắt' END AS summary, doc_num AS doc_number FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS rn FROM chunks c WHERE status_flag <> 2 AND eff_from <= {DAY} AND (eff_to IS NULL OR eff_to > {DAY})
-   AND (CAST(doc_id AS BIGINT) % 2 = 1 OR chunk_type = 'preamble') AND EXISTS (SELECT 1 FROM chunks p WHERE p.doc_id = c.doc_id AND p.chunk_type = 'preamble')) WHERE rn = 1""")
+   AND (CAST(doc_id AS BIGINT) % 2 = 1 OR chunk_type = 'preamble') AND EXISTS (SELECT 1 FROM chunks p WHERE p.doc_id = c.doc_id AND p.chunk_type = 'preamble')) WHERE rn = 1)""")
 def _(t):
     f, hits = grounded_inputs(t)
     out = citations.ground_citations(f, hits, AS_OF, sectors=(("no such", "word"),))
-    return out.select("finding_id", "evidence_path", "summary", "doc_number")
+    return out.select("finding_id", "evidence_path", "summary", "doc_number", "grounded")
 
 
 @query("verify_cited_clauses", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber IN (1, 3) THEN CAST(l_linenumber AS VARCHAR) ELSE '' END AS kept, CASE WHEN l_linenumber IN (1, 3) THEN 'x' ELSE l_linenumber || ',x' END AS dropped FROM lineitem""")
@@ -366,8 +368,8 @@ def _(t):
     return t.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.array_join(v["kept"], ",").alias("kept"), F.array_join(v["dropped"], ",").alias("dropped"))
 
 
-@query("backfill_risk_citations", """SELECT doc_id AS finding_id, path AS evidence_path, doc_num AS doc_number FROM chunks WHERE chunk_type = 'preamble'
-  UNION ALL SELECT doc_id, NULL, CAST(doc_id AS BIGINT) + 1 || '/1000/NĐ-CP' FROM chunks WHERE chunk_type = 'preamble' AND doc_id IN (SELECT doc_id FROM docs WHERE length(doc_id) < 4 OR doc_id < '9999')""")
+@query("backfill_risk_citations", """SELECT doc_id AS finding_id, path AS evidence_path, doc_num AS doc_number, CAST(doc_id AS BIGINT) % 2 = 1 AS changed FROM chunks WHERE chunk_type = 'preamble'
+  UNION ALL SELECT doc_id, NULL, CAST(doc_id AS BIGINT) + 1 || '/1000/NĐ-CP', CAST(doc_id AS BIGINT) % 2 = 1 FROM chunks WHERE chunk_type = 'preamble' AND doc_id IN (SELECT doc_id FROM docs WHERE length(doc_id) < 4 OR doc_id < '9999')""")
 def _(t):
     c = t.chunks().withColumn("source_url", F.lit("https://x.example/a")).withColumn("source_element_id", F.lit("e1"))
     heads = c.filter("chunk_type = 'preamble'")
@@ -375,8 +377,8 @@ def _(t):
     mark = lambda n, p: F.struct(F.lit("tên").alias("title"), F.lit("tóm tắt").alias("summary"), n.alias("doc_number"), p.alias("evidence_path"))
     other = F.concat((F.col("doc_id").cast("bigint") + 1).cast("string"), F.lit("/1000/NĐ-CP"))
     f = heads.select(F.col("doc_id").alias("finding_id"), F.concat(F.lit("theo [Luật | "), "path", F.lit("]")).alias("legal_basis"),
-                     F.array(mark(F.col("doc_num"), F.col("path")), mark(other, none)).alias("citations"))
-    return citations.backfill_risk_citations(f, c, t.documents()).select("finding_id", "evidence_path", "doc_number")
+                     F.array(mark(F.col("doc_num"), F.when(F.col("doc_id").cast("bigint") % 2 == 0, F.col("path"))), mark(other, none)).alias("citations"))
+    return citations.backfill_risk_citations(f, c, t.documents()).select("finding_id", "evidence_path", "doc_number", "changed")
 
 
 # -- I ----------------------------------------------------------------------------

@@ -83,8 +83,11 @@ def stream_status_changes(changes: DataFrame, docs: DataFrame, edges: DataFrame,
 
     def write(batch: DataFrame, epoch: int) -> None:
         came = batch.filter("new_status = 1 and old_status <> 1").select("doc_id").distinct()
-        after = effect.cascade_document_status(docs, edges, came, as_of)
-        before = docs.select("doc_id", F.col("status_flag").alias("old_flag"))
+        # Only what the batch points at is read on: edges from it, then their targets.
+        own = edges.join(came.withColumnRenamed("doc_id", "from_doc_id"), "from_doc_id", "left_semi")
+        hit = docs.join(own.select(F.col("to_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        after = effect.cascade_document_status(hit, own, came, as_of)
+        before = hit.select("doc_id", F.col("status_flag").alias("old_flag"))
         out = after.select("doc_id", F.col("status_flag").alias("new_flag")).join(before, "doc_id").filter("old_flag <> new_flag")
         out.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
@@ -137,12 +140,17 @@ def merge_memory(states: DataFrame, n: int = 5) -> DataFrame:
 
 
 def stream_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Findings per severity in tumbling or sliding windows; rows later than ``late`` are dropped."""
+    """Findings per severity in tumbling or sliding windows, for append mode.
+
+    A window comes out once, when the watermark has passed its end, and its state is freed; rows later
+    than ``late`` are dropped.
+    """
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.withWatermark("ts", late).groupBy(window, "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
+    """Sessions per key, for append mode: each comes out when the watermark has passed its gap."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "key").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from provisio.operators import effect, memory, search, skew
 from provisio.plans import catalog
 from provisio.plans.projections import AS_OF
+from provisio.streaming import jobs
 
 
 def hot(spark, n=3000):
@@ -161,3 +163,19 @@ def test_fuzzy_search_equals_brute_force(spark, tables):
         want |= {(key, i, -s) for s, i in sorted(found)[:5]}
     got = catalog.QUERIES["fuzzy_doc_search"](spark, "/root/testdata/sf0.001").collect()
     assert {(r["query_id"], r["doc_id"], r["similarity"]) for r in got} == want
+
+
+def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
+    """Four files in order; a row of a closed window comes too late (Spark drops it one batch after the window closed)."""
+    source = tmp_path / "in"
+    rows = [[("2024-01-01 00:10:00", "a")] * 3, [("2024-01-01 03:00:00", "a")], [("2024-01-01 03:05:00", "a")], [("2024-01-01 00:20:00", "a"), ("2024-01-01 05:30:00", "b")]]
+    for i, part in enumerate(rows):
+        df = spark.createDataFrame(part, "ts string, severity string").select(F.col("ts").cast("timestamp").alias("ts"), "severity")
+        df.coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(1.1)  # files are read by their time
+    stream = spark.readStream.schema("ts timestamp, severity string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    target = str(tmp_path / "out")
+    jobs.run(jobs.stream_counts(stream), "late", jobs.epoch_sink(target))
+    out = spark.read.option("basePath", target).parquet(f"{target}/epoch=*")
+    got = sorted((r["w"].hour, r["severity"], r["n"]) for r in out.select(F.col("window.start").alias("w"), "severity", "n").collect())
+    assert got == [(0, "a", 3), (3, "a", 2)]
