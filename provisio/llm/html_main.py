@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, settle
 
-#: Share of a host's different pages, and their number, from which a subtree is template.
-SHARE, PAGES = 0.5, 8
+#: Share of a host's different pages, and their number, from which a subtree is template.  Texts that many articles
+#: share stand on far fewer pages of a host than its template does.
+SHARE, PAGES = 0.9, 10
+#: Never template as a whole: copies of an article are articles.
+KEPT = frozenset("# html body article main".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -174,7 +177,7 @@ def _walk(node: Node, template: frozenset) -> Iterator[tuple[str, Node | str | N
         if n is None:
             yield "border", None
             continue
-        if n.drop or (n.mark in template and n.tag not in ("#", "html", "body")):
+        if n.drop or (n.mark in template and n.tag not in KEPT):
             continue
         if n.tag in ("br", "wbr", "img"):
             if n.tag == "br":
@@ -252,7 +255,7 @@ def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
         n = todo.pop()
         if not isinstance(n, Node) or n.drop:
             continue
-        if n.tag in BLOCK and n.tag not in ("html", "body"):
+        if n.tag in BLOCK and n.tag not in KEPT:
             found.add(n.mark)
         todo += n.children
     return top.mark, sorted(found)

@@ -153,11 +153,13 @@ def test_templates(spark):
     """A block that most pages of a host share goes there and stays elsewhere; copies of one page are one page."""
     rows = [(i, f"http://A.example/{i}", page(f"<div><p>unmarked banner</p></div><div><p>own {i}</p></div>")) for i in range(20)]
     rows += [(100 + i, "http://b.example/same", page("<div><p>unmarked banner</p></div><div><p>copied</p></div>")) for i in range(20)]
+    rows += [(300 + i, "http://d.example/", page(f"<nav>{i}</nav><article><p>{'shared by half' if i % 2 else i}</p></article>")) for i in range(30)]
     rows += [(200, None, None), (201, "x", ""), (202, "http://c.example", page("<p>" + "deep <i>" * 5000 + "</p>"))]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     out = {r["page_id"]: r["text"] for r in html_main.extract(df).collect()}
     assert {out[i] for i in range(20)} == {f"own {i}" for i in range(20)}
     assert {out[100 + i] for i in range(20)} == {"unmarked banner\ncopied"}
+    assert all(out[300 + i] == ("shared by half" if i % 2 else str(i)) for i in range(30))
     assert out[200] == "" and out[201] == "" and out[202].count("deep") == 5000
     assert html_main.extract(df.limit(0)).count() == 0
 
