@@ -19,9 +19,9 @@ def allocate_tokens(siblings: DataFrame) -> DataFrame:
     """Give every sibling a label unique in its scope.
 
     Input: ``scope, pos, level, title, node_id``.  The first holder of a label
-    keeps it; later holders and weak titles get an id-based one; appendix and
-    group entries fall back to their ordinal first.  Adds ``token`` (null for
-    unknown levels).
+    keeps it; later holders and weak titles get an id-based one, with a number where
+    ids of one scope begin alike; appendix and group entries fall back to their ordinal
+    first.  Adds ``token`` (null for unknown levels).
     """
     known = P.lookup({**P.LEVEL_PREFIX, "Point": "p"}, F.col("level"))
     numbered = row_number_in_blocks(siblings, ["scope", "level"], F.col("pos"), ["pos"], "__ord")
@@ -32,15 +32,17 @@ def allocate_tokens(siblings: DataFrame) -> DataFrame:
     wished = numbered.withColumn("__prefix", known).withColumn("__wish", F.coalesce(natural, ordinal))
     holders = (
         wished.filter("__wish is not null and __prefix is not null")
-        .groupBy("scope", F.col("__wish").alias("__w")).agg(F.min("pos").alias("__first"))
+        .groupBy(F.col("scope").alias("__s"), F.col("__wish").alias("__w")).agg(F.min("pos").alias("__first"))
     )
-    joined = wished.join(
-        holders, (wished["scope"] == holders["scope"]) & (F.col("__wish") == F.col("__w")), "left"
-    ).drop(holders["scope"])
+    joined = wished.join(holders, (F.col("scope") == F.col("__s")) & (F.col("__wish") == F.col("__w")), "left").drop("__s")
     fallback = P.id_token(F.col("__prefix"), F.col("node_id"), F.col("__ord") - 1)
-    token = F.when(F.col("__first") == F.col("pos"), F.col("__wish")).otherwise(fallback)
-    return joined.withColumn("token", F.when(F.col("__prefix").isNotNull(), token)).drop(
-        "__ord", "__prefix", "__wish", "__w", "__first"
+    own = F.coalesce(F.col("__first") == F.col("pos"), F.lit(False))
+    token = F.when(own, F.col("__wish")).otherwise(fallback)
+    named = joined.withColumn("token", F.when(F.col("__prefix").isNotNull(), token)).withColumn("__own", own)
+    named = row_number_in_blocks(named, ["scope", "token"], F.col("pos"), ["pos"], "__same")
+    apart = F.when(~F.col("__own") & (F.col("__same") > 1), F.concat_ws("_", "token", "__same")).otherwise(F.col("token"))
+    return named.withColumn("token", F.when(F.col("token").isNotNull(), apart)).drop(
+        "__ord", "__prefix", "__wish", "__w", "__first", "__own", "__same"
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provisio.functions import contract, metadata, paths, rank, references, rewrite, scope, status, text  # noqa: F401
-from provisio.operators import citations, relations
+from provisio.operators import citations, relations, tree
 
 
 @pytest.mark.parametrize(("level", "title", "want"), [
@@ -123,6 +123,13 @@ def test_long_numbers_and_ranges(spark):
     assert found == {p: want for p, _, want in texts}
 
 
+def test_fallback_labels_are_unique(spark):
+    """Siblings whose ids share ten characters get different labels."""
+    rows = [("s", 1, "Article", "Điều 1. A", "n1"), ("s", 2, "Article", "no number", "abcdefghij1"), ("s", 3, "Article", "none", "abcdefghij2"), ("t", 4, "Article", "none", "abcdefghij3"), ("s", 5, "X", "x", "y")]
+    got = tree.allocate_tokens(spark.createDataFrame(rows, "scope string, pos long, level string, title string, node_id string")).collect()
+    assert {r["pos"]: r["token"] for r in got} == {1: "D1", 2: "D_abcdefghij", 3: "D_abcdefghij_2", 4: "D_abcdefghij", 5: None}
+
+
 def test_amendment_types(value):
     kind = lambda v: value(relations.amendment_type(F.lit(v).cast("string")))
     assert [kind("1"), kind("10"), kind("99"), kind(None)] == ["bai_bo", "sua_doi", "loai_99", "sua_doi"]
