@@ -49,8 +49,11 @@ def fill(shards: Sequence[str], slots: int = SLOTS) -> list[int]:
 
 
 def lookup(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """(slot, shard) as a table."""
-    return spark.createDataFrame([(slot, shards[i]) for slot, i in enumerate(fill(shards, slots))], "slot int, shard string")
+    """(slot, shard) as a table, made of two constant arrays: the names, and the name's number by slot."""
+    numbers = F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")
+    names = F.array(*[F.lit(s) for s in shards])
+    slot = F.col("id").cast("int")
+    return spark.range(slots).select(slot.alias("slot"), F.get(names, F.get(numbers, slot).cast("int")).alias("shard"))
 
 
 def slot_of(key: Column, otherwise: Column, slots: int = SLOTS) -> Column:
