@@ -195,3 +195,19 @@ def test_contract_fields(value):
     p = value(contract.extract_parties(t))
     assert [(x["name"], x["role"]) for x in p] == [("ACME", "NSDLĐ"), ("Bình", "NLĐ")] and p[0]["tax_id"] == "0312345678"
     assert value(contract.contract_type(t)) == "Hợp đồng LAO ĐỘNG"
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from provisio.functions import sql
+
+    assert len(sql.register(spark)) == 6
+    paths_ = [None, "", "12/2020/NĐ-CP", "a:b.C1", "a:", ":x", "x:..D1.K2", "r.C1.D12.K3", "D7", "r.D1x.K2", "d:D5 "]
+    marks = [(s, w) for s in (None, 0, 1, 2, 3, 4, 5, 9) for w in (None, "", " Còn hiệu lực ", *status.LABEL_STATUS, "khác")]
+    p = spark.createDataFrame([(x,) for x in paths_], "p string")
+    by_sql = p.selectExpr("path_sanitize(p) a", "ref_to_path(p) b", "article_root(p) c").collect()
+    c = F.col("p")
+    assert by_sql == p.select(paths.path_sanitize(c).alias("a"), paths.ref_to_path(c).alias("b"), paths.article_root(c).alias("c")).collect()
+    m = spark.createDataFrame(marks, "s int, w string")
+    by_sql = m.selectExpr("status_to_label(s) a", "label_to_status(w) b", "is_partial_effect(s, w) c").collect()
+    s, w = F.col("s"), F.col("w")
+    assert by_sql == m.select(status.status_to_label(s).alias("a"), status.label_to_status(w).alias("b"), status.is_partial(s, w).alias("c")).collect()
