@@ -122,3 +122,28 @@ def test_contract_without_text_is_kept(spark):
     got = {r["contract_id"]: (r["status"], r["chunk_count"]) for r in contracts.collect()}
     assert got == {"a": ("parsed", 2), "b": ("uploaded", 0), "c": ("parsed", 2)}
     assert [r["clause_number"] for r in chunks.filter("contract_id = 'a'").orderBy("chunk_index").collect()] == ["1", "2"]
+
+
+def test_sinks_and_joined_blocks(spark, root, tmp_path):
+    """Partitions that are touched are replaced, others stay; exports have a header; blocks of a page join again; folders give node rows."""
+    from pyspark.sql import functions as F
+
+    from provisio.functions import paths
+    from provisio.operators import embed, upsert
+    from provisio.sources import exports, html
+
+    at = str(tmp_path / "parts")
+    for rows in ([("a", 1), ("a", 2), ("b", 3)], [("a", 9)]):
+        upsert.write_partitions(spark.createDataFrame(rows, "k string, v int"), at, "k")
+    assert {(r["k"], r["v"]) for r in spark.read.parquet(at).collect()} == {("a", 9), ("b", 3)}
+    exports.write_csv(spark.createDataFrame([("x,y", 1)], "t string, n int"), str(tmp_path / "csv"))
+    assert [tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()] == [("x,y", "1")]
+    blocks = spark.createDataFrame([(1, 2, "clause", "c2"), (1, 0, "article", "## A"), (1, 1, "clause", "c1"), (1, 3, "text", "end")], "page_id long, pos int, kind string, markdown string")
+    assert html.blocks_to_markdown(blocks).first()["markdown"] == "## A\n\nc1\nc2\n\nend\n"
+    nodes = folders.artifact_nodes(folders.read_doc_artifacts(spark, root, folders.discover_doc_folders(spark, root)))
+    assert "168_2024_N__CP.C1.D1.K2" in {r["path"] for r in nodes.collect()}
+    titles = spark.createDataFrame([(" Điều 1 ", "r.D1", 4), ("", "r.D2", 5), (None, "", 6)], "l string, p string, n int")
+    assert [r[0] for r in titles.select(paths.node_title(F.col("l"), F.col("p"), F.col("n"))).collect()] == ["Điều 1", "D2", "6"]
+    texts = spark.createDataFrame([("1", "aa b c"), ("2", None)], "id string, text string")
+    unit = {r["id"]: r["embedding"] for r in embed.embed_batches(texts, lambda b: [[len(t), 0.0] for t in b], max_tokens=2).collect()}
+    assert unit == {"1": [1.0, 0.0], "2": [0.0, 0.0]}
