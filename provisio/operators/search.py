@@ -264,29 +264,23 @@ def _is_small(words: DataFrame) -> bool:
 def fts_matches(queries: DataFrame, corpus: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Chunks holding all tokens of a query: ``query_id, path, score``.
 
-    The rarest token of each query picks the candidates.  Where the queries' words fit every
-    task, a chunk that holds such a token carries its body along, and the corpus is
-    neither shuffled nor joined with itself; more words join narrow rows first and the bodies of the
-    candidates afterwards.
+    The rarest token of each query picks the candidates (one narrow join on the
+    token); only those are read in full to test the other tokens and to rank.
     """
     q = query_words(queries)
     words = corpus.select("path", *([] if scope is None else ["doc_id"]), tokens(F.col("chunk_text")).alias("body"))
     if scope is None:
+        entries = words.select("path", F.explode(F.array_distinct("body")).alias("word"))
         asked = q.select("query_id", F.explode("words").alias("word"))
-        small = _is_small(asked)
-        ship = F.broadcast if small else (lambda df: df)
-        held = words.withColumn("word", F.explode(F.array_distinct("body")))
+        ship = F.broadcast if _is_small(asked) else (lambda df: df)
         frequency = (
-            held.select("word").join(ship(asked.select("word").distinct()), "word", "left_semi")
+            entries.join(ship(asked.select("word").distinct()), "word", "left_semi")
             .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
         rarest = (
             asked.join(frequency, "word", "left").groupBy("query_id")
             .agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min_by("word", F.struct("df", "word")).alias("word"))
             .filter("least > 0").select("query_id", "word"))
-        if small:
-            full = held.join(ship(rarest), "word")
-        else:
-            full = held.select("path", "word").join(rarest, "word").select("query_id", "path").join(words, "path")
+        full = entries.join(ship(rarest), "word").select("query_id", "path").join(words, "path")
     else:
         full = scope.select(F.col("query_id").cast("string").alias("query_id"), "doc_id").distinct().join(words, "doc_id")
     hit = full.join(q, "query_id").filter(F.size(F.array_except("words", "body")) == 0)
