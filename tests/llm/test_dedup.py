@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from provisio.llm import decontaminate, exact_dedup, simhash, substring_dedup
+from provisio.llm import decontaminate, exact_dedup, near_copies, simhash, substring_dedup
 from provisio.llm.graph import components
 from provisio.llm.queries import QUERIES
 
@@ -78,6 +78,58 @@ def test_drop_near_duplicates(docs):
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def brute_near(pairs):
+    """Rows that stay, by comparison of all pairs."""
+    sets = []
+    for _, text in pairs:
+        w = brute.WORD.findall((text or "").translate(brute.UPPER))
+        sets.append({" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(pairs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, (d, _) in enumerate(pairs):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), (d, i)), (d, i))
+    return sorted(-1 if d is None else d for i, (d, _) in enumerate(pairs) if d is None or least[find(i)] == (d, i))
+
+
+def test_near_copies_by_brute_force(docs, odd):
+    """Copies with few and many changes (most further apart than 3 bits), chains of them, and odd rows."""
+    rng = np.random.default_rng(11)
+    pairs, number = [], 100
+    for _ in range(12):
+        words = rng.choice([f"w{i}" for i in range(400)], rng.integers(5, 300)).tolist()
+        chain = list(words)
+        for share in (0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.03, 0.03):
+            copy = [f"n{rng.integers(1 << 30)}" if rng.random() < share else w for w in words]
+            chain = [f"n{rng.integers(1 << 30)}" if rng.random() < 0.02 else w for w in chain]
+            pairs += [(number, " ".join(copy)), (number + 5000, " ".join(chain))]
+            number += 1
+    pairs += odd
+    kept = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in near_copies.drop_near_copies(docs(pairs)).collect())
+    assert kept == brute_near(pairs)
+    assert len(kept) < sum(1 for _ in simhash.drop_near_duplicates(docs(pairs)).collect())
+    assert near_copies.drop_near_copies(docs([])).count() == 0
+
+
+def test_near_dedup_stage(spark, rows):
+    """The stage of the pipeline against brute force on a whole table."""
+    import corpus_pipeline
+
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_near(rows())
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501), (None, 3)], "a bigint, b bigint")
     assert {(r["node"], r["root"]) for r in components(links, "a", "b").collect()} == {(i, 0) for i in range(201)} | {(500, 500), (501, 500)}
