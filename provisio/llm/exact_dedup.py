@@ -2,9 +2,9 @@ r"""Exact duplicates by content sort.
 
 Sampled splitters cut the order of normalised texts into ranges; every range is
 sorted (Spark's external sort), so equal texts are neighbours, and each text is
-compared in full with the one before it.  The order key goes on with length and
-id, so a large group of copies spreads over many ranges; a run that crosses a
-splitter is joined again from one row per range.
+compared in full with the one before it.  The order key goes on with length,
+id and a random number, so a large group of copies spreads over many ranges, repeated rows
+and rows without an id too; a run that crosses a splitter is joined again from one row per range.
 
 Normalised: every character of ``[\x20\x09-\x0D]`` deleted.  Of equal texts the
 one with most code points, then the least ``doc_id`` stays.  Null text counts as
@@ -33,11 +33,12 @@ def normal(text: Column) -> Column:
 
 
 def _key(norm: Column, digest: Column, length: Column, doc_id: Column) -> Column:
-    """Fixed-width text whose byte order is (text, digest, longest first, least id first, no id)."""
+    """Text whose byte order is (text, digest, longest first, least id first, no id, at random)."""
     lead = F.rpad(F.hex(F.substring(F.encode(norm, "utf-8"), 1, LEAD)), 2 * LEAD, "0")
     long_first = F.lpad(F.hex(F.lit(1 << 40) - length), 11, "0")
     least_first = F.coalesce(F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("~"))
-    return F.concat(lead, digest, long_first, least_first)
+    # Rows alike so far are told apart at random, so that many of them spread over ranges.
+    return F.concat(lead, digest, long_first, least_first, F.lpad(F.hex((F.rand(11) * (1 << 32)).cast("bigint")), 8, "0"))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -98,8 +99,10 @@ def duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.row_number().over(own.orderBy("key")).alias("place"),
     )
     # One row per range: does its first run go on from the range before, and which run does it end with?
+    edge_key = F.when(F.col("edge_text").isNotNull(), F.col("key"))
     ends = pairs.groupBy("range").agg(
-        F.min_by("edge_text", "key").alias("first_text"), F.max_by("edge_text", "key").alias("last_text"),
+        # Rows between the edges can have the key of an edge, but no text.
+        F.min_by("edge_text", edge_key).alias("first_text"), F.max_by("edge_text", edge_key).alias("last_text"),
         F.sum(F.when(F.col("same"), 0).otherwise(1)).alias("runs"),
     )
     across = Window.orderBy("range")

@@ -148,6 +148,24 @@ def test_exact_across_ranges(docs, ranges):
     assert got(exact_dedup.duplicates(docs(pairs), ranges), *names) == sorted(brute.exact(pairs), key=repr)
 
 
+@pytest.mark.parametrize("spread", [True, False])
+@pytest.mark.parametrize("ranges", [2, 7, 64])
+def test_exact_repeated_rows_across_ranges(docs, ranges, spread, monkeypatch):
+    """Repeated rows and rows without an id in one group over several ranges, also where their keys are equal."""
+    if not spread:
+        monkeypatch.setattr(exact_dedup.F, "rand", lambda seed=None: exact_dedup.F.lit(0.0))
+        splitters = [r["key"] for r in exact_dedup._prepared(docs([(i, "same text") for i in range(0, 40, 4)] + [(None, "same text")])).orderBy("key").collect()]
+        monkeypatch.setattr(exact_dedup, "_splitters", lambda *_: splitters[:ranges - 1] + splitters[-1:])
+    pairs = [(i // 10, "same text") for i in range(400)] + [(None, "same text")] * 200 + [(2000 + i, f"text {i // 2}") for i in range(40)]
+    out = exact_dedup.duplicates(docs(pairs), ranges).collect()
+    same = [r for r in out if r["doc_id"] is None or r["doc_id"] < 2000]
+    assert len(out) == len(pairs) and {(r["keep_id"], r["group_size"]) for r in same} == {(0, 600)} and sum(r["kept"] for r in same) == 1
+    assert sum(r["kept"] for r in out) == 21
+    if spread and ranges == 64:
+        keys = [r["key"] for r in exact_dedup._prepared(docs(pairs)).filter("doc_id IS NULL").collect()]
+        assert len(set(keys)) > 190
+
+
 def test_exact_odd_rows(docs, odd):
     out = exact_dedup.duplicates(docs(odd)).collect()
     assert len(out) == len(odd)
