@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fitting: a bounded sample of labelled rows, of which near copies count once, gives the
+Fitting: a bounded sample of labelled rows, each of which counts, gives the
 terms whose presence goes with the label (chi-square), their inverse document frequencies and
 the examples; rows with equal vectors are one example with counts.  The
 examples lie in an inverted index in blocks; each block keeps the largest weight
@@ -24,8 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -35,8 +34,6 @@ SAMPLE, TERMS, CHI, LEAST = 20_000, 2_048, 30.0, 4
 NEIGHBOURS = 24
 BLOCK = 64
 EVIDENCE = 3
-#: Minima of hashed word shingles; rows that share one are near copies (most do from half of their shingles on).
-MINIMA, SHINGLE = 8, 3
 #: Everything in ASCII but letters and digits parts words.
 PARTS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCORES = "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -159,35 +156,32 @@ def _words_of(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "word binary, n bigint, toxic bigint")
 
 
-def minima(text: str | None) -> list[int]:
-    """Least hashes of the text's word shingles under MINIMA multipliers."""
-    words = words_in(text)
-    if not words:
-        return []
-    n = min(SHINGLE, len(words))
-    line = [b" ".join(words[i:i + n]) for i in range(len(words) - n + 1)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, line), np.uint64, len(line))
-    turns = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(MINIMA)], np.uint64)
-    return np.array([(h * t).min() for t in turns]).view(np.int64).tolist()
-
-
-def _distinct(rows: DataFrame) -> list[int]:
-    """Ids of sampled rows, each of which shares no minimum with one before it."""
+def _left_out(
+    spark: SparkSession, index: Index, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list, held: list[int], toxic: list[int], k: int
+) -> list[tuple[float, int, int]]:
+    """(vote, toxic rows, rows) of every example and label, voted on by the others; a Spark job."""
+    back = {doc_id: i for i, doc_id in enumerate(ids)}
+    order = [back[doc_id] for doc_id in index.ids]
+    shared = spark.sparkContext.broadcast((index, order, vectors, held, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, order, vectors, held, toxic = shared.value
         for batch in batches:
-            found = [minima(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "least"])
+            out = []
+            for number in batch.column(0).to_pylist():
+                i = order[number]
+                near = index.nearest(*vectors[i], k)
+                for label, rows in ((1, toxic[i]), (0, held[i] - toxic[i])):
+                    if rows:
+                        out.append((index.vote(near, (number, label)), label * rows, rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
+                ["vote", "toxic", "held"],
+            )
 
-    table = rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, least array<bigint>")
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for r in table.orderBy("doc_id").collect():  # at most the sample, a few numbers each
-        marks = list(enumerate(r["least"]))
-        if not marks or seen.isdisjoint(marks):
-            kept.append(r["doc_id"])
-            seen.update(marks)
-    return kept
+    parts = max(1, min(len(vectors) // 64, 8 * spark.sparkContext.defaultParallelism))
+    votes = spark.range(0, len(vectors), 1, parts).mapInArrow(run, "vote double, toxic bigint, held bigint")
+    return [tuple(r) for r in votes.collect()]  # at most two for each example
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
@@ -197,8 +191,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     # At most ``sample`` ids: small enough for every task.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     rows = settle(rows)
-    alone = rows.sparkSession.createDataFrame([(i,) for i in _distinct(rows)], "doc_id bigint")
-    rows = rows.join(F.broadcast(alone), "doc_id")
     n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
         return Index({}, np.zeros(0))
@@ -232,15 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     vectors = [(np.array(t, np.int64), np.array(w)) for t, w in examples]
     ids, held, toxic = ([e[i] for e in examples.values()] for i in range(3))
     index.load(vectors, held, toxic, ids)
-    back = {doc_id: i for i, doc_id in enumerate(ids)}
-    votes = []
-    for number, doc_id in enumerate(index.ids):
-        i = back[doc_id]
-        near = index.nearest(*vectors[i], k)
-        for label, rows_of in ((1, toxic[i]), (0, held[i] - toxic[i])):
-            if rows_of:
-                votes.append((index.vote(near, (number, label)), label * rows_of, rows_of))
-    index.calibrate(votes)
+    index.calibrate(_left_out(rows.sparkSession, index, vectors, ids, held, toxic, k))
     return index
 
 

@@ -115,6 +115,16 @@ def test_nearest_is_exact():
         assert found.tolist() == best.tolist() and np.allclose(values, sims[best])
 
 
+def test_every_labelled_row_counts(spark, docs):
+    """Rows that share a passage with others, or their text with a row of the other label, stay examples."""
+    passage = " ".join(f"passage{i}" for i in range(40))
+    pairs = [(i, f"{passage} {' '.join(f'own{i}x{j}' for j in range(60))} {'slur' if i % 2 else 'calm'}") for i in range(100)]
+    pairs += [(1000 + i, f"{t} slur") for i, t in pairs[:20:2]]
+    labels = spark.createDataFrame([(i, int("slur" in t)) for i, t in pairs], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs(pairs), labels)
+    assert index.rows.sum() == len(pairs) and index.toxic.sum() == 60
+
+
 def test_toxicity_odd_rows(spark, docs, odd):
     labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (6, 1), (None, 1), (999, 1)], "doc_id bigint, toxic int")
     out = toxicity.report(docs(odd), labels).collect()
