@@ -2,13 +2,14 @@ r"""Main text of web pages by removal of site templates.
 
 Each page is parsed into a tree; every element's subtree (tags and texts) is
 hashed.  Spark counts, for each host, how many different pages hold a subtree;
-subtrees on many pages of their host are template and are deleted.  Elements that
+subtrees on many pages of their host are template and are deleted: a quarter (three at least)
+outside article and main, nine tenths (ten at least) inside.  Elements that
 say themselves what they are (menus, footers, forms, scripts, adverts, comments
 and so on, by tag, role, class or id) are deleted on any host.
 
 Text: character references decoded, white space inside a block made one space, ends
 trimmed, empty blocks left out, blocks joined in page order by one line feed.
-Where a page has ``article`` or ``main`` elements with text, the text is theirs.
+Where ``article`` and ``main`` elements hold more than half of what is left of a page, the text is theirs.
 
 Null or empty html: empty text.  Broken markup: unclosed elements end with their
 parent, stray end tags are ignored, an unclosed comment or script runs to the end.  A null
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, settle
 
-#: Share of a host's different pages, and their number, from which a subtree is template.  Texts that many articles
-#: share stand on far fewer pages of a host than its template does.
+#: Share of a host's different pages, and their number, from which a subtree is template: inside article and main, where
+#: many articles can share a text, and outside, where a host can have several layouts, languages or sections.
 SHARE, PAGES = 0.9, 10
+OUTSIDE_SHARE, OUTSIDE_PAGES = 0.25, 3
 #: Never template as a whole: copies of an article are articles.
 KEPT = frozenset("# html body article main".split())
 
@@ -67,6 +69,10 @@ DROP_NAMES = frozenset(
     "widget widgets toolbar pagination pager skip masthead topbar copyright disclaimer".split()
 )
 HEADERS = frozenset("header masthead topbar site-header page-header".split())
+#: First parts of names that tell of a layout: has-sidebar, no-sidebar, with-comments.
+LAYOUT = frozenset("has no not with without".split())
+#: Articles below these names are comments, never the page's own.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 MAIN = frozenset(("article", "main"))
 
 
@@ -74,32 +80,55 @@ MAIN = frozenset(("article", "main"))
 class Node:
     tag: str
     drop: bool = False
+    soft: bool = False  # dropped for its name alone
     children: list = field(default_factory=list)
     mark: int = 0
 
 
-def _drops(tag: str, attributes: str, inside_main: bool) -> bool:
+def _drops(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
+    """Is the element boilerplate, and only because of a name that a wrapper of the article could have?"""
     if tag in DROP_TAGS or (tag == "header" and not inside_main):
-        return True
+        return True, False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
     named = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()) or named.get("aria-hidden") == "true":
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", "")):
-        return True
+        return True, False
     if tag in MAIN or tag in ("html", "body"):
         # Comments are often nested articles; else these are never boilerplate as a whole.
-        return tag == "article" and bool({"comment", "comments", "reply"} & _name_parts(named))
+        return tag == "article" and bool({"comment", "comments", "reply"} & _name_parts(named)), False
     if named.get("role", "") in DROP_ROLES:
-        return True
+        return True, False
     parts = _name_parts(named)
-    return bool(parts & DROP_NAMES) or (not inside_main and bool(parts & HEADERS))
+    drop = bool(parts & DROP_NAMES) or (not inside_main and bool(parts & HEADERS))
+    return drop, drop and not parts & COMMENTS
 
 
 def _name_parts(named: dict[str, str]) -> set[str]:
     names = f"{named.get('class', '')} {named.get('id', '')}".split()
-    return {p for n in names for p in (n, *re.split(r"[-_:]+", n))}
+    split = [(n, *re.split(r"[-_:]+", n)) for n in names]
+    return {p for parts in split if len(parts) < 3 or parts[1] not in LAYOUT for p in parts}
+
+
+def _restore(top: Node) -> None:
+    """Wrappers of main, or of all articles that the page has, stay whatever their names."""
+    found, todo = [], [(top, ())]
+    while todo:
+        n, path = todo.pop()
+        if not isinstance(n, Node) or (n.drop and not n.soft):
+            continue
+        if n.drop:
+            path = (*path, n)
+        if n.tag in MAIN:
+            found.append((n, path))
+        todo += [(c, path) for c in n.children]
+    alone = all(path for _, path in found)
+    for n, path in found:
+        if alone or n.tag == "main":
+            for wrapper in path:
+                wrapper.drop = False
 
 
 def parse(page: str) -> Node:
@@ -132,7 +161,7 @@ def parse(page: str) -> Node:
                 break
             if stack[i].tag in FENCE:
                 break
-        node = Node(tag, _drops(tag, m[3] or "", mains > 0))
+        node = Node(tag, *_drops(tag, m[3] or "", mains > 0))
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -145,6 +174,7 @@ def parse(page: str) -> Node:
         if not (m[3] or "").endswith("/") or tag in BLOCK:
             stack.append(node)
             mains += tag in MAIN
+    _restore(top)
     return top
 
 
@@ -162,22 +192,23 @@ def mark(node: Node) -> int:
                 h.update(c.mark.to_bytes(8, "little", signed=True))
             elif c.strip():
                 h.update(b"\x00" + " ".join(c.split()).encode("utf-8", "replace") + b"\x01")
-        n.mark = h.intdigest() - (1 << 63)
+        n.mark = (h.intdigest() - (1 << 63)) & ~1  # the last bit is for the place: 1 inside article and main
     return node.mark
 
 
 def _walk(node: Node, template: frozenset) -> Iterator[tuple[str, Node | str | None]]:
     """Kept texts and block borders in page order."""
-    todo: list = [node]
+    todo: list = [(node, False)]
     while todo:
-        n = todo.pop()
+        n, inside = todo.pop()
         if isinstance(n, str):
             yield "text", n
             continue
         if n is None:
             yield "border", None
             continue
-        if n.drop or (n.mark in template and n.tag not in KEPT):
+        inside = inside or n.tag in MAIN
+        if n.drop or (n.mark | inside in template and n.tag not in KEPT):
             continue
         if n.tag in ("br", "wbr", "img"):
             if n.tag == "br":
@@ -185,8 +216,8 @@ def _walk(node: Node, template: frozenset) -> Iterator[tuple[str, Node | str | N
             continue
         if n.tag in BLOCK:
             yield "border", None
-            todo.append(None)
-        todo += reversed(n.children)
+            todo.append((None, inside))
+        todo += [(c, inside) for c in reversed(n.children)]
 
 
 def _blocks(node: Node, template: frozenset) -> list[str]:
@@ -204,7 +235,7 @@ def _blocks(node: Node, template: frozenset) -> list[str]:
 
 
 def _mains(node: Node) -> list[Node]:
-    """Outermost article and main elements that are not dropped; articles inside main are its own."""
+    """Outermost article and main elements that are not dropped."""
     found, todo = [], [node]
     while todo:
         n = todo.pop()
@@ -214,23 +245,6 @@ def _mains(node: Node) -> list[Node]:
             found.append(n)
         else:
             todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-    inner = []
-    for n in found:
-        articles = _articles(n) if n.tag == "main" else []
-        inner += articles or [n]
-    return inner
-
-
-def _articles(node: Node) -> list[Node]:
-    found, todo = [], list(reversed(node.children))
-    while todo:
-        n = todo.pop()
-        if not isinstance(n, Node) or n.drop:
-            continue
-        if n.tag == "article":
-            found.append(n)
-        else:
-            todo += reversed(n.children)
     return found
 
 
@@ -241,23 +255,26 @@ def main_text(page: str | None, template: frozenset = frozenset()) -> str:
     if template:
         mark(top)
     blocks = [b for n in _mains(top) for b in _blocks(n, template)]
-    return "\n".join(blocks or _blocks(top, template))
+    every = _blocks(top, template)
+    # A teaser beside a body that lies in no article is not the page's text.
+    return "\n".join(blocks if 2 * sum(map(len, blocks)) > sum(map(len, every)) else every)
 
 
 def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
-    """Hash of the page and of the different block subtrees that say nothing of themselves."""
+    """Hash of the page and of the different block subtrees that say nothing of themselves, with their place in the last bit."""
     if not page:
         return 0, []
     top = parse(page)
     mark(top)
-    found, todo = set(), [top]
+    found, todo = set(), [(top, False)]
     while todo:
-        n = todo.pop()
+        n, inside = todo.pop()
         if not isinstance(n, Node) or n.drop:
             continue
+        inside = inside or n.tag in MAIN
         if n.tag in BLOCK and n.tag not in KEPT:
-            found.add(n.mark)
-        todo += n.children
+            found.add(n.mark | inside)
+        todo += [(c, inside) for c in n.children]
     return top.mark, sorted(found)
 
 
@@ -280,8 +297,10 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
     held = settle(in_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), ["host", "html"], "host string, page bigint, marks array<bigint>", run))
     different = held.groupBy("host", "page").agg(F.first("marks").alias("marks"))
     total = held.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    counted = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return counted.join(total, "host").filter(F.col("n") >= share * F.col("total")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    counted = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n"))
+    inside = F.col("mark").bitwiseAND(F.lit(1)) == 1
+    counted = counted.filter(F.col("n") >= F.when(inside, least).otherwise(min(least, OUTSIDE_PAGES)))
+    return counted.join(total, "host").filter(F.col("n") >= F.when(inside, share).otherwise(min(share, OUTSIDE_SHARE)) * F.col("total")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:

@@ -159,6 +159,28 @@ def test_main_text(body, text):
     assert html_main.main_text(page(body)) == text
 
 
+@pytest.mark.parametrize("body,text", [
+    ("<main><h1>T</h1><p>lead</p><article><p>a</p></article><p>body</p></main>", "T\nlead\na\nbody"),
+    ("<div><p>the body of the page lies in a div</p></div><article><p>teaser</p></article>", "the body of the page lies in a div\nteaser"),
+    ("<div class='content has-sidebar'><p>text</p></div><div class='sidebar'>s</div>", "text"),
+    ("<div class='no-sidebar with-comments'><p>text</p></div>", "text"),
+    ("<div class='sidebar-left'><div class='widget-page'><article><p>text</p></article></div></div>", "text"),
+    ("<div class='page-header'><main><p>text</p></main></div>", "text"),
+    ("<p>text</p><div class='comments'><article>c</article></div>", "text"),
+])
+def test_article_text_stays(body, text):
+    assert html_main.main_text(page(body)) == text
+
+
+def test_templates_of_layouts_and_small_hosts(spark):
+    """Unmarked boilerplate goes on hosts with two layouts and on small hosts; shared passages of articles stay."""
+    rows = [(i, "http://two.example/", page(f"<div><p>layout {i % 2}</p></div><div><p>own {i}</p></div>")) for i in range(20)]
+    rows += [(100 + i, "http://small.example/", page(f"<div><p>banner</p></div><article><p>shared passage</p><p>own {i}</p></article>")) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_main.extract(df).collect()}
+    assert out == {i: f"own {i}" for i in range(20)} | {100 + i: f"shared passage\nown {i}" for i in range(4)}
+
+
 def test_templates(spark):
     """A block that most pages of a host share goes there and stays elsewhere; copies of one page are one page."""
     rows = [(i, f"http://A.example/{i}", page(f"<div><p>unmarked banner</p></div><div><p>own {i}</p></div>")) for i in range(20)]
