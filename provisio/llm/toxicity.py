@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Labelled rows that a fit reads, terms it keeps, and the chi-square a term needs.
+#: Labelled rows that a fit reads, terms it keeps, and the chi-square (of few rows half their number) and rows a term needs.
 SAMPLE, TERMS, CHI, LEAST = 20_000, 2_048, 30.0, 4
 NEIGHBOURS = 24
 BLOCK = 64
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     a, b = F.col("a"), F.col("n") - F.col("a")
     c, d = float(bad) - a, float(n - bad) - b
     chi = float(n) * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    kept = words.withColumn("chi", chi).filter((F.col("chi") >= CHI) & (F.col("n") >= LEAST)).orderBy(F.desc("chi"), "word").limit(terms).collect()
+    kept = words.withColumn("chi", chi).filter((F.col("chi") >= min(CHI, n / 2)) & (F.col("n") >= LEAST)).orderBy(F.desc("chi"), "word").limit(terms).collect()
     index = Index({bytes(r["word"]): i for i, r in enumerate(kept)}, np.array([math.log((n + 1) / (r["n"] + 1)) + 1 for r in kept]))
     empty: Counter = Counter()
 

@@ -125,6 +125,13 @@ def test_every_labelled_row_counts(spark, docs):
     assert index.rows.sum() == len(pairs) and index.toxic.sum() == 60
 
 
+def test_few_labelled_rows_have_terms(spark, docs):
+    """Chi-square is at most the number of rows; fewer than 30 rows have terms, too."""
+    pairs = [(i, f"own{i} {'slur' if i % 2 else 'calm'}") for i in range(16)]
+    index = toxicity.fit(docs(pairs), spark.createDataFrame([(i, i % 2) for i, _ in pairs], "doc_id bigint, toxic int"))
+    assert set(index.terms) == {b"slur", b"calm"}
+
+
 def test_toxicity_odd_rows(spark, docs, odd):
     labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (6, 1), (None, 1), (999, 1)], "doc_id bigint, toxic int")
     out = toxicity.report(docs(odd), labels).collect()
