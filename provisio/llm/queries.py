@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_main, packing, pseudonyms, sharding, simhash, substring_dedup, toxicity, url_rules
+from . import (
+    conversations, decontaminate, exact_dedup, html_main, packing, pseudonyms, quality_rules, sharding, simhash, substring_dedup, toxicity, url_rules,
+)
 from .common import read, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +120,41 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = pseudonyms.pseudonyms(read(spark, folder, "documents").select("doc_id", "text"), KEY)
     kinds = F.map_values("found")
     return found.select("doc_id", F.aggregate(kinds, F.lit(0).cast("bigint"), lambda s, n: s + n).alias("n_values"), "found", "text")
+
+
+def _stop_words(lang: str) -> str:
+    forms = sorted({f for w in quality_rules.STOP_WORDS[lang] for f in (w, w.capitalize())})
+    return "[" + ", ".join(f"'{w}'" for w in forms) + "]"
+
+
+@query("op11_quality_rules", sql=f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), win AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), again AS (
+  SELECT r, count(DISTINCT j) AS n FROM (
+    SELECT r, unnest(range(i, i + 5)) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1) GROUP BY r
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+         CASE lang {' '.join(f"WHEN '{x}' THEN len(list_filter(w, lambda x: list_contains({_stop_words(x)}, x)))" for x in quality_rules.STOP_WORDS)} END::BIGINT AS n_stop_words
+  FROM d LEFT JOIN again USING (r)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         concat_ws(',', CASE WHEN n_words < 10 THEN 'few_words' END, CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 'repeated_windows' END,
+           CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 'word_length' END, CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END,
+           CASE WHEN n_words >= 50 AND n_stop_words * 100 < 2 * n_words THEN 'stop_words' END, CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 'repeated_lines' END) AS failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = '' AS kept, n_lines, n_stop_words, failed FROM f
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.report(read(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.report(conversations.damaged(read(spark, folder, "conversations")))

@@ -105,3 +105,108 @@ def pieces(tokenizer, docs, tokens=2048):
             own = ids[start:start + tokens]
             out.append((doc_id, piece, start, len(own), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own))))
     return sorted(out, key=repr)
+
+
+def quality(docs):
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each text."""
+    out = []
+    for doc_id, text in docs:
+        text = text or ""
+        w = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        starts = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        again = {j for i in range(len(w) - 4) if starts[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
+        symbols = sum(c in "#*$%&|<>" for c in text)
+        out.append((doc_id, len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)))
+    return sorted(out, key=repr)
+
+
+def damage(rows):
+    """Conversations {conv_id: rows after damage} of (conv_id, turn, role, text) rows."""
+    out: dict = {}
+    for conv, turn, role, text in rows:
+        held = out.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        if kind:
+            held += [(turn, role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def repaired(rows):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit, sha of one conversation's rows, by whole strings."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    seen, faults, n = set(), [], [0, 0, 0]
+    for _, role, text in rows:
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        fault = 1 if not bare else 2 if (role, text) in seen else 3 if bare[-1] not in ".!?" else 0
+        seen.add((role, text))
+        faults.append(fault)
+        if fault:
+            n[fault - 1] += 1
+    # What may follow what, by the letters of the result so far: empty, s, ...u, ...a.
+    follows = {"": "su", "s": "u", "u": "a", "a": "u"}
+    best = {"": (0, "", ())}
+
+    def better(table, key, value):
+        if key not in table or value[:2] < table[key][:2]:
+            table[key] = value
+
+    def inserted(table):
+        out = dict(table)
+        for _ in range(3):
+            for key, (cost, audit, lines) in list(out.items()):
+                for c in follows[key].replace("s", ""):
+                    better(out, c, (cost + 5, audit + "I", (*lines, ("user" if c == "u" else "assistant") + ":")))
+        return out
+
+    for (_, role, text), fault in zip(rows, faults):
+        after: dict = {}
+        for key, (cost, audit, lines) in inserted(best).items():
+            better(after, key, (cost + 2, audit + "D", lines))
+            if fault not in (1, 2):
+                late = 5 if fault == 3 else 0
+                if role[:1] and role[:1] in follows[key]:
+                    better(after, role[0], (cost + late, audit + "K", (*lines, f"{role}:{text}")))
+                for name in ("user", "assistant"):
+                    if name[0] in follows[key]:
+                        better(after, name[0], (cost + 1 + late, audit + "R", (*lines, f"{name}:{text}")))
+        best = after
+    ends = inserted(best)
+    cost, audit, lines = min(ends[k] for k in ("", "a") if k in ends)
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    roles = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:]))
+    return gaps, *n, illegal, cost, audit, sha("\n".join(lines))
+
+
+def all_edits(rows, faults):
+    """Cheapest (cost, audit) by trying every string of edits of a few rows."""
+    import itertools
+
+    best = None
+    for inserts in itertools.product(range(3), repeat=len(rows) + 1):
+        for edits in itertools.product("DKua", repeat=len(rows)):
+            cost, audit, roles = 0, "", [""]
+            for i in range(len(rows) + 1):
+                for _ in range(inserts[i]):
+                    cost, audit, roles = cost + 5, audit + "I", [x + c for x in roles for c in "ua"]
+                if i < len(rows):
+                    e, fault = edits[i], faults[i]
+                    if e != "D" and fault in (1, 2):
+                        break
+                    audit += e if e in "DK" else "R"
+                    cost += {"D": 2, "K": 0}.get(e, 1) + (5 if fault == 3 and e != "D" else 0)
+                    if e != "D":
+                        roles = [x + (rows[i][1][:1] or "?" if e == "K" else e) for x in roles]
+            else:
+                if any(re.fullmatch("(s?(ua)+)?", x) for x in roles) and (best is None or (cost, audit) < best):
+                    best = cost, audit
+    return best
