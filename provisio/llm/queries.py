@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    conversations, decontaminate, exact_dedup, html_main, packing, pseudonyms, quality_rules, sharding, simhash, substring_dedup, toxicity, url_rules,
+    conversations, decontaminate, exact_dedup, html_main, packing, phrases, pseudonyms, quality_rules, sharding, simhash, substring_dedup, toxicity, url_rules,
 )
 from .common import read, vocabulary
 
@@ -158,3 +158,32 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.report(conversations.damaged(read(spark, folder, "conversations")))
+
+
+@query("op13_phrase_mining", sql="""
+WITH p AS (
+  SELECT row_number() OVER () AS r, lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents)
+), words AS (SELECT lang, r, unnest(w) AS word FROM p),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS place FROM c),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, x.place, y.f AS l, z.f AS r, (2000000::HUGEINT * x.a) // (y.f + z.f) AS score
+  FROM cuts x JOIN f y ON y.lang = x.lang AND y.phrase = array_to_string(x.w[1:place], ' ') JOIN f z ON z.lang = x.lang AND z.phrase = array_to_string(x.w[place + 1:x.k], ' ')
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1),
+inside AS (
+  SELECT lang, a, array_to_string(w[i:i + j - 1], ' ') AS phrase
+  FROM (SELECT lang, w, a, k, j, unnest(range(1, k - j + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k)
+), kept AS (
+  SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM inside y WHERE y.lang = x.lang AND y.phrase = x.phrase AND 100::HUGEINT * y.a >= 80::HUGEINT * x.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(read(spark, folder, "documents"))

@@ -210,3 +210,26 @@ def all_edits(rows, faults):
                 if any(re.fullmatch("(s?(ua)+)?", x) for x in roles) and (best is None or (cost, audit) < best):
                     best = cost, audit
     return best
+
+
+def phrases(docs, least=30, first=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(UPPER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                f.update((lang, *w[i:i + k]) for i in range(len(w) - k + 1))
+    often = {p: a for p, a in f.items() if a >= least and len(p) > 2}
+    out: dict = {}
+    for (lang, *w), a in often.items():
+        around = [b for (other, *x), b in often.items() if other == lang and len(x) > len(w) and any(x[i:i + len(w)] == w for i in range(len(x)))]
+        if all(100 * b < 80 * a for b in around):
+            cuts = [(2000000 * a // (l + r), k, l, r) for k in range(1, len(w)) for l, r in [(f[lang, *w[:k]], f[lang, *w[k:]])]]
+            score, _, l, r = min(cuts)
+            out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), l, r))
+    return sorted(
+        (lang, i + 1, p.decode(), -a, l, r, n[lang], -score) for lang, rows in out.items() for i, (score, a, p, l, r) in enumerate(sorted(rows)[:first])
+    )

@@ -6,10 +6,11 @@ import random
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from provisio.llm import conversations, quality_rules
+from provisio.llm import conversations, phrases, quality_rules
 from provisio.llm.queries import ORACLES, QUERIES
 from tools.check import compare
 
@@ -160,3 +161,91 @@ def test_repaired_turns(spark):
         assert r["place"] == len(lines[r["conv_id"]])
         lines[r["conv_id"]].append(f"{r['role']}:{r['text']}")
     assert {c: brute.sha("\n".join(x)) for c, x in lines.items()} == sums
+
+
+PHRASE = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def test_phrase_query(spark):
+    name = "op13_phrase_mining"
+    text, ok = compare(spark, con_over(FOLDER), QUERIES[name], ORACLES[name], FOLDER)
+    assert ok, text
+
+
+def babble(n, seed):
+    """Few words in many orders, in texts of all kinds."""
+    rng = random.Random(seed)
+    words = ["a", "B", "dé", "x\x1cy", "New", "york"]
+    return [
+        (rng.choice(["en", "de", None, "und"]), rng.choice([None, "", " . "]) if rng.random() < 0.05 else
+         "".join(rng.choice(words) + rng.choice([*[" "] * 12, "  ", "\t", ". ", ",", "\n", " ! ", "\r\n"]) for _ in range(rng.randrange(80))))
+        for _ in range(n)
+    ]
+
+
+@pytest.fixture(scope="module")
+def talk(spark):
+    pairs = babble(250, 11) + [("en", " ".join(["new york"] * 400))]
+    wide = "lang string, text string, n int, phrase string, word string"
+    return pairs, spark.createDataFrame([(*p, None, None, None) for p in pairs], wide).repartition(4).cache()
+
+
+@pytest.mark.parametrize("bounds", [{}, {"words": 3}, {"held": 64}, {"words": 4, "held": 40}, {"first": 5}])
+def test_phrases_within_bounds(talk, bounds, monkeypatch):
+    """The same rows whether words have numbers, containers burst, tasks spill or texts are cut, or not."""
+    monkeypatch.setattr(phrases, "PART_WORDS", 500)
+    pairs, table = talk
+    want = brute.phrases(pairs, first=bounds.get("first", 2000))
+    assert len(want) >= 15
+    assert got(phrases.collocations(table, **bounds), PHRASE) == sorted(want, key=repr)
+
+
+def test_phrases_empty(spark):
+    assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+    assert phrases.collocations(spark.createDataFrame([("en", None), (None, "")], "lang string, text string")).count() == 0
+
+
+def test_chunks_cut_no_word():
+    rng = random.Random(2)
+    for _ in range(300):
+        texts = ["".join(rng.choice(["ab", " ", "c", ".", "\n", "longer"]) for _ in range(rng.randrange(40))).encode() for _ in range(4)]
+        for size in (1, 5, 16, 1000):
+            words = [w for c, _ in phrases.chunks(texts, size) for w in phrases.tokens(c) if w != b"."]
+            whole = [w for t in texts for w in phrases.tokens(t) if w != b"."]
+            assert sorted(words) == sorted(whole)
+
+
+def test_phrases_of_cut_texts(monkeypatch):
+    """A text in many chunks counts like the whole text."""
+    words = [f"w{i}".encode() for i in range(6)]
+    rng = random.Random(5)
+    text = b" ".join(rng.choice([*words, b"w1.", b"w2\nw3", b"rare"]) for _ in range(900))
+    counted = []
+    for size in (7, 50, 1 << 20):
+        task = phrases.Task(words[:4], np.array([0]), np.ones(phrases.OTHERS, bool), 1 << 20)
+        for chunk, goes_on in phrases.chunks([text], size):
+            task.count("en", chunk, goes_on)
+        (run,) = [phrases.summed(list(t.root.runs())) for t in task.tries.values()]
+        counted.append(([c.tolist() for c in run], sorted(task.texts.items())))
+    assert counted[0] == counted[1] == counted[2]
+
+
+def test_trie_bursts_and_spills(monkeypatch):
+    monkeypatch.setattr(phrases, "BURST", 50)
+    rng = np.random.default_rng(1)
+    trie, want = phrases.Trie(), {}
+    runs = []
+    for step in range(30):
+        first = np.where(rng.random(400) < 0.4, 7, rng.integers(1, 60, 400))
+        hi, lo = first << phrases.BITS | rng.integers(1, 9, 400), rng.integers(0, 40, 400) << phrases.BITS
+        trie.add(hi, lo)
+        for key in zip(hi.tolist(), lo.tolist()):
+            want[key] = want.get(key, 0) + 1
+        if step % 7 == 6:
+            assert isinstance(trie.root, phrases.Node)
+            runs += trie.spill(300)
+            assert trie.size <= 300
+    runs += trie.spill(0)
+    assert all((np.diff(hi) >= 0).all() for hi, _, _ in runs)
+    hi, lo, n = phrases.summed([phrases.unpack(phrases.pack(*r)) for r in runs])
+    assert dict(zip(zip(hi.tolist(), lo.tolist()), n.tolist())) == want
