@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from provisio.session import shared_folder
 
@@ -34,6 +35,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a settled table with a number for every row, and the name of that column, which ``df`` has not."""
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    return settle(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes of the text that lead the order key; texts alike so far are ordered by their digest.
@@ -41,9 +41,9 @@ def _key(norm: Column, digest: Column, length: Column, doc_id: Column) -> Column
     return F.concat(lead, digest, long_first, least_first, F.lpad(F.hex((F.rand(11) * (1 << 32)).cast("bigint")), 8, "0"))
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.char_length("text").alias("length"), normal(F.col("text")).alias("norm"))
+def _prepared(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    rows = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", *carry, F.char_length("text").alias("length"), normal(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", F.sha2("norm", 256))
     return rows.withColumn("key", _key(F.col("norm"), F.col("digest"), F.col("length"), F.col("doc_id")))
 
@@ -74,18 +74,18 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     )
 
 
-def duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs`` (doc_id, text)."""
+def duplicates(docs: DataFrame, ranges: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) and the columns ``carry`` of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     if ranges is None:
         ranges = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = _splitters(docs, ranges)
-    rows = _prepared(docs).withColumn("range", _range_of(F.col("key"), splitters))
+    rows = _prepared(docs, carry).withColumn("range", _range_of(F.col("key"), splitters))
     order = Window.partitionBy("range").orderBy("key")
     edge = F.lag("key").over(order).isNull() | F.lead("key").over(order).isNull()
     # One full comparison with the text before; only the first and last text of a range are carried on.
     pairs = settle(rows.select(
-        "range", "key", "doc_id", "digest",
+        "range", "key", "doc_id", "digest", *carry,
         F.coalesce(F.col("norm") == F.lag("norm").over(order), F.lit(False)).alias("same"),
         F.when(edge, F.col("norm")).alias("edge_text"),
     ))
@@ -93,7 +93,7 @@ def duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     runs = pairs.withColumn("run", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(upto)).drop("same")
     own = Window.partitionBy("range", "run")
     runs = runs.select(
-        "range", "run", "key", "doc_id", "digest",
+        "range", "run", "key", "doc_id", "digest", *carry,
         F.min("key").over(own).alias("first_key"), F.min_by("doc_id", "key").over(own).alias("first_id"),
         F.count(F.lit(1)).over(own).alias("here"),
         F.row_number().over(own.orderBy("key")).alias("place"),
@@ -132,16 +132,12 @@ def duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.when(F.col("total").isNull(), F.col("first_id")).otherwise(F.col("head")).alias("keep_id"),
         F.coalesce("total", "here").alias("group_size"),
         ((F.col("place") == 1) & ~F.coalesce("later", F.lit(False))).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.col("digest").alias("text_sha256"), *carry,
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps.
-
-    Ids that repeat are told apart by their texts' digests: of equal rows one stays.
-    """
-    kept = duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    rows = docs.withColumn("__digest", F.sha2(normal(F.col("text")), 256))
-    held = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"]), "left_semi")
-    return held.select(*docs.columns)
+    """``docs`` without the rows whose text another row keeps; of wholly equal rows one stays."""
+    rows, number = numbered(docs)
+    gone = duplicates(rows, carry=(number,)).filter("NOT kept").select(number)
+    return rows.join(gone, number, "left_anti").select(*docs.columns)

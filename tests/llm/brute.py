@@ -233,3 +233,28 @@ def phrases(docs, least=30, first=2000):
     return sorted(
         (lang, i + 1, p.decode(), -a, l, r, n[lang], -score) for lang, rows in out.items() for i, (score, a, p, l, r) in enumerate(sorted(rows)[:first])
     )
+
+
+def near(pairs):
+    """Rows that stay, by comparison of all pairs."""
+    sets = []
+    for _, text in pairs:
+        w = WORD.findall((text or "").translate(UPPER))
+        sets.append({" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(pairs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, (d, _) in enumerate(pairs):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), (d, i)), (d, i))
+    return sorted(-1 if d is None else d for i, (d, _) in enumerate(pairs) if d is None or least[find(i)] == (d, i))

@@ -78,31 +78,6 @@ def test_drop_near_duplicates(docs):
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def brute_near(pairs):
-    """Rows that stay, by comparison of all pairs."""
-    sets = []
-    for _, text in pairs:
-        w = brute.WORD.findall((text or "").translate(brute.UPPER))
-        sets.append({" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(pairs)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(pairs)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
-                root[find(i)] = find(j)
-    least: dict = {}
-    for i, (d, _) in enumerate(pairs):
-        if d is not None:
-            least[find(i)] = min(least.get(find(i), (d, i)), (d, i))
-    return sorted(-1 if d is None else d for i, (d, _) in enumerate(pairs) if d is None or least[find(i)] == (d, i))
-
-
 def test_near_copies_by_brute_force(docs, odd):
     """Copies with few and many changes (most further apart than 3 bits), chains of them, and odd rows."""
     rng = np.random.default_rng(11)
@@ -117,7 +92,7 @@ def test_near_copies_by_brute_force(docs, odd):
             number += 1
     pairs += odd
     kept = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in near_copies.drop_near_copies(docs(pairs)).collect())
-    assert kept == brute_near(pairs)
+    assert kept == brute.near(pairs)
     assert len(kept) < sum(1 for _ in simhash.drop_near_duplicates(docs(pairs)).collect())
     assert near_copies.drop_near_copies(docs([])).count() == 0
 
@@ -127,7 +102,28 @@ def test_near_dedup_stage(spark, rows):
     import corpus_pipeline
 
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
-    assert sorted(r["doc_id"] for r in kept.collect()) == brute_near(rows())
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute.near(rows())
+
+
+def test_near_copies_without_stars(docs, odd, monkeypatch):
+    """The join alone finds every link, and one round of stars leaves the rest to it."""
+    rng = np.random.default_rng(12)
+    words = [rng.choice([f"w{i}" for i in range(300)], 60).tolist() for _ in range(6)]
+    pairs = [(i, " ".join(f"n{rng.integers(1 << 30)}" if rng.random() < 0.03 else w for w in words[i % 6])) for i in range(120)] + odd
+    want = brute.near(pairs)
+    for rounds in (0, 1):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in near_copies.drop_near_copies(docs(pairs)).collect()) == want
+
+
+def test_drop_duplicates_of_repeated_rows(docs):
+    """Of wholly equal rows, of rows of one id and of rows without an id one stays: the longest, then the least id."""
+    pairs = [(12, "a b"), (12, "a b"), (13, "a  b"), (12, "a   b"), (12, "a   b"), (None, "c"), (None, "c"), (7, "d"), (7, "d"), (8, None), (8, None), (9, "")]
+    out = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_duplicates(docs(pairs)).collect()), key=repr)
+    assert out == sorted([(12, "a   b"), (None, "c"), (7, "d"), (8, None)], key=repr)
+    clash = docs(pairs, extra="__row bigint, range int, run int, key string, kept boolean")
+    left = exact_dedup.drop_duplicates(clash)
+    assert left.columns == clash.columns and left.count() == 4 and left.filter("__row IS NOT NULL").count() == 0
 
 
 def test_components_of_a_chain(spark):
