@@ -31,11 +31,11 @@ def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def run(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process all available data and stop."""
+def run(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Process all available data and stop; a later run with the same ``checkpoint`` goes on from there."""
     q = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", new_folder(stream.sparkSession, f"{name}-checkpoint")).trigger(availableNow=True).start())
+        .option("checkpointLocation", checkpoint or new_folder(stream.sparkSession, f"{name}-checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
