@@ -237,8 +237,12 @@ def cover_rank(words: Column, query: Column) -> Column:
     hits = F.filter(
         F.transform(words, lambda w, i: F.struct(F.array_position(query, w).cast("int").alias("k"), i.alias("at"))),
         lambda h: h["k"] > 0)
-    start = F.struct(
-        F.transform(query, lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("seen"), F.lit(0.0).alias("rank"))
+    return cover_of(hits, F.transform(query, lambda _: F.lit(-1)))
+
+
+def cover_of(hits: Column, never: Column) -> Column:
+    """As :func:`cover_rank`, from the places ``at`` of the query's tokens ``k`` (from 1) in order; ``never``: -1 for each token."""
+    start = F.struct(never.alias("last"), F.lit(-1).alias("seen"), F.lit(0.0).alias("rank"))
 
     def step(acc, h):
         last = F.transform(acc["last"], lambda p, i: F.when(i + 1 == h["k"], h["at"]).otherwise(p))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provisio.operators import search
+from provisio.functions.text import tokens
+from provisio.operators import indexes, search
 from provisio.plans.registry import query
+from provisio.streaming.jobs import new_folder
 
 MIN_SCORE = 0.35
 
@@ -58,6 +60,25 @@ def _(t):
     return search.knn_ann(t.queries(), pool, 12, search.train_cells(pool))
 
 
+def vector_index(t, pool):
+    folder = new_folder(t.spark, "vector-index")
+    indexes.write_vector_index(pool, folder)
+    return folder
+
+
+@query("knn_index")
+def _(t):
+    """From the stored index, two fifths of its cells probed; tests measure the recall."""
+    folder = vector_index(t, search.searchable(t.chunks()))
+    cells = t.spark.read.parquet(f"{folder}/centers").count()
+    return indexes.knn_index(t.queries(), folder, 12, -(-2 * cells // 5))
+
+
+@query("knn_index_whole", "SELECT query_id, path, score, rank0 FROM vec", views="chunks q", ctes=f"{POOL}, {VEC.format(n=12)}")
+def _(t):
+    return indexes.knn_index(t.queries(), vector_index(t, search.searchable(t.chunks())), 12, indexes.MOST_CELLS, group_rows=2000, block=64)
+
+
 @query("knn_contract", """SELECT doc_id AS query_id, path, score, rank0 FROM (SELECT q.doc_id, c.path, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
    row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.path) - 1 AS rank0
   FROM chunks q JOIN chunks c ON c.doc_id = q.doc_id WHERE q.chunk_type = 'preamble') WHERE rank0 < 5""")
@@ -78,12 +99,20 @@ SHORT = """q AS (SELECT vec_id AS query_id, w1 || ' ' || w2 AS text FROM (SELECT
 
 @query("fts_short_queries", "SELECT query_id, path, score, rank0 FROM fts", views="chunks", ctes=f"{SHORT}, {POOL}, {HITS}, {FTS.format(n=12)}")
 def _(t):
-    from provisio.functions.text import tokens
+    return search.fts(short_queries(t), search.searchable(t.chunks()), 12)
+
+
+@query("fts_index", "SELECT query_id, path, score, rank0 FROM fts", views="chunks", ctes=f"{SHORT}, {POOL}, {HITS}, {FTS.format(n=12)}")
+def _(t):
+    folder = new_folder(t.spark, "text-index")
+    indexes.write_text_index(search.searchable(t.chunks()), folder)
+    return indexes.fts_index(short_queries(t), folder, 12)
+
 
+def short_queries(t):
     low = t.raw("labels").filter("quality = 0").select("doc_id")
     w = t.raw("documents").join(low, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("query_id"), tokens(F.col("text")).alias("w"))
-    q = w.filter("size(w) > 1").select("query_id", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("text"))
-    return search.fts(q, search.searchable(t.chunks()), 12)
+    return w.filter("size(w) > 1").select("query_id", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("text"))
 
 
 @query("rrf_fuse", """SELECT query_id, path, round(sum(1.0::DOUBLE / (61 + rank0)), 6) AS rrf_score FROM (SELECT query_id, path, rank0 FROM vec UNION ALL SELECT query_id, path, rank0 FROM fts) GROUP BY 1, 2""",
