@@ -129,20 +129,20 @@ def _(t):
     return effect.refresh_document_status(t.documents(), t.doc_edges(), AS_OF)
 
 
-EXPIRED = f"""gone AS (SELECT path FROM nodes WHERE status_flag <> 2 AND eff_to <= {DAY})"""
+EXPIRED = f"""gone AS (SELECT DISTINCT path AS ended FROM nodes WHERE status_flag <> 2 AND eff_to <= {DAY})"""
 
 
-@query("cascade_hierarchy_status", """SELECT n.path, CASE WHEN n.parent_path IN (SELECT path FROM gone) THEN 2 ELSE status_flag END AS status_flag
-  FROM nodes n""", ctes=EXPIRED, views="nodes")
+@query("cascade_hierarchy_status", """SELECT n.path, CASE WHEN gone.ended IS NOT NULL THEN 2 ELSE status_flag END AS status_flag
+  FROM nodes n LEFT JOIN gone ON gone.ended = n.parent_path""", ctes=EXPIRED, views="nodes")
 def _(t):
     n = t.nodes()
     gone = n.filter((F.col("status_flag") != 2) & (F.col("eff_to") <= S.as_date(AS_OF)))
     return effect.cascade_hierarchy_status(n, gone).select("path", "status_flag")
 
 
-@query("refresh_hierarchy_status", f"""SELECT n.path, CASE WHEN status_flag = 2 OR eff_to <= {DAY} OR parent_path IN (SELECT path FROM gone) THEN 2
+@query("refresh_hierarchy_status", f"""SELECT n.path, CASE WHEN status_flag = 2 OR eff_to <= {DAY} OR gone.ended IS NOT NULL THEN 2
   WHEN eff_from > {DAY} THEN 3 WHEN status_flag NOT IN (4, 5) AND eff_from <= {DAY} THEN 1 ELSE status_flag END AS status_flag
-  FROM nodes n""", ctes=EXPIRED, views="nodes")
+  FROM nodes n LEFT JOIN gone ON gone.ended = n.parent_path""", ctes=EXPIRED, views="nodes")
 def _(t):
     return effect.refresh_hierarchy_status(t.nodes(), AS_OF).select("path", "status_flag")
 

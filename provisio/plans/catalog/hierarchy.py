@@ -129,8 +129,8 @@ def _(t):
     return tree.flatten_tree(toc).select("doc_id", "node_no", "level", "title", "node_id", "path", "parent_path")
 
 
-@query("cut_leaves", """SELECT path, level FROM nodes n WHERE level = 'Clause'
-  OR (level = 'Article' AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.parent_path = n.path))""")
+@query("cut_leaves", """SELECT path, level FROM nodes n LEFT JOIN (SELECT DISTINCT parent_path AS above FROM nodes) c ON above = path
+  WHERE level = 'Clause' OR (level = 'Article' AND above IS NULL)""")
 def _(t):
     return tree.cut_leaves(t.nodes()).select("path", "level")
 

@@ -25,10 +25,16 @@ def _shown(field: T.StructField) -> Column:
     return c
 
 
-def sample_export(table: DataFrame, n: int, stratum: Column | None = None, seed: int = 42) -> DataFrame:
-    """``n`` random rows per stratum, masked for display."""
-    drawn = table.withColumn("__s", F.lit(1) if stratum is None else stratum).withColumn("__r", F.rand(seed))
-    kept = top_k(drawn, ["__s"], ["__r"], n).drop("__s", "__r", "rn")
+def sample_export(table: DataFrame, n: int, stratum: Column | None = None, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """``n`` rows per stratum, masked for display.
+
+    With ``key`` columns the sample is the ``n`` rows of least priority, the MD5 of seed and key: the same rows whatever
+    the partitions, and the samples of two parts hold the sample of both.  Without a key rows are drawn at random.
+    """
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or []]
+    priority = F.md5(F.concat_ws(":", F.lit(str(seed)), *text)) if key else F.rand(seed)
+    drawn = table.withColumn("__s", F.lit(1) if stratum is None else stratum).withColumn("__r", priority)
+    kept = top_k(drawn, ["__s"], ["__r", *(key or [])], n).drop("__s", "__r", "rn")
     return kept.select(*[_shown(f) for f in table.schema.fields])
 
 
