@@ -209,10 +209,10 @@ def clause_groups(hits: DataFrame, flags=RED_FLAGS) -> DataFrame:
 
 def cite_groups(groups: DataFrame, citations: DataFrame) -> DataFrame:
     """``groups`` (with ``as_of``) and the citations of their keys in rule order; keys without one add nothing."""
-    keyed = groups.select("contract_id", "clause_number", "as_of", F.posexplode("keys").alias("pos", "key"))
-    cited = keyed.join(citations, ["as_of", "key"]).groupBy("contract_id", "clause_number").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "citation"))), lambda x: x["citation"]).alias("legal_citations"))
-    return groups.join(cited, ["contract_id", "clause_number"], "left")
+    # A citation depends on the day and the key only: one map per day, looked up in the row.
+    known = citations.groupBy("as_of").agg(F.map_from_entries(F.collect_list(F.struct("key", "citation"))).alias("__cited"))
+    found = F.filter(F.transform("keys", lambda k: F.try_element_at("__cited", k)), lambda c: c.isNotNull())
+    return groups.join(known, "as_of", "left").withColumn("legal_citations", F.when(F.size(found) > 0, found)).drop("__cited")
 
 
 def merge_by_clause(groups: DataFrame, flags=RED_FLAGS) -> DataFrame:

@@ -250,3 +250,19 @@ def siblings_of(seeds: DataFrame, chunks: DataFrame, limit: int = 24) -> DataFra
     few = top_k(children, ["parent_path"], ["path"], limit + most).select("parent_path", "path")
     found = wanted.join(few, "parent_path").join(seeds.select("query_id", "path"), ["query_id", "path"], "left_anti")
     return top_k(found.select("query_id", "path").distinct(), ["query_id"], ["path"], limit)
+
+
+def ancestors_by_edges(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """``child, ancestor, hops``: what is reached over ``edges`` (child, parent) within ``max_hops``, by the fewest hops.
+
+    Works on any edges, without path keys.  A node that was reached before is not gone on from, so
+    cycles end, and each hop joins only what the hop before found.
+    """
+    links = edges.select(F.col("child").alias("__at"), F.col("parent").alias("ancestor")).filter("ancestor IS NOT NULL").distinct()
+    last = seeds.select("child", F.col("child").alias("ancestor")).filter("child IS NOT NULL").distinct()
+    found = last.withColumn("hops", F.lit(0))
+    for hop in range(1, max_hops + 1):
+        step = last.withColumnRenamed("ancestor", "__at").join(links, "__at").select("child", "ancestor").distinct()
+        last = step.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
+        found = found.unionByName(last.withColumn("hops", F.lit(hop)))
+    return found.filter("hops > 0")

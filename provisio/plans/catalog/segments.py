@@ -104,6 +104,29 @@ def _(t):
     return segment.appendix_rows(docs).select("doc_id", "path", "chunk_text")
 
 
+@query("appendix_by_contents", """SELECT doc_id, CASE WHEN r <= 2 THEN 'PL1.N' || r ELSE 'PL1.N1.R' || r END AS path, 'Phụ lục I' || chr(10) || '| đơn | loại |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderpriority || ' |' AS chunk_text
+  FROM (SELECT *, CAST(o_custkey AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)""")
+def _(t):
+    """Appendices that the table of contents lists with two groups: the groups place the first rows."""
+    row = F.concat(F.lit("| "), "o_orderkey", F.lit(" | "), "o_orderpriority", F.lit(" |"))
+    rows = t.raw("orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    docs = rows.select("doc_id", F.concat(F.lit("mở đầu\n**Phụ lục I**\n| đơn | loại |\n|---|:---:|\n"), "rows", F.lit("\nhết")).alias("body"))
+    listed = [("Appendix", "PL1", None, "Phụ lục I", 1), ("Group", "PL1.N1", "PL1", "Nhóm 1", 2), ("Group", "PL1.N2", "PL1", "Nhóm 2", 3)]
+    node = lambda level, path, parent, title, n: F.struct(
+        F.lit(level).alias("level"), F.lit(path).alias("path"), F.lit(parent).cast("string").alias("parent_path"), F.lit(title).alias("title"), F.lit(n).alias("node_no"))
+    nodes = docs.select("doc_id", F.explode(F.array(*[node(*x) for x in listed])).alias("n")).select("doc_id", "n.*")
+    return segment.appendix_node_chunks(docs, nodes).select("doc_id", "path", "chunk_text")
+
+
+@query("graph_ancestors_edges", """WITH RECURSIVE e AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, CAST(o_orderkey - 1 - o_custkey % 7 AS VARCHAR) AS b FROM orders),
+ up AS (SELECT a AS doc_id, b AS ancestor, 1 AS hops FROM e UNION SELECT up.doc_id, e.b, hops + 1 FROM up JOIN e ON e.a = up.ancestor WHERE hops < 4)
+ SELECT doc_id, ancestor, min(hops) AS hops FROM up WHERE ancestor <> doc_id GROUP BY 1, 2""")
+def _(t):
+    edges = t.doc_edges().select(F.col("from_doc_id").alias("child"), F.col("to_doc_id").alias("parent"))
+    return tree.ancestors_by_edges(edges.select("child").distinct(), edges, 4).select(F.col("child").alias("doc_id"), "ancestor", "hops")
+
+
 @query("clause_excerpt", """SELECT doc_id, line_no, left(trim(regexp_replace('Điều ' || line_no || '. ' || chunk_text, '\\s+', ' ', 'g')), 2500) AS excerpt FROM lines""")
 def _(t):
     n = F.col("line_no")

@@ -74,3 +74,40 @@ def test_issue_and_recommendation(value):
     r = value(report.parse_recommendation(F.lit("Về lương:\n- trả đủ\nĐề xuất câu thay thế:\n«Bên A trả đủ»")))
     assert [(s["title"], s["items"]) for s in r["sections"]] == [("Về lương", ["trả đủ"])] and r["draft"] == "Bên A trả đủ"
     assert value(report.changed_tokens(F.lit("Bên A trả"), F.lit("Bên A trả đủ lương"))) == ["lương"]
+
+
+def test_governing_document_by_brute_force(spark):
+    """Best document of a kind on a day: open windows, ties, days outside all windows, unknown kinds, null days."""
+    import datetime
+    import random
+
+    from provisio.operators import effect
+
+    rng = random.Random(5)
+    day = lambda: None if rng.random() < 0.2 else datetime.date(1990, 1, 1) + datetime.timedelta(rng.randrange(4000))
+    docs = [(str(i), f"n{i}", rng.choice("abc"), day(), day(), day(), rng.choice([0, 1, 2, 3, 4, 5])) for i in range(300)]
+    asked = [(rng.choice("abcd"), day() or datetime.date(1995, 5, 5)) for _ in range(150)] + [("a", datetime.date(2400, 1, 1)), ("a", datetime.date(1600, 2, 3)), (None, datetime.date(1995, 1, 1))]
+    rank = {1: 0, 5: 1, 4: 2, 0: 3}
+    least = datetime.date.min
+    want = set()
+    for kind, at in asked:
+        fits = [d for d in docs if at and d[2] == kind and d[6] in rank and (d[4] is None or d[4] <= at) and (d[5] is None or d[5] > at)]
+        if fits:
+            best = max(fits, key=lambda d: (-rank[d[6]], d[3] or d[4] or least, d[1], d[0]))
+            want.add((kind, at, best[0]))
+    table = spark.createDataFrame(docs, "doc_id string, doc_num string, doc_type string, issue_date date, eff_from date, eff_to date, status_flag int")
+    out = effect.resolve_governing_doc(spark.createDataFrame(asked, "kind string, as_of date"), table)
+    assert {(r["kind"], r["as_of"], r["doc_id"]) for r in out.collect()} == want and len(want) > 40
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ancestors_over_edges_with_cycles(spark):
+    from provisio.operators import tree
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", None), ("a", "b"), ("s", "s")]
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    out = tree.ancestors_by_edges(edges.select("child"), edges, 3)
+    found = {(r["child"], r["ancestor"], r["hops"]) for r in out.collect()}
+    assert found == {
+        ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("b", "c", 1), ("b", "a", 2), ("b", "d", 2), ("b", "e", 3),
+        ("c", "a", 1), ("c", "d", 1), ("c", "b", 2), ("c", "e", 2), ("d", "e", 1)}
