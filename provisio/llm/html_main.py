@@ -3,13 +3,17 @@ r"""Main text of web pages by removal of site templates.
 Each page is parsed into a tree; every element's subtree (tags and texts) is
 hashed.  Spark counts, for each host, how many different pages hold a subtree;
 subtrees on many pages of their host are template and are deleted: a quarter (three at least)
-outside article and main, nine tenths (ten at least) inside.  Elements that
+outside article and main, nine tenths (ten at least) inside.  Parts of a table are template only with
+the whole table; a heading, list item, term or definition only where a neighbour recurs beside it, as
+different articles share headings and items.  Elements that
 say themselves what they are (menus, footers, forms, scripts, adverts, comments
-and so on, by tag, role, class or id) are deleted on any host.
+and so on, by tag, role, class or id) are deleted on any host; inside article and main a name of several
+parts says so only if every part does (``share-buttons``, not ``share-price``).
 
 Text: character references decoded, white space inside a block made one space, ends
 trimmed, empty blocks left out, blocks joined in page order by one line feed.
-Where ``article`` and ``main`` elements hold more than half of what is left of a page, the text is theirs.
+Where ``article`` and ``main`` elements hold more than half of what is left of a page, the text is theirs and that of
+the headings and paragraphs beside them.
 
 Null or empty html: empty text.  Broken markup: unclosed elements end with their
 parent, stray end tags are ignored, an unclosed comment or script runs to the end.  A null
@@ -35,8 +39,12 @@ from .common import in_batches, settle
 #: many articles can share a text, and outside, where a host can have several layouts, languages or sections.
 SHARE, PAGES = 0.9, 10
 OUTSIDE_SHARE, OUTSIDE_PAGES = 0.25, 3
-#: Never template as a whole: copies of an article are articles.
-KEPT = frozenset("# html body article main".split())
+#: Never template as a whole: copies of an article are articles, and rows and cells go with their table.
+KEPT = frozenset("# html body article main caption colgroup tbody td tfoot th thead tr".split())
+#: Template only beside a neighbour that recurs, too.
+PAIRED = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd".split())
+#: The page's own text where they stand beside its article: titles and leads.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -69,6 +77,8 @@ DROP_NAMES = frozenset(
     "widget widgets toolbar pagination pager skip masthead topbar copyright disclaimer".split()
 )
 HEADERS = frozenset("header masthead topbar site-header page-header".split())
+#: Parts of names that say nothing of the contents.
+FRAMES = frozenset("area bar block box button buttons container form frame icon icons inner link links list panel posts slot unit wrap wrapper".split())
 #: First parts of names that tell of a layout: has-sidebar, no-sidebar, with-comments.
 LAYOUT = frozenset("has no not with without".split())
 #: Articles below these names are comments, never the page's own.
@@ -83,6 +93,7 @@ class Node:
     soft: bool = False  # dropped for its name alone
     children: list = field(default_factory=list)
     mark: int = 0
+    pairs: tuple = ()  # hashes of a paired element with the sibling before and the one behind
 
 
 def _drops(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
@@ -102,10 +113,18 @@ def _drops(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
     if named.get("role", "") in DROP_ROLES:
         return True, False
     parts = _name_parts(named)
-    drop = bool(parts & DROP_NAMES) or (not inside_main and bool(parts & HEADERS))
+    if inside_main:
+        return any(_says(n) for n in f"{named.get('class', '')} {named.get('id', '')}".split()), not parts & COMMENTS
+    drop = bool(parts & (DROP_NAMES | HEADERS))
     return drop, drop and not parts & COMMENTS
 
 
+def _says(name: str) -> bool:
+    """Is every part of the name boilerplate, a frame or a number, and one of them boilerplate?"""
+    parts = [p for p in re.split(r"[-_:]+", name) if p]
+    return bool(DROP_NAMES.intersection(parts)) and all(p in DROP_NAMES or p in FRAMES or re.fullmatch(r"\d[\dx]*", p) for p in parts)
+
+
 def _name_parts(named: dict[str, str]) -> set[str]:
     names = f"{named.get('class', '')} {named.get('id', '')}".split()
     split = [(n, *re.split(r"[-_:]+", n)) for n in names]
@@ -187,15 +206,34 @@ def mark(node: Node) -> int:
         todo += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
         h = xxhash.xxh64(n.tag.encode())
+        marks = []
         for c in n.children:
             if isinstance(c, Node):
-                h.update(c.mark.to_bytes(8, "little", signed=True))
+                marks.append((c, c.mark.to_bytes(8, "little", signed=True)))
             elif c.strip():
-                h.update(b"\x00" + " ".join(c.split()).encode("utf-8", "replace") + b"\x01")
-        n.mark = (h.intdigest() - (1 << 63)) & ~1  # the last bit is for the place: 1 inside article and main
+                marks.append((c, b"\x00" + " ".join(c.split()).encode("utf-8", "replace") + b"\x01"))
+            else:
+                continue
+            h.update(marks[-1][1])
+        n.mark = _even(h)
+        for i, (c, own) in enumerate(marks):
+            if isinstance(c, Node) and c.tag in PAIRED:
+                c.pairs = tuple(_even(xxhash.xxh64(b"\x02" + a[1] + b"\x02" + b[1])) for a, b in zip(marks[max(i - 1, 0):i + 1], marks[max(i, 1):i + 2]))
     return node.mark
 
 
+def _even(h: xxhash.xxh64) -> int:
+    """A signed number whose last bit is free for the place: 1 inside article and main."""
+    return (h.intdigest() - (1 << 63)) & ~1
+
+
+def _marks(n: Node, inside: bool) -> list[int]:
+    """What makes the element template if it recurs."""
+    if n.tag in KEPT:
+        return []
+    return [m | inside for m in (n.pairs if n.tag in PAIRED else (n.mark,))]
+
+
 def _walk(node: Node, template: frozenset) -> Iterator[tuple[str, Node | str | None]]:
     """Kept texts and block borders in page order."""
     todo: list = [(node, False)]
@@ -208,7 +246,7 @@ def _walk(node: Node, template: frozenset) -> Iterator[tuple[str, Node | str | N
             yield "border", None
             continue
         inside = inside or n.tag in MAIN
-        if n.drop or (n.mark | inside in template and n.tag not in KEPT):
+        if n.drop or not template.isdisjoint(_marks(n, inside)):
             continue
         if n.tag in ("br", "wbr", "img"):
             if n.tag == "br":
@@ -234,18 +272,22 @@ def _blocks(node: Node, template: frozenset) -> list[str]:
     return [*out, block] if block else out
 
 
-def _mains(node: Node) -> list[Node]:
-    """Outermost article and main elements that are not dropped."""
-    found, todo = [], [node]
+def _mains(node: Node) -> tuple[list[Node], list[Node]]:
+    """Outermost article and main elements that are not dropped; the same with the headings and paragraphs beside them."""
+    found, wider, todo = [], [], [node]
     while todo:
         n = todo.pop()
         if n.drop:
             continue
         if n.tag in MAIN:
             found.append(n)
-        else:
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-    return found
+        if n.tag in MAIN or n.tag in BESIDE:
+            wider.append(n)
+            continue
+        inner = [c for c in n.children if isinstance(c, Node)]
+        beside = any(c.tag in MAIN and not c.drop for c in inner)
+        todo += [c for c in reversed(inner) if beside or c.tag not in BESIDE]
+    return found, wider
 
 
 def main_text(page: str | None, template: frozenset = frozenset()) -> str:
@@ -254,10 +296,11 @@ def main_text(page: str | None, template: frozenset = frozenset()) -> str:
     top = parse(page)
     if template:
         mark(top)
-    blocks = [b for n in _mains(top) for b in _blocks(n, template)]
+    mains, wider = _mains(top)
+    held = sum(len(b) for n in mains for b in _blocks(n, template))
     every = _blocks(top, template)
     # A teaser beside a body that lies in no article is not the page's text.
-    return "\n".join(blocks if 2 * sum(map(len, blocks)) > sum(map(len, every)) else every)
+    return "\n".join([b for n in wider for b in _blocks(n, template)] if 2 * held > sum(map(len, every)) else every)
 
 
 def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
@@ -272,8 +315,8 @@ def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
         if not isinstance(n, Node) or n.drop:
             continue
         inside = inside or n.tag in MAIN
-        if n.tag in BLOCK and n.tag not in KEPT:
-            found.add(n.mark | inside)
+        if n.tag in BLOCK:
+            found.update(_marks(n, inside))
         todo += [(c, inside) for c in n.children]
     return top.mark, sorted(found)
 

@@ -188,6 +188,47 @@ def test_templates_of_layouts_and_small_hosts(spark):
     assert out == {i: f"own {i}" for i in range(20)} | {100 + i: f"shared passage\nown {i}" for i in range(4)}
 
 
+@pytest.mark.parametrize("body,text", [
+    ("<article><p>a</p><div class='search-results'><p>found</p></div></article>", "a\nfound"),
+    ("<article><p>a</p><p class='share-price'>9</p><p id='social-history'>h</p></article>", "a\n9\nh"),
+    ("<article><p>a</p><div class='share-buttons'>s</div><div class='ad-300x250'>b</div><ul id='related-posts'><li>r</ul><p class='comments'>c</p></article>", "a"),
+    ("<h1>T</h1><p>lead</p><article><p>the longer body</p></article><div>chrome</div>", "T\nlead\nthe longer body"),
+    ("<div><p>far</p></div><article><p>the longer body</p></article>", "the longer body"),
+])
+def test_names_in_articles_and_leads(body, text):
+    assert html_main.main_text(page(body)) == text
+
+
+def test_shared_headings_and_cells_stay(spark):
+    """Headings, cells and items that articles share are theirs; menus and whole tables that recur are not."""
+    inner = "<h2>Summary</h2><p>own {0}</p><table><tr><td>key {0}</td><td>yes</td></tr></table><ul><li>yes</li><li>item {0}</li></ul>"
+    menu = "<div><ul><li><a>Home</a></li><li><a>News</a></li>{}</ul></div><table><tr><td>site</td><td>table</td></tr></table>"
+    # Each page marks another entry of its menu, so that the menu differs as a whole.
+    rows = [(i, f"http://a.example/{i}", page(menu.format(f"<li><b>{i}</b></li>") + f"<div>{inner.format(i)}</div>")) for i in range(12)]
+    rows += [(100 + i, "http://b.example/", page(f"<article>{inner.format(i)}</article>")) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_main.extract(df).collect()}
+    own = "Summary\nown {0}\nkey {0}\nyes\nyes\nitem {0}"
+    assert out == {i: f"{i}\n{own.format(i)}" for i in range(12)} | {100 + i: own.format(i) for i in range(12)}
+
+
+def test_templates_against_counter(spark):
+    """Template hashes by Spark against a plain count of all pages."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").select("url", "html")
+    held = {}
+    for r in pages.collect():
+        host = (r["url"] or "").partition("://")[2].split("/")[0].split("?")[0].split("#")[0].lower()
+        number, marks = html_main.subtree_hashes(r["html"])
+        held.setdefault(host, {})[number] = marks
+    want = {}
+    for host, found in held.items():
+        n = Counter(m for marks in found.values() for m in marks)
+        kept = {m for m, c in n.items() if (c >= 10 and c >= 0.9 * len(found) if m & 1 else c >= 3 and c >= 0.25 * len(found))}
+        if kept:
+            want[host] = kept
+    assert {r["host"]: set(r["marks"]) for r in html_main.templates(pages).collect()} == want
+
+
 def test_templates(spark):
     """A block that most pages of a host share goes there and stays elsewhere; copies of one page are one page."""
     rows = [(i, f"http://A.example/{i}", page(f"<div><p>unmarked banner</p></div><div><p>own {i}</p></div>")) for i in range(20)]
