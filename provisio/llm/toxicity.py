@@ -1,8 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting: a bounded sample of labelled rows, each of which counts, gives the
-terms whose presence goes with the label (chi-square), their inverse document frequencies and
-the examples; rows with equal vectors are one example with counts.  The
+terms, their inverse document frequencies and
+the examples; rows with equal vectors are one example with counts.  A term is any word whose presence
+goes with the label by a likelihood-ratio test that lets about one word of the whole vocabulary of the sample
+pass by chance; the rule is the same for every number of rows.  The
 examples lie in an inverted index in blocks; each block keeps the largest weight
 of every term.  A text visits the blocks by falling bound and stops when no block
 can beat its k-th neighbour, so its neighbours are exact.  Similarities weigh the
@@ -10,7 +12,8 @@ votes; leave-one-out votes of the examples give the calibration.
 
 Only words of the text enter a score.  Null and empty texts, and texts without
 a term, get the share of toxic examples among those without a term.  Ties between neighbours
-go to the example with the lower number.  Repeated rows are scored each for itself;
+go to the example with the lower number.  Repeated rows are scored each for itself; of different texts of one
+id the least is its example;
 labels that disagree for one id count as toxic, null labels not at all.  With no labels every score is 0.
 Empty table: no rows.  Columns other than doc_id and text pass through.
 """
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Labelled rows that a fit reads, terms it keeps, and the chi-square (of few rows half their number) and rows a term needs.
-SAMPLE, TERMS, CHI, LEAST = 20_000, 2_048, 30.0, 4
+#: Labelled rows that a fit reads.
+SAMPLE = 20_000
 NEIGHBOURS = 24
 BLOCK = 64
 EVIDENCE = 3
@@ -156,6 +159,13 @@ def _words_of(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "word binary, n bigint, toxic bigint")
 
 
+def _strength(a: Column, held: Column, bad: float, n: float) -> Column:
+    """Likelihood ratio of a word in ``held`` of ``n`` rows, ``a`` of the ``bad`` ones: twice the sum of observed x ln(observed / expected)."""
+    cells = [(a, held * bad), (held - a, held * (n - bad)), (bad - a, (n - held) * bad), (n - bad - held + a, (n - held) * (n - bad))]
+    terms = [F.when(seen > 0, seen * F.log(seen * n / product)).otherwise(0.0) for seen, product in cells]
+    return 2 * (terms[0] + terms[1] + terms[2] + terms[3])
+
+
 def _left_out(
     spark: SparkSession, index: Index, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list, held: list[int], toxic: list[int], k: int
 ) -> list[tuple[float, int, int]]:
@@ -184,21 +194,21 @@ def _left_out(
     return [tuple(r) for r in votes.collect()]  # at most two for each example
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEIGHBOURS) -> Index:
     """Index of at most ``sample`` labelled rows of ``labels`` (doc_id, toxic)."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` ids: small enough for every task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    rows = settle(rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = settle(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
     n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
         return Index({}, np.zeros(0))
     words = _words_of(rows).groupBy("word").agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").cast("double").alias("a"))
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    c, d = float(bad) - a, float(n - bad) - b
-    chi = float(n) * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    kept = words.withColumn("chi", chi).filter((F.col("chi") >= min(CHI, n / 2)) & (F.col("n") >= LEAST)).orderBy(F.desc("chi"), "word").limit(terms).collect()
+    words = settle(words)
+    strength = _strength(F.col("a"), F.col("n"), float(bad), float(n))
+    # A word without any bond to the label exceeds this once in about as many words as there are.
+    kept = words.filter(strength >= 2 * math.log(max(words.count(), 1))).orderBy("word").collect()
     index = Index({bytes(r["word"]): i for i, r in enumerate(kept)}, np.array([math.log((n + 1) / (r["n"] + 1)) + 1 for r in kept]))
     empty: Counter = Counter()
 

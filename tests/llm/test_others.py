@@ -126,12 +126,30 @@ def test_every_labelled_row_counts(spark, docs):
 
 
 def test_few_labelled_rows_have_terms(spark, docs):
-    """Chi-square is at most the number of rows; fewer than 30 rows have terms, too."""
+    """The test knows no least number of rows."""
     pairs = [(i, f"own{i} {'slur' if i % 2 else 'calm'}") for i in range(16)]
     index = toxicity.fit(docs(pairs), spark.createDataFrame([(i, i % 2) for i, _ in pairs], "doc_id bigint, toxic int"))
     assert set(index.terms) == {b"slur", b"calm"}
 
 
+def test_terms_by_likelihood_ratio(spark, docs):
+    """Terms, without a cut on their number, against a plain count; of two texts of one id the least is the example."""
+    rng = np.random.default_rng(5)
+    bad = rng.integers(0, 4, 400) == 0
+    texts = [" ".join([f"w{j}" for j in rng.integers(0, 300, 30)] + [f"t{j}" for j in rng.integers(0, 2500, 400)] * bool(b)) for b in bad]
+    index = toxicity.fit(docs([*enumerate(texts), (0, "~ zzz")]), spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad)], "doc_id bigint, toxic int"))
+    words = [set(t.split()) for t in texts]
+    n, total, kept = len(texts), int(bad.sum()), set()
+    every = Counter(w for own in words for w in own)
+    mine = Counter(w for own, b in zip(words, bad) if b for w in own)
+    for w, held in every.items():
+        a = mine[w]
+        cells = [(a, held * total), (held - a, held * (n - total)), (total - a, (n - held) * total), (n - total - held + a, (n - held) * (n - total))]
+        if 2 * sum(o * np.log(o * n / e) for o, e in cells if o) >= 2 * np.log(len(every)):
+            kept.add(w.encode())
+    assert set(index.terms) == kept and len(kept) > 2048
+
+
 def test_toxicity_odd_rows(spark, docs, odd):
     labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (6, 1), (None, 1), (999, 1)], "doc_id bigint, toxic int")
     out = toxicity.report(docs(odd), labels).collect()
