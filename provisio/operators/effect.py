@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from provisio.functions import paths as P
 from provisio.functions import status as S
+from provisio.operators.intervals import mark_below, nearest_above
 from provisio.operators.skew import top_k
 
 # Relation types that end or change their target.
@@ -130,21 +131,18 @@ def refresh_document_status(docs: DataFrame, edges: DataFrame, as_of, changes_on
 
 def cascade_hierarchy_status(nodes: DataFrame, expired: DataFrame) -> DataFrame:
     """Descendants of newly expired nodes become 2; nothing is revived."""
-    above = nodes.select("path", F.explode(P.path_prefixes(F.col("path"), proper=True)).alias("up"))
-    hit = above.join(expired.select(F.col("path").alias("up")).distinct(), "up", "left_semi").select("path").distinct()
-    return (
-        nodes.join(hit.withColumn("__hit", F.lit(True)), "path", "left")
-        .withColumn("status_flag", F.when(F.col("__hit"), F.lit(2)).otherwise(F.col("status_flag"))).drop("__hit")
-    )
+    tops = expired.select("path", F.lit(True).alias("__top"))
+    both = nodes.withColumn("__top", F.lit(False)).unionByName(tops, allowMissingColumns=True)
+    below = mark_below(both, F.col("__top"), "__hit").filter("NOT __top")
+    return below.withColumn("status_flag", F.when(F.col("__hit"), 2).otherwise(F.col("status_flag"))).drop("__top", "__hit")
 
 
 def refresh_hierarchy_status(nodes: DataFrame, as_of) -> DataFrame:
     """Expiry with its cascade first, then future and in-force steps of what is left."""
     day = S.as_date(as_of)
     over = F.coalesce((F.col("status_flag") != 2) & (F.col("eff_to") <= day), F.lit(False))
-    expired = nodes.filter(over).select("path")
-    own = nodes.withColumn("status_flag", F.when(over, 2).otherwise(F.col("status_flag")))
-    cur = cascade_hierarchy_status(own, expired)
+    below = mark_below(nodes, over, "__hit")
+    cur = below.withColumn("status_flag", F.when(over | F.col("__hit"), 2).otherwise(F.col("status_flag"))).drop("__hit")
     inside = F.coalesce((F.col("eff_from") <= day) & (F.col("eff_to").isNull() | (F.col("eff_to") > day)), F.lit(False))
     future = F.coalesce(F.col("eff_from") > day, F.lit(False))
     status = F.col("status_flag")
@@ -169,6 +167,18 @@ def chunk_effective(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     ).drop("governing")
 
 
+def chunk_effective_sweep(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same by one sweep over chunks and nodes in reading order.
+
+    It moves every chunk and node once, where :func:`chunk_effective` moves a row for each level of
+    every chunk: the better choice where most nodes hold chunks, or chunks outnumber nodes.
+    """
+    governing = nearest_above(chunks.select("path").distinct(), nodes, "status_flag", "governing")
+    return chunks.join(governing, "path", "left").withColumn(
+        "is_effective", F.coalesce("governing", "status_flag").isin(1, 5)
+    ).drop("governing")
+
+
 def with_effect(rows: DataFrame, as_of, present: Column | None = None) -> DataFrame:
     """Citation verdict columns of rows that carry a document state."""
     here = F.col("status_flag").isNotNull() if present is None else present

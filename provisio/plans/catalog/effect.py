@@ -147,12 +147,20 @@ def _(t):
     return effect.refresh_hierarchy_status(t.nodes(), AS_OF).select("path", "status_flag")
 
 
-@query("chunk_effective", """SELECT c.path, coalesce(k.status_flag, a.status_flag, c.status_flag) IN (1, 5) AS is_effective FROM chunks c
-  LEFT JOIN nodes k ON k.path = c.path LEFT JOIN nodes a ON a.path = regexp_replace(c.path, '\\.K[0-9]+$', '')""")
+GOVERNED = """SELECT c.path, coalesce(k.status_flag, a.status_flag, c.status_flag) IN (1, 5) AS is_effective FROM chunks c
+  LEFT JOIN nodes k ON k.path = c.path LEFT JOIN nodes a ON a.path = regexp_replace(c.path, '\\.K[0-9]+$', '')"""
+
+
+@query("chunk_effective", GOVERNED)
 def _(t):
     return effect.chunk_effective(t.chunks(), t.nodes()).select("path", "is_effective")
 
 
+@query("chunk_effective_sweep", GOVERNED)
+def _(t):
+    return effect.chunk_effective_sweep(t.chunks(), t.nodes()).select("path", "is_effective")
+
+
 @query("evaluate_effect", f"""SELECT e.to_doc_id, e.from_doc_id, CASE WHEN d.doc_id IS NULL THEN 'Chưa đối chiếu kho' WHEN status_flag = 2 THEN 'Hết hiệu lực'
     WHEN eff_from > {DAY} THEN 'Chưa có hiệu lực' WHEN eff_to <= {DAY} THEN 'Hết hiệu lực'
     WHEN status_flag = 4 THEN 'Đã đối chiếu · Còn hiệu lực (có sửa đổi) · 1999-01-01' ELSE 'Đã đối chiếu · Còn hiệu lực · 1999-01-01' END AS status_label,
