@@ -177,6 +177,22 @@ def _(t):
     return g.select("doc_id", "category", F.array_join(F.transform("documents", lambda d: d["id"]), ",").alias("ids"))
 
 
+@query("variant_attributes", """SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderpriority AS major, o_orderstatus AS eff_status_code FROM orders""")
+def _(t):
+    return attributes.free_fields(api_json(t), {
+        "doc_id": ("$.id", "string"), "major": ("$.documentMajors[0].name", "string"), "eff_status_code": ("$.effStatus.code", "string"),
+    }).select("doc_id", "major", "eff_status_code")
+
+
+@query("variant_references", """SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber % 4 AS kind, CAST(l_partkey AS VARCHAR) AS target, count(*) AS n
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2, 3""")
+def _(t):
+    held = attributes.free_fields(api_json(t), {"doc_id": ("$.id", "string")})
+    one = lambda path, kind: F.try_variant_get("entry", path, kind)
+    rows = attributes.free_entries(held, "$.references").select("doc_id", one("$.referenceType", "int").alias("kind"), one("$.targetDocument.id", "string").alias("target"))
+    return rows.groupBy("doc_id", "kind", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scan_counts", """SELECT c.doc_id, chunks, body, effectivity, coalesce(relations, 0) AS relations, coalesce(pr, 0) AS path_relations FROM
   (SELECT doc_id, count(*) AS chunks, count(*) FILTER (chunk_type = 'body') AS body, 0 AS effectivity FROM chunks GROUP BY 1) c
   LEFT JOIN (SELECT from_doc_id, count(*) AS relations FROM doc_edges GROUP BY 1) r ON r.from_doc_id = c.doc_id

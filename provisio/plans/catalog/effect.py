@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provisio.functions import sql
 from provisio.functions import status as S
 from provisio.operators import effect
 from provisio.plans.oracle import AS_OF as DAY
@@ -129,6 +130,15 @@ def _(t):
     return effect.refresh_document_status(t.documents(), t.doc_edges(), AS_OF)
 
 
+@query("refresh_status_function", "SELECT doc_id, old AS old_flag, v AS new_flag FROM s6 WHERE old <> v", views="docs doc_edges", ctes=REFRESH)
+def _(t):
+    """The refresh as a table function of SQL."""
+    t.documents().createOrReplaceTempView("refresh_documents")
+    t.doc_edges().createOrReplaceTempView("refresh_edges")
+    sql.register_tables(t.spark, "refresh_documents", "refresh_edges")
+    return t.spark.sql(f"SELECT * FROM refresh_status_flags({DAY})")
+
+
 EXPIRED = f"""gone AS (SELECT DISTINCT path AS ended FROM nodes WHERE status_flag <> 2 AND eff_to <= {DAY})"""
 
 

@@ -150,7 +150,12 @@ def stream_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 ho
 
 
 def stream_sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
-    """Sessions per key, for append mode: each comes out when the watermark has passed its gap."""
+    """Sessions per key, for append mode: each comes out when the watermark has passed its gap.
+
+    Events of a key are merged to sessions inside every input task before the shuffle, so the task of a
+    hot key gets a row per session and input task, not per event.  The setting holds for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", True)
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "key").agg(F.count(F.lit(1)).alias("n"))
 
 
