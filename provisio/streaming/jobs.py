@@ -26,9 +26,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A parquet table as a file stream."""
+    """A parquet table, one file or a folder of files, as a file stream."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    # A pattern, as a stream's plain path must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def run(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
