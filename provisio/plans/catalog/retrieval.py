@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provisio.functions.text import tokens
 from provisio.operators import indexes, search
 from provisio.plans.registry import query
 from provisio.streaming.jobs import new_folder
@@ -111,8 +110,10 @@ def _(t):
 
 def short_queries(t):
     low = t.raw("labels").filter("quality = 0").select("doc_id")
-    w = t.raw("documents").join(low, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("query_id"), tokens(F.col("text")).alias("w"))
-    return w.filter("size(w) > 1").select("query_id", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("text"))
+    pair = r"([\p{L}\p{N}]+)[^\p{L}\p{N}]+([\p{L}\p{N}]+)"
+    first = F.regexp_extract_all(F.regexp_extract(F.lower("text"), pair, 0), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    w = t.spread("documents").join(low, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("query_id"), F.array_join(first, " ").alias("text"))
+    return w.filter("text <> ''")
 
 
 @query("rrf_fuse", """SELECT query_id, path, round(sum(1.0::DOUBLE / (61 + rank0)), 6) AS rrf_score FROM (SELECT query_id, path, rank0 FROM vec UNION ALL SELECT query_id, path, rank0 FROM fts) GROUP BY 1, 2""",
