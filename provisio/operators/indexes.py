@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.functions.text import tokens
-from provisio.operators import search
+from provisio.operators import search, wordsets
 
 #: Vectors that the quantiser is fitted on, most cells (their centres go to every task), and rows of one group of a search.
 SAMPLE, MOST_CELLS, GROUP_ROWS = 100_000, 4096, 50_000
@@ -127,11 +128,28 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 # -- G4: postings by word ----------------------------------------------------------
 
 
+def postings(words: DataFrame) -> DataFrame:
+    """``word, path, at`` of ``path, body``: the places of each word of a text, grouped inside its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str, str, list[int]]] = []
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                places: dict[str, list[int]] = {}
+                for at, word in enumerate(body or ()):
+                    places.setdefault(word, []).append(at)
+                rows += [(word, path, at) for word, at in places.items()]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["word", "path", "at"])
+
+    return words.select("path", "body").mapInArrow(run, "word string, path string, at array<int>")
+
+
 def write_text_index(corpus: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Postings ``word, path, at`` of ``corpus`` (path, chunk_text) in buckets of words, and ``word, df``."""
     spark = corpus.sparkSession
-    words = corpus.select("path", F.posexplode(tokens(F.col("chunk_text"))).alias("pos", "word"))
-    posts = words.groupBy("path", "word").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    posts = postings(corpus.select("path", tokens(F.col("chunk_text")).alias("body")))
     posts = posts.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
     # A frequent word's postings spread over tasks by path; files are sorted, so statistics tell words apart.
     dealt = posts.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8))).sortWithinPartitions("bucket", "word")
@@ -150,18 +168,17 @@ def _of(asked: DataFrame, folder: str, table: str, buckets: int) -> DataFrame:
 def fts_index(queries: DataFrame, folder: str, n: int, buckets: int = BUCKETS) -> DataFrame:
     """Top-n chunks that hold all words of a query, from the postings alone: ``query_id, path, score, rank0``.
 
-    The rarest word of a query names the candidates; the other words' postings are joined on (word, path).
+    Queries with a word that no chunk holds have no match.  The postings of the other queries' words are
+    gathered by chunk, as many rows as they are, and each chunk meets the word sets that it holds.
     """
-    q = search.query_words(queries)
-    asked = q.select("query_id", F.size("words").alias("m"), F.posexplode("words").alias("k", "word"))
-    counted = asked.join(_of(asked, folder, "words", buckets), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # Queries with a word that no chunk holds have no match.
-    whole = counted.groupBy("query_id").agg(F.min("df").alias("least"), F.min_by("word", F.struct("df", "word")).alias("rarest")).filter("least > 0")
-    posts = _of(asked, folder, "postings", buckets)
-    names = whole.select("query_id", F.col("rarest").alias("word")).join(posts.select("word", "path"), "word").select("query_id", "path")
-    held = names.join(asked, "query_id").join(posts, ["word", "path"])
-    hits = F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("at"), (F.col("k") + 1).alias("k"))))))
-    found = held.groupBy("query_id", "path").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("n"), hits.alias("hits")).filter("n = m")
-    rank = search.cover_of(F.col("hits"), F.array_repeat(F.lit(-1), F.col("m")))
-    return search._merge(found.select("query_id", "path", F.round(rank, search.DIGITS).alias("score")), n)
-
+    asked = wordsets.keyed(search.query_words(queries))
+    words = asked.select("key", F.explode(F.split("key", " ")).alias("word")).distinct()
+    known = words.join(_of(words, folder, "words", buckets), "word", "left")
+    whole = known.groupBy("key").agg(F.count("df").alias("held"), F.count(F.lit(1)).alias("m")).filter("held = m").select("key")
+    parts = []
+    for keys in wordsets.key_blocks(whole):
+        wanted = queries.sparkSession.createDataFrame([(w,) for w in sorted({w for key in keys for w in key.split(" ")})], "word string")
+        posts = _of(wanted, folder, "postings", buckets).join(F.broadcast(wanted), "word", "left_semi")
+        texts = posts.groupBy("path").agg(F.collect_list(F.struct("word", "at")).alias("held"))
+        parts.append(wordsets.search_places(texts, keys, n, search.DIGITS))
+    return wordsets.merged(parts, asked, n)
