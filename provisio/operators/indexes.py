@@ -109,9 +109,8 @@ def knn_index(queries: DataFrame, folder: str, n: int, n_probes: int = 4, group_
         ids = a["query_id"].tolist()
         best = search._Best(len(ids), n)
         if len(a) and len(c):
-            scores = search._scores(search._unit(np.stack(a["embedding"].to_numpy()).astype(np.float64)), c["embedding"])
-            for i in range(len(ids)):
-                best.add(i, scores[i], c["path"].to_numpy())
+            paths = c["path"].map(lambda path: [path]).to_numpy()
+            search._add_all(best, search._units(a["embedding"]), search._units(c["embedding"]), paths)
         return best.frame(ids)
 
     by = ["cell", "s", "b"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from provisio.functions.text import tokens
 from provisio.operators import wordsets
 from provisio.operators.skew import top_k
+from provisio.session import shared_folder
 
 # Search sizes.
 THRESHOLD, RRF_K, MIN_FETCH, FETCH_FACTOR = 0.6, 60, 12, 4
@@ -27,6 +28,8 @@ DIGITS = 6
 # At most this many query rows are shipped to every task (x 1024 doubles = 32 MB).
 QUERY_BLOCK = 4096
 CELL_ROWS = 200_000
+# Rows of each side of one group of the shuffled search, at least.
+GROUP = 16_384
 # Largest word list that is shipped to every task.
 SHIPPED_BYTES = 32 * 1024 * 1024
 HIT_SCHEMA = "query_id string, path string, score double"
@@ -58,35 +61,74 @@ class _Best:
 
     def __init__(self, n_queries: int, n: int):
         self.n = n
-        self.scores = [np.empty(0)] * n_queries
-        self.paths = [np.empty(0, dtype=object)] * n_queries
-
-    def add(self, q: int, scores: np.ndarray, paths: np.ndarray) -> None:
-        held = self.scores[q]
-        if len(scores) > self.n:
-            keep = scores >= np.partition(scores, -self.n)[-self.n]
-            scores, paths = scores[keep], paths[keep]
-        if len(held) == self.n:
-            keep = scores >= held[-1]
-            scores, paths = scores[keep], paths[keep]
-        if not len(scores):
+        self.bound = np.full(n_queries, -np.inf)
+        empty = {"q": np.empty(0, np.int64), "score": np.empty(0), "path": np.empty(0, dtype=object)}
+        self.held, self.new, self.waiting = pd.DataFrame(empty), [], 0
+
+    def add(self, asked: np.ndarray, raw: np.ndarray, paths: np.ndarray) -> None:
+        """``raw`` scores (asked queries x vectors); ``paths``: a list of paths for each vector."""
+        if not raw.size:
+            return
+        bound = self.bound[asked]
+        if raw.shape[1] > self.n:
+            bound = np.maximum(bound, np.partition(raw, -self.n, axis=1)[:, -self.n]) if (bound == -np.inf).any() else bound
+        # Rounding moves a score by half a step at most.
+        at, vector = np.nonzero(raw >= (bound - 10.0 ** -DIGITS)[:, None])
+        if not len(at):
             return
-        s, p = np.concatenate([held, scores]), np.concatenate([self.paths[q], paths])
-        order = sorted(range(len(s)), key=lambda i: (-s[i], p[i]))[: self.n]
-        self.scores[q], self.paths[q] = s[order], p[order]
+        sizes = np.fromiter(map(len, paths), np.int64, len(paths))[vector]
+        self.new.append(pd.DataFrame({
+            "q": np.repeat(asked[at], sizes), "score": np.repeat(np.round(raw[at, vector], DIGITS), sizes),
+            "path": np.concatenate([np.asarray(paths[v], dtype=object) for v in vector])}))
+        self.waiting += int(sizes.sum())
+        if self.waiting > max(100_000, 4 * self.n * len(self.bound)):
+            self._cut()
+
+    def _cut(self) -> None:
+        rows = pd.concat([self.held, *self.new]) if len(self.held) else pd.concat(self.new) if self.new else self.held
+        rows = rows.sort_values(["q", "score", "path"], ascending=[True, False, True], kind="stable")
+        place = rows.groupby("q").cumcount()
+        self.held, self.new, self.waiting = rows[place < self.n], [], 0
+        last = rows[place == self.n - 1]
+        self.bound[last["q"].to_numpy()] = last["score"].to_numpy()
 
     def frame(self, ids: list[str]) -> pd.DataFrame:
-        sizes = [len(s) for s in self.scores]
+        self._cut()
         # object columns: an empty Arrow-backed string column cannot be shipped back
         return pd.DataFrame({
-            "query_id": pd.Series(np.repeat(np.asarray(ids, dtype=object), sizes), dtype=object),
-            "path": pd.Series(np.concatenate(self.paths) if sizes else [], dtype=object),
-            "score": pd.Series(np.concatenate(self.scores) if sizes else [], dtype="float64"),
+            "query_id": pd.Series(np.asarray(ids, dtype=object)[self.held["q"].to_numpy()] if len(self.held) else [], dtype=object),
+            "path": pd.Series(self.held["path"].to_numpy(), dtype=object),
+            "score": pd.Series(self.held["score"].to_numpy(), dtype="float64"),
         })
 
 
-def _scores(queries: np.ndarray, vectors: pd.Series) -> np.ndarray:
-    return np.round(queries @ _unit(np.stack(vectors.to_numpy()).astype(np.float64)).T, DIGITS)
+#: Scores that a task holds at a time (queries x vectors).
+TILE = 1 << 21
+
+
+def _add_all(best: _Best, queries: np.ndarray, vectors: np.ndarray, paths: np.ndarray, asked: np.ndarray | None = None) -> None:
+    """Scores of (asked) queries and vectors, a tile at a time."""
+    asked = np.arange(len(queries)) if asked is None else asked
+    step = max(1, TILE // max(1, len(asked)))
+    for i in range(0, len(vectors), step):
+        best.add(asked, queries[asked] @ vectors[i:i + step].T, paths[i:i + step])
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    return _unit(np.stack(vectors.to_numpy()).astype(np.float64))
+
+
+def by_vector(corpus: DataFrame, n: int) -> DataFrame:
+    """``embedding, paths``: equal vectors once with their first ``n`` paths; no more of them can be among the best ``n``."""
+    rows = corpus.select("path", "embedding", F.xxhash64("embedding").alias("h")).filter("embedding is not null")
+    first = top_k(rows, ["h", "embedding"], ["path"], n)
+    return first.groupBy("h", "embedding").agg(F.collect_list("path").alias("paths")).select("embedding", "paths")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder, as every block of queries reads it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def _merge(partial: DataFrame, n: int) -> DataFrame:
@@ -114,10 +156,10 @@ def knn(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK)
     """Exact cosine top-n: ``query_id, path, score, rank0``.
 
     ``queries``: ``query_id, embedding``; ``corpus``: ``path, embedding``.  Queries
-    go to every task in blocks of bounded size; each block scans the corpus
-    once, without a shuffle, whatever the number of queries.
+    go to every task in blocks of bounded size; each block scans the different
+    vectors of the corpus once, without a shuffle, whatever the number of queries.
     """
-    rows = corpus.select("path", "embedding").filter("embedding is not null")
+    rows = stored(by_vector(corpus, n))
 
     def scanned(ids: list[str], vectors: np.ndarray) -> DataFrame:
         matrix = rows.sparkSession.sparkContext.broadcast(vectors)
@@ -126,11 +168,8 @@ def knn(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK)
             q = matrix.value
             best = _Best(len(ids), n)
             for b in batches:
-                if not len(b):
-                    continue
-                scores, paths = _scores(q, b["embedding"]), b["path"].to_numpy()
-                for i in range(len(ids)):
-                    best.add(i, scores[i], paths)
+                if len(b):
+                    _add_all(best, q, _units(b["embedding"]), b["paths"].to_numpy())
             found = best.frame(ids)
             if len(found):
                 yield found
@@ -143,25 +182,27 @@ def knn(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK)
 def knn_blocks(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY_BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Exact top-n where queries and chunks are both dealt to groups by the shuffle.
 
-    Queries fall into blocks and chunks into cells of bounded size by key hash;
-    each (block, cell) pair is one group of bounded size that yields the best
-    ``n`` per query.
+    Queries fall into blocks and different vectors into cells by key hash; each (block, cell) pair is one
+    group that yields the best ``n`` per query.  A group holds up to ``GROUP`` rows of each side, so the
+    copies of a row grow with the other side's rows by ``GROUP`` only; ``block`` and ``cell_rows`` bound the
+    tile of scores inside.
     """
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").filter("embedding is not null")
-    rows = corpus.select("path", "embedding").filter("embedding is not null")
-    n_blocks = max(1, -(-q.count() // block))
-    n_cells = max(1, -(-rows.count() // cell_rows))
+    rows = stored(by_vector(corpus, n))
+    n_blocks = max(1, -(-q.count() // max(block, GROUP)))
+    n_cells = max(1, -(-rows.count() // max(cell_rows, GROUP)))
     spread = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     left = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn("c", spread(n_cells))
-    right = rows.withColumn("c", F.pmod(F.xxhash64("path"), F.lit(n_cells)).cast("int")).withColumn("b", spread(n_blocks))
+    right = rows.withColumn("c", F.pmod(F.xxhash64(F.col("paths")[0]), F.lit(n_cells)).cast("int")).withColumn("b", spread(n_blocks))
 
     def cell(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         ids = a["query_id"].tolist()
         best = _Best(len(ids), n)
         if len(a) and len(c):
-            scores = _scores(_unit(np.stack(a["embedding"].to_numpy()).astype(np.float64)), c["embedding"])
-            for i in range(len(ids)):
-                best.add(i, scores[i], c["path"].to_numpy())
+            asked, vectors, paths = _units(a["embedding"]), _units(c["embedding"]), c["paths"].to_numpy()
+            for i in range(0, len(ids), block):
+                for j in range(0, len(vectors), cell_rows):
+                    _add_all(best, asked, vectors[j:j + cell_rows], paths[j:j + cell_rows], np.arange(i, min(i + block, len(ids))))
         return best.frame(ids)
 
     return _merge(left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(cell, HIT_SCHEMA), n)
@@ -171,17 +212,18 @@ def knn_blocks(queries: DataFrame, corpus: DataFrame, n: int, block: int = QUERY
 
 
 def train_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42) -> np.ndarray:
-    """Centroids of a coarse quantiser, fitted on all vectors; give more cells to a larger corpus."""
+    """Centroids of a coarse quantiser, fitted on all vectors, equal ones as one with their number as weight; give more cells to a larger corpus."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = corpus.select(array_to_vector("embedding").alias("features"))
-    return np.asarray(KMeans(k=n_cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
+    counted = corpus.filter("embedding is not null").groupBy("embedding").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = counted.select(array_to_vector("embedding").alias("features"), "weight")
+    return np.asarray(KMeans(k=n_cells, seed=seed, maxIter=10, weightCol="weight").fit(rows).clusterCenters())
 
 
 def knn_ann(queries: DataFrame, corpus: DataFrame, n: int, centers: np.ndarray, probes: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
     """Approximate top-n: a chunk meets only the queries that probe its cell; any number of queries, in blocks."""
-    rows = corpus.select("path", "embedding").filter("embedding is not null")
+    rows = stored(by_vector(corpus, n))
     cells = _unit(centers)
 
     def scanned(ids: list[str], q: np.ndarray) -> DataFrame:
@@ -195,13 +237,12 @@ def knn_ann(queries: DataFrame, corpus: DataFrame, n: int, centers: np.ndarray,
             for b in batches:
                 if not len(b):
                     continue
-                v = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
-                home, paths = np.argmax(v @ cells.T, axis=1), b["path"].to_numpy()
+                v = _units(b["embedding"])
+                home, paths = np.argmax(v @ cells.T, axis=1), b["paths"].to_numpy()
                 for c in np.unique(home):
                     at = np.flatnonzero(home == c)
-                    scores = np.round(matrix[who[c]] @ v[at].T, DIGITS)
-                    for k, i in enumerate(who[c]):
-                        best.add(int(i), scores[k], paths[at])
+                    if len(who[c]):
+                        _add_all(best, matrix, v[at], paths[at], who[c])
             found = best.frame(ids)
             if len(found):
                 yield found
