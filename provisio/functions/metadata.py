@@ -90,12 +90,15 @@ def _first(items: Column) -> Column:
 
 def parse_local_date(text: Column) -> Column:
     """First pattern that gives a calendar day within 1900..2100."""
-    out = []
-    for pattern, (y, m, d) in DATE_PATTERNS:
-        parts = [_extract(text, pattern, g) for g in (y, m, d)]
-        day = F.when(parts[0].isNotNull(), F.try_to_date(F.concat_ws("-", *parts), "y-M-d"))
-        out.append(F.when(F.year(day).between(1900, 2100), day))
-    return F.coalesce(*out)
+    def parsed(t: Column) -> Column:
+        out = []
+        for pattern, (y, m, d) in DATE_PATTERNS:
+            parts = [_extract(t, pattern, g) for g in (y, m, d)]
+            day = F.when(t.rlike("(?U)" + pattern), F.try_to_date(F.concat_ws("-", *parts), "y-M-d"))
+            out.append(bind(day, lambda x: F.when(F.year(x).between(1900, 2100), x)))
+        return F.coalesce(*out)
+
+    return bind(text, lambda t: F.when(t.isNotNull(), parsed(t)))
 
 
 def parse_as_of(text: Column, today: Column) -> Column:
@@ -121,17 +124,21 @@ def cross_ref_number(text: Column) -> Column:
 
 def enforcement_article(text: Column) -> Column:
     """The article about taking effect: by its first 100, else by its first 400 characters."""
-    parts = F.split(text, f"(?iuU)(?={ENFORCEMENT_HEADER})")
+    return bind(F.split(text, f"(?iuU)(?={ENFORCEMENT_HEADER})"), _about_effect)
+
+
+def _about_effect(parts: Column) -> Column:
     heads = F.transform(
         parts, lambda p, i: F.struct(p.alias("seg"), F.array_join(F.slice(parts, i + 1, F.lit(4)), "").alias("ahead"))
     )
     found = F.filter(heads, lambda h: h["seg"].rlike(f"(?iuU)^{ENFORCEMENT_HEADER}"))
 
-    def pick(width: int, pattern: str) -> Column:
+    def pick(found: Column, width: int, pattern: str) -> Column:
         hit = F.filter(found, lambda h: F.substring(h["ahead"], 1, width).rlike(f"(?iuU){pattern}"))
         return F.try_element_at(hit, F.lit(1)).getField("seg")
 
-    return _got(F.trim(F.coalesce(pick(100, r"hiệu\s+lực"), pick(400, r"có\s+hiệu\s+lực|hiệu\s+lực\s+thi\s+hành"))))
+    seg = bind(found, lambda f: F.coalesce(pick(f, 100, r"hiệu\s+lực"), pick(f, 400, r"có\s+hiệu\s+lực|hiệu\s+lực\s+thi\s+hành")))
+    return bind(F.trim(seg), _got)
 
 
 def enforcement_section(text: Column) -> Column:
@@ -139,8 +146,8 @@ def enforcement_section(text: Column) -> Column:
     keyword = "|".join(EFFECT_KEYWORDS)
     paragraphs = F.reverse(F.split(text, r"\n\s*\n"))
     hit = F.filter(paragraphs, lambda p: F.lower(p).rlike(keyword))
-    para = F.trim(F.try_element_at(hit, F.lit(1)))
-    return F.when(F.length(para) > 2000, F.coalesce(enforcement_article(para), para)).otherwise(para)
+    return bind(F.trim(F.try_element_at(hit, F.lit(1))), lambda para: F.when(
+        F.length(para) > 2000, F.coalesce(enforcement_article(para), para)).otherwise(para))
 
 
 def _date_in_segments(text: Column) -> Column:
@@ -177,26 +184,32 @@ def expiry_date(text: Column, enforcement: Column | None = None) -> Column:
 
 
 def _expiry_in(source: Column) -> Column:
-    low = F.regexp_replace(F.lower(source), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return bind(F.regexp_replace(F.lower(source), r"\[([^\]]+)\]\([^)]+\)", "$1"), _expiry_in_low)
+
+
+def _expiry_in_low(low: Column) -> Column:
     lines = F.filter(F.transform(F.split(low, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     paragraphs = F.split(F.array_join(lines, "\n"), r"(?iuU)(?:^|\n)(?=(?:\d+|điều\s+\d+)[.)]\s)")
     context = low.rlike("hiệu lực|thi hành")
 
     def found(lead: str) -> Column:
-        def one(p: Column) -> Column:
-            own = F.get(F.split(p, rf"(?iuU)số\s+{DOC_NUMBER}"), F.lit(0))
+        def one(own: Column) -> Column:
             return F.coalesce(*[
-                parse_local_date(F.when(F.lit(i == 1), d).otherwise(F.replace(d, F.lit(" "), F.lit(""))))
-                for i, d in enumerate(_extract(own, f"{lead}({date})") for date in EXPIRY_DATES)
+                bind(_extract(own, f"{lead}({date})"), lambda d, i=i: parse_local_date(d if i == 1 else F.replace(d, F.lit(" "), F.lit(""))))
+                for i, date in enumerate(EXPIRY_DATES)
             ])
         return one
 
     def one_paragraph(p: Column) -> Column:
-        strict = F.coalesce(*[found(lead)(p) for lead in EXPIRY_LEADS])
-        wide = F.when(context, found(EXPIRY_LEAD_IN_CONTEXT)(p))
-        return F.when(~p.rlike("(?iuU)" + OTHERS_EXPIRE), F.coalesce(strict, wide))
+        def dated(own: Column) -> Column:
+            strict = F.coalesce(*[found(lead)(own) for lead in EXPIRY_LEADS])
+            return F.coalesce(strict, F.when(context, found(EXPIRY_LEAD_IN_CONTEXT)(own)))
+
+        # Every lead ends in the word for day, so most paragraphs need no pattern.
+        own = F.get(F.split(p, rf"(?iuU)số\s+{DOC_NUMBER}"), F.lit(0))
+        return F.when(F.contains(p, F.lit("ngày")) & ~p.rlike("(?iuU)" + OTHERS_EXPIRE), bind(own, dated))
 
-    return _first(F.transform(paragraphs, one_paragraph))
+    return bind(F.transform(paragraphs, one_paragraph), _first)
 
 
 def doc_type_from_title(title: Column) -> Column:
