@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provisio.functions import paths as P
 from provisio.functions import scope as SC
 from provisio.functions import status as S
-from provisio.functions.let import strip
+from provisio.functions.let import bind, strip
 from provisio.functions.text import article_title, clean_quote, deep_link, strip_internal_refs
 from provisio.operators.skew import top_k
 
@@ -90,13 +90,15 @@ def findings_from_model(answers: DataFrame) -> DataFrame:
 
 def citations_from_text(basis: Column) -> Column:
     """Array of ``title, summary``; a document number is never cut at its slashes."""
-    text = strip_internal_refs(basis)
-    heads = F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
-    bodies = F.slice(F.split(text, CITATION), F.lit(2), F.size(heads))
     tidy = lambda b: F.regexp_replace(F.regexp_replace(b, r"^[\s:.—–\-]+", ""), r"[\s.;]+$", "")
-    cited = F.zip_with(heads, bodies, lambda h, b: F.struct(F.rtrim(strip(h), F.lit(" :—–-")).alias("title"), tidy(b).alias("summary")))
-    generic = F.array(F.struct(F.lit(GENERIC_TITLE).alias("title"), text.alias("summary")))
-    return F.when(text == "", F.slice(generic, 1, 0)).when(F.size(heads) == 0, generic).otherwise(cited)
+
+    def cited(text: Column, heads: Column) -> Column:
+        bodies = F.slice(F.split(text, CITATION), F.lit(2), F.size(heads))
+        rows = F.zip_with(heads, bodies, lambda h, b: F.struct(F.rtrim(strip(h), F.lit(" :—–-")).alias("title"), tidy(b).alias("summary")))
+        generic = F.array(F.struct(F.lit(GENERIC_TITLE).alias("title"), text.alias("summary")))
+        return F.when(text == "", F.slice(generic, 1, 0)).when(F.size(heads) == 0, generic).otherwise(rows)
+
+    return bind(strip_internal_refs(basis), lambda t: bind(F.regexp_extract_all(t, F.lit(CITATION), F.lit(0)), lambda h: cited(t, h)))
 
 
 def citations_from_model(items: Column) -> Column:
