@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provisio.functions.let import bind
 from provisio.functions.text import tokens
 from provisio.operators import wordsets
 from provisio.operators.skew import top_k
@@ -403,28 +404,79 @@ def search_in_docs(queries: DataFrame, scope: DataFrame, chunks: DataFrame, k: i
 def trigrams(c: Column) -> Column:
     """Distinct three-letter windows of the padded lower-case words."""
     padded = F.concat(F.lit("  "), F.array_join(tokens(c), "  "), F.lit(" "))
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
+    return bind(padded, lambda p: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substr(p, i, F.lit(3)))))
+
+
+def gram_codes(c: Column) -> Column:
+    """The trigrams as whole numbers: three code points of 21 bits, so equal numbers are equal trigrams."""
+    point = lambda g, i: F.ascii(F.substr(g, F.lit(i), F.lit(1))).cast("bigint")
+    return F.transform(trigrams(c), lambda g: point(g, 1) * (1 << 42) + point(g, 2) * (1 << 21) + point(g, 3))
+
+
+def _least_common(a: Column, b: Column, least: float) -> Column:
+    """Elements that sets of sizes ``a`` and ``b`` share at least when their similarity is ``least``."""
+    return F.ceil((a + b) * (least / (1 + least)) - 1e-9).cast("int")
+
+
+def _subset_keys(grams: Column, m: int, used: list[Column] | None = None, start: Column | None = None) -> Column:
+    """A hash of every choice of ``m`` elements, in the order of the array (``m`` elements at least)."""
+    used, start = used or [], F.lit(1) if start is None else start
+    places = F.sequence(start, F.size(grams) - (m - 1))
+    pick = lambda i: F.element_at(grams, i)
+    if m == 1:
+        return F.transform(places, lambda i: F.xxhash64(*used, pick(i)))
+    return F.flatten(F.transform(places, lambda i: _subset_keys(grams, m - 1, [*used, pick(i)], i + 1)))
+
+
+def _probes(own: Column, other: Column, grams: Column, least: float, m: int) -> Column:
+    """Keys of a set of size ``own`` towards sets of size ``other``: choices of ``m`` of its rarest grams."""
+    common = _least_common(own, other, least)
+    rarest = lambda k: F.slice(grams, F.lit(1), own - common + k)
+    return F.when(common >= m, _subset_keys(rarest(F.least(F.lit(m), common)), m)).otherwise(_subset_keys(rarest(1), 1)) if m > 1 else _subset_keys(rarest(1), 1)
 
 
 def fuzzy_doc_search(queries: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.3) -> DataFrame:
     """Trigram similarity of document numbers, best ``n`` per query.
 
-    Candidates share the query's rarest trigrams: a match of similarity
-    ``least`` must hold at least one of the ``|q| - ceil(least * |q|) + 1``
-    rarest, so frequent trigrams are never joined and the result stays exact.
+    Sets of sizes *a* and *b* of similarity ``least`` share at least *o* grams, so the *a - o + m* rarest
+    of one and the *b - o + m* rarest of the other share *m*.  Candidates agree in both sizes and in a choice of
+    ``m`` such grams; four grams are rare together where each alone is not.  A document that lacks too many of
+    the grams that every query holds meets none.  All candidates are compared, so the result is exact.
     """
-    q = queries.select("query_id", trigrams(F.col("text")).alias("grams"))
-    d = docs.select("doc_id", trigrams(F.col("doc_num")).alias("doc_grams"))
-    entries = d.select("doc_id", F.explode("doc_grams").alias("g"))
-    asked = q.select("query_id", F.size("grams").alias("m"), F.explode("grams").alias("g"))
-    frequency = entries.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = asked.join(frequency, "g", "left").groupBy("query_id", "m").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("gs"))
-    prefix = by_rarity.select("query_id", F.explode(F.slice("gs", F.lit(1), (F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1).cast("int"))).alias("x")).select(
-        "query_id", F.col("x.g").alias("g"))
-    pairs = prefix.join(entries, "g").select("query_id", "doc_id").distinct()
-    full = pairs.join(q, "query_id").join(d, "doc_id")
+    m = 4 if least >= 0.6 else 1  # below that the choices would be too many
+    bound = least - 1e-6  # similarities are rounded before they are compared
+    near = lambda a, b: _least_common(a, b, bound) <= F.least(a, b)
+    q = queries.select("query_id", gram_codes(F.col("text")).alias("grams"))
+    d = docs.select("doc_id", gram_codes(F.col("doc_num")).alias("grams"))
+    asked = q.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # One row: sizes of the queries, and the grams of all of them (no more than the shortest holds).
+    sizes = q.agg(F.collect_set(F.size("grams")).alias("a"), F.count("grams").alias("total"))
+    every = asked.join(F.broadcast(sizes.select("total")), F.col("n") == F.col("total")).agg(F.collect_list("g").alias("every"))
+    known = F.broadcast(sizes.select("a").crossJoin(F.broadcast(every)))
+    b = F.size("grams")
+    able = lambda a: near(a, b) & (a - F.size(F.array_except("every", "grams")) >= _least_common(a, b, bound))
+    d = d.crossJoin(known).select("doc_id", "grams", F.filter("a", able).alias("others")).filter(F.size("others") > 0)
+    present = F.broadcast(d.agg(F.collect_set(F.size("grams")).alias("b")))
+    q = q.crossJoin(present).select("query_id", "grams", F.filter("b", lambda b: near(F.size("grams"), b)).alias("others"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rarity = d.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+    def ranked(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(key, "others", F.explode("grams").alias("g")).join(rarity, "g", "left")
+        by = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))
+        sets = each.groupBy(key).agg(F.first("others").alias("others"), by.alias("s")).select(key, "others", F.col("s.g").alias("grams"))
+        return sets.repartition(parts)  # short rows, but many keys each: not to be coalesced
+
+    def keyed(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        wide = rows.select(key, "grams", F.size("grams").alias(own), F.explode("others").alias(other))
+        return wide.select(key, own, other, F.explode(_probes(F.col(own), F.col(other), F.col("grams"), bound, m)).alias("probe"))
+
+    q, d = ranked(q, "query_id"), ranked(d, "doc_id")
+    met = keyed(q, "query_id", "a", "b").join(keyed(d, "doc_id", "b", "a").hint("merge"), ["a", "b", "probe"])
+    pairs = met.select("query_id", "doc_id").distinct()
+    full = pairs.join(q.select("query_id", "grams").hint("merge"), "query_id").join(
+        d.select("doc_id", F.col("grams").alias("doc_grams")).hint("merge"), "doc_id")
     common = F.size(F.array_intersect("grams", "doc_grams"))
     sim = F.round(common / (F.size("grams") + F.size("doc_grams") - common), DIGITS)
     scored = full.select("query_id", "doc_id", sim.alias("similarity")).filter(F.col("similarity") >= least)
