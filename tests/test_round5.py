@@ -7,7 +7,9 @@ import re
 
 import pytest
 
-from provisio.operators import search
+from pyspark.sql import functions as F
+
+from provisio.operators import relations, search
 
 
 def _grams(text):
@@ -29,3 +31,22 @@ def test_fuzzy_candidates_agree_in_sizes_and_choices_of_grams(spark, least):
     assert {(r["query_id"], r["doc_id"], r["similarity"]) for r in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, .*probe#\d+L? = probe#\d+", plan)
+
+
+def test_references_without_a_target_do_not_share_a_partition(spark):
+    """Articles that the table does not have: null keys in the lookups of clauses and points."""
+    chunks = spark.range(4000).select(
+        F.concat(F.lit("R1.D"), "id", F.lit(".K1")).alias("path"), F.lit("body").alias("chunk_type"), F.concat(F.lit("Xem Điều "), F.col("id") + 9000).alias("chunk_text"))
+    nodes = spark.createDataFrame([("R1", "Part", 1), ("R1.D1", "Article", 1), ("R1.D1.K1", "Clause", 1)], "path string, level string, sort_order bigint")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        refs = chunks.select(F.col("path").alias("source_path"), F.explode(relations.internal_refs(F.col("chunk_text"))).alias("ref"))
+        out = relations.resolve_refs(refs, nodes).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {(r["source_path"], r["target_path"]) for r in out} == {(f"R1.D{i}.K1", f"R1.D{9000 + i}") for i in range(4000)}
+    sizes = [sum(r["part"] == p for r in out) for p in {r["part"] for r in out}]
+    assert max(sizes) < 3000
