@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provisio.operators import relations, search
+from provisio.streaming import jobs
 
 
 def _grams(text):
@@ -50,3 +51,24 @@ def test_references_without_a_target_do_not_share_a_partition(spark):
     assert {(r["source_path"], r["target_path"]) for r in out} == {(f"R1.D{i}.K1", f"R1.D{9000 + i}") for i in range(4000)}
     sizes = [sum(r["part"] == p for r in out) for p in {r["part"] for r in out}]
     assert max(sizes) < 3000
+
+
+def test_last_items_over_batches_hold_no_group_in_python(spark, tmp_path):
+    """Three batches, rows out of order and without a time; the last two per key over all of them."""
+    schema = "key string, ts timestamp, event_id bigint, value string"
+    for i in range(3):
+        rows = spark.range(60).select(
+            (F.col("id") % 4).cast("string").alias("key"), F.when(F.col("id") % 7 > 0, F.timestamp_seconds((F.col("id") * 37 + i * 11) % 97)).alias("ts"),
+            (F.col("id") + i * 100).alias("event_id"), F.lit("v").alias("value"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    target = str(tmp_path / "out")
+    jobs.stream_memory(stream, target, 2)
+    stored = spark.read.option("basePath", target).parquet(f"{target}/epoch=*")
+    assert stored.select("epoch").distinct().count() == 3
+    got = {(r["key"], r["event_id"], r["recency"]) for r in jobs.merge_memory(stored, 2).collect()}
+    held, want = spark.read.parquet(str(tmp_path / "in")).collect(), set()
+    for key in {r["key"] for r in held}:
+        last = sorted((r for r in held if r["key"] == key), key=lambda r: (r["ts"] is not None, r["ts"] and r["ts"].timestamp(), r["event_id"]), reverse=True)[:2]
+        want |= {(key, r["event_id"], n) for n, r in enumerate(last, 1)}
+    assert got == want
