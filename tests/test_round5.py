@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provisio.operators import relations, search
+from provisio.plans.projections import Tables
 from provisio.streaming import jobs
 
 
@@ -72,3 +73,11 @@ def test_last_items_over_batches_hold_no_group_in_python(spark, tmp_path):
         last = sorted((r for r in held if r["key"] == key), key=lambda r: (r["ts"] is not None, r["ts"] and r["ts"].timestamp(), r["event_id"]), reverse=True)[:2]
         want |= {(key, r["event_id"], n) for n, r in enumerate(last, 1)}
     assert got == want
+
+
+def test_heavy_text_work_is_cut_by_rows(spark, tmp_path):
+    """A small file of many rows: more tasks than cores when the rows are many."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert t.spread("orders", rows=10).rdd.getNumPartitions() == 100
+    assert t.spread("orders", rows=10).count() == 1000
