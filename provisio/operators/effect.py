@@ -159,7 +159,7 @@ def chunk_effective(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     aggregation keeps one governing status per chunk.  Chunks without any node
     keep their document's status.
     """
-    ups = chunks.select("path", F.explode(P.path_prefixes(F.col("path"))).alias("up")).distinct()
+    ups = chunks.select("path").distinct().select("path", F.explode(P.path_prefixes(F.col("path"))).alias("up"))
     state = nodes.select(F.col("path").alias("up"), F.col("status_flag").alias("node_status"))
     governing = ups.join(state, "up").groupBy("path").agg(F.max_by("node_status", F.length("up")).alias("governing"))
     return chunks.join(governing, "path", "left").withColumn(

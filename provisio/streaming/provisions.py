@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.operators import effect, upsert
+from provisio.operators import effect, intervals, upsert
 from provisio.streaming import jobs
 
 #: Buckets of paths; the shelf of nodes with one label only.
@@ -31,6 +31,10 @@ def _store(rows: DataFrame, target: str, table: str, epoch: int) -> None:
     rows.withColumn("shelf", shelf(F.col("path"))).write.mode("overwrite").partitionBy("shelf").parquet(f"{target}/{table}/epoch={epoch}")
 
 
+def _stored(spark: SparkSession, target: str, table: str, epoch: int) -> DataFrame:
+    return spark.read.schema("path string, status_flag int, shelf int").parquet(f"{target}/{table}/epoch={epoch}").drop("shelf")
+
+
 def _log(spark: SparkSession, target: str, shelves: list[int], epoch: int) -> None:
     """Which shelves an epoch holds; written last, so an epoch without it does not count."""
     spark.createDataFrame([(s,) for s in shelves], "shelf int").coalesce(1).write.mode("overwrite").parquet(f"{target}/log/epoch={epoch}")
@@ -40,7 +44,8 @@ def start(nodes: DataFrame, chunks: DataFrame, target: str) -> None:
     """First state: ``nodes`` (path, status_flag), ``chunks`` (path, status_flag of the document)."""
     spark = nodes.sparkSession
     _store(nodes.select("path", "status_flag"), target, "nodes", 0)
-    known = effect.chunk_effective(chunks.select("path", "status_flag"), nodes.select("path", "status_flag"))
+    # From what is stored, as the view of the nodes would be worked out again.
+    known = effect.chunk_effective(chunks.select("path", "status_flag"), _stored(spark, target, "nodes", 0))
     _store(known, target, "chunks", 0)
     _log(spark, target, [TOP, *range(SHELVES)], 0)
 
@@ -67,12 +72,16 @@ def apply_changes(batch: DataFrame, target: str, epoch: int) -> None:
         return
     shelves = [TOP, *range(SHELVES)] if TOP in touched else touched
     old = state(spark, target, "nodes", [*shelves, TOP], epoch).join(news, "path", "left")
+    # Joined and written once, as the sweep reads its rows three times: for the cuts, for what blocks carry, for itself.
+    placed = f"{target}/placed/epoch={epoch}"
+    old.write.mode("overwrite").parquet(placed)
+    old = spark.read.schema("path string, status_flag int, new_flag int").parquet(placed)
     gone = F.coalesce((F.col("new_flag") == 2) & (F.col("status_flag") != 2), F.lit(False))
-    expired = old.filter(gone).select("path")
-    now = effect.cascade_hierarchy_status(old.select("path", F.coalesce("new_flag", "status_flag").alias("status_flag")), expired)
+    below = intervals.mark_below(old, gone, "__hit")
+    now = below.select("path", F.when(F.col("__hit"), 2).otherwise(F.coalesce("new_flag", "status_flag")).alias("status_flag"))
     _store(now.filter(shelf(F.col("path")).isin(shelves)), target, "nodes", epoch)
     above = state(spark, target, "nodes", [TOP], epoch) if TOP not in shelves else None
-    written = spark.read.schema("path string, status_flag int, shelf int").parquet(f"{target}/nodes/epoch={epoch}").drop("shelf")
+    written = _stored(spark, target, "nodes", epoch)
     nodes = written if above is None else written.unionByName(above)
     chunks = state(spark, target, "chunks", shelves, epoch).select("path", "status_flag")
     _store(effect.chunk_effective(chunks, nodes), target, "chunks", epoch)

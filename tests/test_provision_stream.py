@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from provisio.operators import effect, intervals
 from provisio.sources import exports
 from provisio.streaming import provisions
 
@@ -80,6 +81,19 @@ def test_only_touched_shelves_are_read_and_written(spark, tmp_path):
     assert read._jdf.queryExecution().executedPlan().collectLeaves().head().selectedPartitions().partitionCount() == 1
 
 
+def test_sweep_and_chunks_read_what_is_stored(spark, tmp_path, monkeypatch):
+    """The join with the changes and the view of the nodes are worked out once, not for every step."""
+    nodes, chunks = tree(random.Random(2))
+    as_df = lambda d: spark.createDataFrame(list(d.items()), "path string, status_flag int")
+    plans, sweep, force = [], intervals.mark_below, effect.chunk_effective
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(intervals, "mark_below", lambda rows, *a: plans.append(plan(rows)) or sweep(rows, *a))
+    monkeypatch.setattr(effect, "chunk_effective", lambda c, n: plans.append(plan(n)) or force(c, n))
+    provisions.start(as_df(nodes), as_df(chunks), str(tmp_path))
+    provisions.apply_changes(spark.createDataFrame([("R1", 2, 1)], CHANGE), str(tmp_path), 1)
+    assert len(plans) == 3 and not any("Join" in p or "LogicalRDD" in p for p in plans)
+
+
 def test_sample_is_exact_and_merges(spark):
     rows = spark.createDataFrame([(i, i % 3, "x" * 200) for i in range(3000)], "id long, kind int, title string")
     draw = lambda df: {(r["kind"], r["id"]) for r in exports.sample_export(df, 5, F.col("kind"), key=["id"]).collect()}
