@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provisio.operators import effect, memory, search, skew
+from provisio.operators import effect, memory, retrieve, search, skew
 from provisio.plans import catalog
 from provisio.plans.projections import AS_OF
 from provisio.streaming import jobs
@@ -179,3 +179,20 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
     out = spark.read.option("basePath", target).parquet(f"{target}/epoch=*")
     got = sorted((r["w"].hour, r["severity"], r["n"]) for r in out.select(F.col("window.start").alias("w"), "severity", "n").collect())
     assert got == [(0, "a", 3), (3, "a", 2)]
+
+
+def test_expansion_runs_the_search_for_its_seeds_once(spark):
+    """The plan behind the seeds is run once, however many joins read them."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            ran.add(len(batch))
+            yield batch
+
+    seeds = spark.createDataFrame([("q", "A.B.C", "1")], "query_id string, path string, doc_id string").coalesce(1).mapInPandas(run, "query_id string, path string, doc_id string")
+    nodes = spark.createDataFrame([("A.B", "A", "Clause"), ("A.B.C", "A.B", "Point"), ("A.B.D", "A.B", "Point")], "path string, parent_path string, level string")
+    edges = spark.createDataFrame([("1", "2", "dan_chieu"), ("1", "2", "dan_chieu"), ("3", "2", "can_cu_ban_hanh")], "from_doc_id string, to_doc_id string, relation_type string")
+    got = {(r["kind"], r["key"]) for r in retrieve.expand_seeds(seeds, nodes.select("path"), nodes, edges).collect()}
+    assert got == {("sibling", "A.B.D"), ("ancestor", "A.B"), ("parent_clause", "A.B"), ("related", "2"), ("related", "3")}
+    assert ran.value <= 2  # a checkpoint runs its plan once or twice
