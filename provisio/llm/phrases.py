@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ LEAST, LONGEST = 30, 4
 WORDS, BITS, OTHERS = 1 << 18, 21, 1 << 23
 #: Entries of a container before it bursts, its children, and entries of a task before it spills.
 BURST, FAN, HELD = 1 << 16, 16, 1 << 21
+#: Rows of a batch whose texts are taken out of it at once.
+ROWS = 1 << 10
 #: Bytes of text taken at once; words in a prefix partition, about; most partitions.
-CHUNK, PART_WORDS, MOST_PARTS = 4 << 20, 1 << 20, 1 << 18
+CHUNK, PART_WORDS, MOST_PARTS = 1 << 20, 1 << 20, 1 << 18
 MASK = np.int64((1 << BITS) - 1)
 #: A-Z lower-cased, tabs to blanks, everything that parts pieces to full stops.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -83,12 +86,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
         size = 0
 
-        def rows() -> pa.RecordBatch:
-            lists = [(lang, word, n) for lang, own in counts.items() for word, n in own.items()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in lists], pa.string()), pa.array([x[1] for x in lists], pa.binary()), pa.array([x[2] for x in lists], pa.int64())],
-                ["lang", "word", "n"],
-            )
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                left = iter(own.items())
+                while held := list(islice(left, BURST)):
+                    words, n = zip(*held)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(held)), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
@@ -99,11 +102,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     own.pop(b".", None)
                     size += len(own)
                     if size > HELD // 4:
-                        yield rows()
+                        yield from rows()
                         own.clear()
                         counts.clear()
                         counts[lang], size = own, 0
-        yield rows()
+        yield from rows()
 
     partial = _texts(docs).mapInArrow(run, "lang string, word binary, n bigint")
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -114,10 +117,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    langs: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-        langs.setdefault(lang, []).append(text)
-    yield from langs.items()
+    """Texts of each language, those of ``ROWS`` rows at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        langs: dict[str, list[bytes]] = {}
+        rows = batch.slice(at, ROWS)
+        for lang, text in zip(rows.column(0).to_pylist(), as_bytes(rows.column(1))):
+            langs.setdefault(lang, []).append(text)
+        yield from langs.items()
 
 
 class Container:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +251,19 @@ def test_trie_bursts_and_spills(monkeypatch):
     assert all((np.diff(hi) >= 0).all() for hi, _, _ in runs)
     hi, lo, n = phrases.summed([phrases.unpack(phrases.pack(*r)) for r in runs])
     assert dict(zip(zip(hi.tolist(), lo.tolist()), n.tolist())) == want
+
+
+def test_phrases_memory_of_a_batch():
+    """Words and sequences of a large batch are counted without all of its texts and arrays at once."""
+    words = [b"w%d" % i for i in range(40)]
+    text = b" ".join(words * 36).decode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 2000), pa.array([text] * 4000)], ["lang", "text"])
+    task = phrases.Task(words, np.array([0]), None, phrases.HELD)
+    tracemalloc.start()
+    try:
+        rows = [r for b in task.run(iter([batch])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {r["lang"] for r in rows} == {"en", "de"}
+    assert peak < 4 * batch.nbytes
