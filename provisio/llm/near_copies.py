@@ -1,14 +1,15 @@
-r"""Near copies by exact Jaccard similarity of word shingles.
+r"""Near copies by SimHash fingerprints and exact Jaccard similarity of word shingles.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard
-similarity of at least 0.8; near copies of near copies are one component.  No
-Hamming limit on fingerprints finds all such pairs (at 0.8 fingerprints of 64 bits
-lie ten bits apart on average, and more by chance), so the candidates come from prefixes:
+similarity of at least 0.8; near copies of near copies are one component.  First
+the fingerprints of ``simhash`` that lie within ``LIMIT`` bits are probed and linked, and the links whose texts are
+similar join components.  No Hamming limit finds all such pairs (at 0.8 fingerprints of 64 bits
+lie ten bits apart on average, and more by chance), so the candidates that fingerprints miss come from prefixes:
 with the shingles of every text in one order, rare ones first, two texts as
 similar as that share a shingle among the first fifth of each.  The order
 needs no exact counts; it takes counts of hashed cells.
 
-First come a few rounds of stars: every shingle has some leaders, drawn by hash, and every component
+Then come a few rounds of stars: every shingle has some leaders, drawn by hash, and every component
 meets a few of the leaders of its prefix shingles and joins them if the texts are similar.  So a large group of copies costs
 rows by its size, not by its square.  What is then still in different components and shares a
 prefix shingle is joined on it under three bounds that no near copy can miss: the sizes,
@@ -33,10 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import as_bytes, in_batches, lower_ascii, numbered, settle, words_of
 from .graph import components
 
 SHINGLE = 5
+#: Most bits in which linked fingerprints differ.
+LIMIT = 3
 #: Least similarity as a fraction of whole numbers.
 NEAR = (4, 5)
 #: Cells of the counts that order the shingles.
@@ -136,6 +140,21 @@ AND aggregate(zip_with(x.parity, y.parity, (p, q) -> bit_count(p ^ q)), 0, (s, c
 PLACED = f"least(x.n - x.at, y.n - y.at) * {sum(NEAR)} >= (x.n + y.n) * {NEAR[0]}"
 
 
+def _alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) within the bounds of sizes and parity fingerprints."""
+    return pairs.join(prints.alias("x"), F.col("a") == F.col("x.row")).join(prints.alias("y"), F.col("b") == F.col("y.row")).filter(ALIKE).select("a", "b")
+
+
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): rows whose fingerprints lie within ``LIMIT`` bits, enough of them to span every component."""
+    own = settle(simhash.fingerprints(rows.select(F.col("row").alias("doc_id"), "text")))
+    first = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    same = own.join(first, "fp").filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    x, y = (first.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_row")) for end in "ab")
+    near = simhash.links(first, LIMIT).join(x, "a").join(y, "b")
+    return same.unionByName(near.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))).distinct()
+
+
 def _with_roots(held: DataFrame, roots: DataFrame) -> DataFrame:
     """Prefix rows with the component of their text."""
     return held.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -145,11 +164,12 @@ def links(rows: DataFrame) -> DataFrame:
     """(a, b): near copies among ``rows`` (row, text), enough of them to span every component."""
     marked = settle(marks(rows))
     prints = marked.select("row", "n", "parity")
-    held = marked.select("row", "n", F.posexplode("tokens").alias("at", "token"))
+    pairs = settle(_alike(fingerprint_pairs(rows), prints))
+    found, tried = [settle(_verified(rows, pairs))], pairs
+    held = marked.select("row", F.posexplode("tokens").alias("at", "token"))
     shared = held.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
     held = settle(held.join(shared, "token"))
-    found, tried = [], None
-    placed = held.withColumn("root", F.col("row"))
+    placed = _with_roots(held, components(found[0], "a", "b"))
     for turn in range(ROUNDS):
         drawn = [F.struct(F.xxhash64("root", F.lit(turn), F.lit(i)).alias("h"), "root", "row") for i in range(LEADERS)]
         leaders = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[F.min(d).alias(f"l{i}") for i, d in enumerate(drawn)])
@@ -159,21 +179,18 @@ def links(rows: DataFrame) -> DataFrame:
         one = F.explode(F.array(*[F.struct(F.col(f"m{i}.l{i}.row").alias("to"), F.col(f"m{i}.row").alias("row")) for i in range(LEADERS)]))
         pairs = met.groupBy("root").agg(*least).select(one.alias("pair")).filter("pair.to IS NOT NULL")
         pairs = pairs.select(F.least("pair.to", "pair.row").alias("a"), F.greatest("pair.to", "pair.row").alias("b")).distinct()
-        pairs = pairs.join(prints.alias("x"), F.col("a") == F.col("x.row")).join(prints.alias("y"), F.col("b") == F.col("y.row")).filter(ALIKE).select("a", "b")
-        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = settle(_alike(pairs, prints).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
         found.append(settle(_verified(rows, pairs)))
         if found[-1].isEmpty():
             break
         placed = settle(_with_roots(held, components(reduce(DataFrame.unionByName, found), "a", "b")))
     # What is left: rows that share a prefix shingle but no component.
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
-    left = settle(placed.join(mixed, "token").join(prints.select("row", "parity"), "row"))
+    left = settle(placed.join(mixed, "token").join(prints, "row"))
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & F.expr(PLACED) & F.expr(ALIKE))
-    pairs = pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return reduce(DataFrame.unionByName, [*found, _verified(rows, settle(pairs))])
 
 

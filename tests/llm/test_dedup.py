@@ -116,6 +116,19 @@ def test_near_copies_without_stars(docs, odd, monkeypatch):
         assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in near_copies.drop_near_copies(docs(pairs)).collect()) == want
 
 
+def test_near_copies_by_fingerprints(docs, odd, monkeypatch):
+    """Fingerprints are linked as in ``simhash``, and near copies within the limit are found by them alone."""
+    text = " ".join(f"word{i}" for i in range(400))
+    pairs = [(5, text), (3, text.replace("word17 ", "other ")), (9, "quite another text of a few words"), *odd]
+    rows = docs([(i, t) for i, (_, t) in enumerate(pairs)]).withColumnRenamed("doc_id", "row")
+    roots = {r["node"]: r["root"] for r in components(near_copies.fingerprint_pairs(rows), "a", "b").collect()}
+    want = {d: least for d, _, least in brute.simhash([(i, t) for i, (_, t) in enumerate(pairs)])}
+    assert {i: roots.get(i, i) for i in range(len(pairs))} == want
+    real = near_copies.marks
+    monkeypatch.setattr(near_copies, "marks", lambda rows: real(rows).withColumn("tokens", F.array().cast("array<bigint>")))
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs(pairs[:3])).collect()) == [3, 9]
+
+
 def test_drop_duplicates_of_repeated_rows(docs):
     """Of wholly equal rows, of rows of one id and of rows without an id one stays: the longest, then the least id."""
     pairs = [(12, "a b"), (12, "a b"), (13, "a  b"), (12, "a   b"), (12, "a   b"), (None, "c"), (None, "c"), (7, "d"), (7, "d"), (8, None), (8, None), (9, "")]
