@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provisio.operators import effect, memory, retrieve, search, skew
+from provisio.operators import effect, memory, retrieve, search, skew, upsert
 from provisio.plans import catalog
 from provisio.plans.projections import AS_OF
 from provisio.streaming import jobs
@@ -196,3 +196,10 @@ def test_expansion_runs_the_search_for_its_seeds_once(spark):
     got = {(r["kind"], r["key"]) for r in retrieve.expand_seeds(seeds, nodes.select("path"), nodes, edges).collect()}
     assert got == {("sibling", "A.B.D"), ("ancestor", "A.B"), ("parent_clause", "A.B"), ("related", "2"), ("related", "3")}
     assert ran.value <= 2  # a checkpoint runs its plan once or twice
+
+
+def test_graph_edges_work_out_nodes_once(tables):
+    t = tables
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    e = upsert.graph_edges(t.documents(), t.nodes(), t.chunks(), t.doc_edges(), t.path_edges())
+    assert plan(e).count("row_number") == plan(t.path_edges()).count("row_number") > 0
