@@ -188,6 +188,8 @@ LAW_ALIASES = (
     ("luật người lao động việt nam đi làm việc ở nước ngoài", "2020", "69/2020/qh14"),
 )
 CITED_ARTICLE = r"(?iuU)Điều\s+\d+"
+# As NUMBER, but of any length: stored citations name documents by the numbers that these have.
+STORED_NUMBER = r"(?iu)(?<!\d)\d+/\d{4}/[A-ZĐ0-9.-]+"
 
 
 def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def backfill_risk_citations(findings: DataFrame, chunks: DataFrame, docs: DataFr
                    F.coalesce(old_paths, F.array().cast("array<string>")))
     as_path = F.transform(raw, lambda r: F.coalesce(P.ref_to_path(strip(r)), F.when(~F.contains(r, F.lit(":")), strip(r))))
     f = findings.withColumn("refs", F.array_distinct(F.filter(as_path, lambda r: F.coalesce(r != "", F.lit(False)))))
-    number = lambda c: F.nullif(F.regexp_extract(F.concat_ws(" ", c["doc_number"], c["title"], c["summary"]), f"(?iu){NUMBER}", 0), F.lit(""))
+    number = lambda c: F.nullif(F.regexp_extract(F.concat_ws(" ", c["doc_number"], c["title"], c["summary"]), STORED_NUMBER, 0), F.lit(""))
 
     evidence = f.select("finding_id", "citations", F.posexplode("refs").alias("ord", "path")).join(chunks, "path")
     named = F.transform("citations", lambda c: strip(c["evidence_path"]))
