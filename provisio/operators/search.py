@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -419,36 +421,73 @@ def _least_common(a: Column, b: Column, least: float) -> Column:
     return F.ceil((a + b) * (least / (1 + least)) - 1e-9).cast("int")
 
 
-def _subset_keys(grams: Column, m: int, used: list[Column] | None = None, start: Column | None = None) -> Column:
-    """A hash of every choice of ``m`` elements, in the order of the array (``m`` elements at least)."""
-    used, start = used or [], F.lit(1) if start is None else start
-    places = F.sequence(start, F.size(grams) - (m - 1))
-    pick = lambda i: F.element_at(grams, i)
-    if m == 1:
-        return F.transform(places, lambda i: F.xxhash64(*used, pick(i)))
-    return F.flatten(F.transform(places, lambda i: _subset_keys(grams, m - 1, [*used, pick(i)], i + 1)))
+#: So many of the most frequent grams are ordered by their number of documents; all others count as rarer.
+FREQUENT = 65_536
+PROBE_SCHEMA = "id long, size int, sign long, probe long"
 
 
-def _probes(own: Column, other: Column, grams: Column, least: float, m: int) -> Column:
-    """Keys of a set of size ``own`` towards sets of size ``other``: choices of ``m`` of its rarest grams."""
-    common = _least_common(own, other, least)
-    rarest = lambda k: F.slice(grams, F.lit(1), own - common + k)
-    return F.when(common >= m, _subset_keys(rarest(F.least(F.lit(m), common)), m)).otherwise(_subset_keys(rarest(1), 1)) if m > 1 else _subset_keys(rarest(1), 1)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of 64 bits, well spread (SplitMix64)."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _probes(rows: DataFrame, frequent: list[int], m: int) -> DataFrame:
+    """``id, grams, deep, flat`` -> a row for every choice of ``m`` of the ``deep`` rarest grams and for each of the ``flat`` rarest.
+
+    ``sign`` has a bit for each of 64 classes of grams, set if the class holds an odd number: signs differ in no more
+    bits than sets in grams.
+    """
+    order = np.asarray(frequent, np.int64)  # rarest first
+    at = np.argsort(order)
+    sorted_codes, place = order[at], at.astype(np.int64)
+
+    def rarest_first(codes: np.ndarray) -> np.ndarray:
+        if not len(order):
+            return np.sort(codes, axis=1)
+        i = np.minimum(np.searchsorted(sorted_codes, codes), len(order) - 1)
+        known = np.where(sorted_codes[i] == codes, place[i], -1)
+        return np.take_along_axis(codes, np.lexsort((codes, known), axis=-1), axis=1)
+
+    def chosen(codes: np.ndarray, width: int, k: int) -> np.ndarray:
+        picks = np.asarray(list(combinations(range(width), k)), dtype=np.int64).reshape(-1, k)
+        key = np.full((len(codes), len(picks)), k, np.uint64)
+        for c in range(k):
+            key = _mixed(key ^ _mixed(codes[:, picks[:, c]]))
+        return key.view(np.int64)
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.assign(size=batch["grams"].map(len))
+            for (size, deep, flat), part in batch.groupby(["size", "deep", "flat"]):
+                step = max(1, (1 << 20) // (comb(deep, m) + flat + size))
+                for i in range(0, len(part), step):
+                    own = part.iloc[i:i + step]
+                    codes = rarest_first(np.stack(own["grams"].to_numpy()))
+                    sign = np.bitwise_xor.reduce(np.uint64(1) << (_mixed(codes) & np.uint64(63)), axis=1).view(np.int64)
+                    keys = np.concatenate([chosen(codes, n, k) for n, k in ((deep, m), (flat, 1)) if n], axis=1)
+                    yield pd.DataFrame({
+                        "id": np.repeat(own["id"].to_numpy(), keys.shape[1]), "size": np.int32(size),
+                        "sign": np.repeat(sign, keys.shape[1]), "probe": keys.ravel()})
+
+    return rows.mapInPandas(some, PROBE_SCHEMA)
 
 
 def fuzzy_doc_search(queries: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.3) -> DataFrame:
     """Trigram similarity of document numbers, best ``n`` per query.
 
     Sets of sizes *a* and *b* of similarity ``least`` share at least *o* grams, so the *a - o + m* rarest
-    of one and the *b - o + m* rarest of the other share *m*.  Candidates agree in both sizes and in a choice of
-    ``m`` such grams; four grams are rare together where each alone is not.  A document that lacks too many of
+    of one and the *b - o + m* rarest of the other share *m*.  Candidates agree in a choice of ``m`` such grams, and
+    their signs differ in no more bits than the sets may in grams.  A document that lacks too many of
     the grams that every query holds meets none.  All candidates are compared, so the result is exact.
     """
-    m = 4 if least >= 0.6 else 1  # below that the choices would be too many
+    m = 3 if least >= 0.6 else 1  # below that the choices would be too many
     bound = least - 1e-6  # similarities are rounded before they are compared
     near = lambda a, b: _least_common(a, b, bound) <= F.least(a, b)
-    q = queries.select("query_id", gram_codes(F.col("text")).alias("grams"))
-    d = docs.select("doc_id", gram_codes(F.col("doc_num")).alias("grams"))
+    numbered = lambda df, key, text: stored(df.select(F.monotonically_increasing_id().alias("id"), key, gram_codes(F.col(text)).alias("grams")))
+    q = numbered(queries, "query_id", "text").filter("grams is not null")
     asked = q.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     # One row: sizes of the queries, and the grams of all of them (no more than the shortest holds).
     sizes = q.agg(F.collect_set(F.size("grams")).alias("a"), F.count("grams").alias("total"))
@@ -456,27 +495,27 @@ def fuzzy_doc_search(queries: DataFrame, docs: DataFrame, n: int = 5, least: flo
     known = F.broadcast(sizes.select("a").crossJoin(F.broadcast(every)))
     b = F.size("grams")
     able = lambda a: near(a, b) & (a - F.size(F.array_except("every", "grams")) >= _least_common(a, b, bound))
-    d = d.crossJoin(known).select("doc_id", "grams", F.filter("a", able).alias("others")).filter(F.size("others") > 0)
+    d = docs.select("doc_id", "doc_num").crossJoin(known).withColumn("grams", gram_codes(F.col("doc_num")))
+    d = stored(d.select(F.monotonically_increasing_id().alias("id"), "doc_id", "grams", F.filter("a", able).alias("others")).filter(F.size("others") > 0))
     present = F.broadcast(d.agg(F.collect_set(F.size("grams")).alias("b")))
-    q = q.crossJoin(present).select("query_id", "grams", F.filter("b", lambda b: near(F.size("grams"), b)).alias("others"))
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rarity = d.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-
-    def ranked(rows: DataFrame, key: str) -> DataFrame:
-        each = rows.select(key, "others", F.explode("grams").alias("g")).join(rarity, "g", "left")
-        by = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))
-        sets = each.groupBy(key).agg(F.first("others").alias("others"), by.alias("s")).select(key, "others", F.col("s.g").alias("grams"))
-        return sets.repartition(parts)  # short rows, but many keys each: not to be coalesced
-
-    def keyed(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        wide = rows.select(key, "grams", F.size("grams").alias(own), F.explode("others").alias(other))
-        return wide.select(key, own, other, F.explode(_probes(F.col(own), F.col(other), F.col("grams"), bound, m)).alias("probe"))
-
-    q, d = ranked(q, "query_id"), ranked(d, "doc_id")
-    met = keyed(q, "query_id", "a", "b").join(keyed(d, "doc_id", "b", "a").hint("merge"), ["a", "b", "probe"])
-    pairs = met.select("query_id", "doc_id").distinct()
-    full = pairs.join(q.select("query_id", "grams").hint("merge"), "query_id").join(
-        d.select("doc_id", F.col("grams").alias("doc_grams")).hint("merge"), "doc_id")
+    frequent = [r["g"] for r in rarity.orderBy(F.desc("df"), "g").limit(FREQUENT).collect()][::-1]
+
+    def keyed(rows: DataFrame, names: list[str]) -> DataFrame:
+        """How many of its rarest grams a set shows: together with others, or alone where the sets share fewer than ``m``."""
+        own = F.size("grams")
+        common = lambda x: _least_common(own, x, bound)
+        shown = lambda k, fits: F.coalesce(F.array_max(F.transform(F.filter("others", fits), lambda x: own - common(x) + k)), F.lit(0))
+        wide = rows.select("id", "grams", shown(m, lambda x: common(x) >= m).alias("deep"), (shown(1, lambda x: common(x) < m) if m > 1 else F.lit(0)).alias("flat"))
+        return _probes(wide.filter("deep + flat > 0"), frequent, m).toDF(*names, "probe")
+
+    left = keyed(q.crossJoin(present).withColumn("others", F.filter("b", lambda x: near(F.size("grams"), x))), ["qid", "a", "qs"])
+    right = keyed(d, ["did", "b", "ds"])
+    apart = F.col("a") + F.col("b") - 2 * _least_common(F.col("a"), F.col("b"), bound)
+    met = left.join(right.hint("merge"), "probe").filter(F.bit_count(F.col("qs").bitwiseXOR(F.col("ds"))) <= apart)
+    pairs = met.select("qid", "did").distinct()
+    full = pairs.join(q.select(F.col("id").alias("qid"), "query_id", "grams").hint("merge"), "qid").join(
+        d.select(F.col("id").alias("did"), "doc_id", F.col("grams").alias("doc_grams")).hint("merge"), "did")
     common = F.size(F.array_intersect("grams", "doc_grams"))
     sim = F.round(common / (F.size("grams") + F.size("doc_grams") - common), DIGITS)
     scored = full.select("query_id", "doc_id", sim.alias("similarity")).filter(F.col("similarity") >= least)
