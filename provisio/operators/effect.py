@@ -14,6 +14,7 @@ from provisio.functions import paths as P
 from provisio.functions import status as S
 from provisio.operators.intervals import mark_below, nearest_above
 from provisio.operators.skew import top_k
+from provisio.session import written
 
 # Relation types that end or change their target.
 REPEALING = ("van_ban_bi_bai_bo", "thay_the")
@@ -173,6 +174,8 @@ def chunk_effective_sweep(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     It moves every chunk and node once, where :func:`chunk_effective` moves a row for each level of
     every chunk: the better choice where most nodes hold chunks, or chunks outnumber nodes.
     """
+    # The sweep reads its rows five times: for the depth, the cuts, what is carried, itself and the result.
+    nodes, chunks = written(nodes.select("path", "status_flag"), "sweep-nodes"), written(chunks, "sweep-chunks")
     governing = nearest_above(chunks.select("path").distinct(), nodes, "status_flag", "governing")
     return chunks.join(governing, "path", "left").withColumn(
         "is_effective", F.coalesce("governing", "status_flag").isin(1, 5)
