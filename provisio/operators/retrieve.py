@@ -16,7 +16,7 @@ from provisio.operators import search
 from provisio.operators.relations import RELATED_BY_GRAPH, RELATED_BY_PATH, REPEAL_TYPES, relation_type_map
 from provisio.operators.skew import top_k
 from provisio.operators.tree import siblings_of
-from provisio.session import shared_folder
+from provisio.session import shared_folder, written
 
 # Caps of the expansion.
 SIBLINGS, ANCESTORS, RELATED, REPEALED = 24, 16, 8, 8
@@ -48,6 +48,8 @@ def expand_seeds(seeds: DataFrame, chunks: DataFrame, nodes: DataFrame, doc_edge
         return rows.groupBy("query_id", "kind", "key").agg(F.min("source").alias("source"))
     # Seven joins read the seeds, and the search that found them would run for each.
     q = _settle(seeds.select(F.col("query_id").cast("string").alias("query_id"), "path", "doc_id"))
+    if backend == "graph":  # five of them read the nodes
+        nodes = written(nodes.select("path", "parent_path", "level"), "seed-nodes")
     docs = q.select("query_id", "doc_id").distinct()
     ups = q.select("query_id", "path", F.explode(P.path_prefixes(F.col("path"), proper=True)).alias("key"))
     repeal_codes = [*REPEAL_TYPES, "REPEALS", "SUPERSEDES"]
